@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import passages
+from tessera.llm import bpe, decontaminate, passages, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,18 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op6_substring_dedup)}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written(_table(spark, sf_dir, "documents"))
 
-ORACLE_SQL = {"op3_suffix_dedup": passages.oracle(), "op6_substring_dedup": passages.oracle()}
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op6_substring_dedup, op7_token_files, op8_decontamination, op10_byte_bpe)}
+
+ORACLE_SQL = {"op3_suffix_dedup": passages.oracle(), "op6_substring_dedup": passages.oracle(), "op8_decontamination": decontaminate.oracle()}

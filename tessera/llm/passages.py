@@ -45,11 +45,11 @@ HELD = 48 << 20
 _MARKS = "doc_id long, text_key long, start int, end int"
 
 
-def frequent(docs: DataFrame, gram: int, part: float = PART, least: int = 50, fold: bool = False) -> np.ndarray:
+def frequent(docs: DataFrame, gram: int, part: float = PART, least: int = 50, fold: bool = False, counts: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """Hashes of the word m-grams that make up at least `part` of all m-grams of all texts, sorted.
 
     Each task counts all its m-grams in groups and reports those that reach the part within a group:
-    what reaches it over all does so in some group. At most 1 / part values come back."""
+    what reaches it over all does so in some group. At most 1 / part values come back; with `counts`, their counts too."""
     alphabet = words.LOWER if fold else words.SAME
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,8 +80,10 @@ def frequent(docs: DataFrame, gram: int, part: float = PART, least: int = 50, fo
     found = docs.select("text").mapInArrow(count, "gram long, n long, is_gram boolean").groupBy("gram", "is_gram").agg(F.sum("n").alias("n"))
     found = shared.cut(found)
     total = found.where("NOT is_gram").agg(F.sum("n")).head()[0] or 0
-    rows = found.where(F.col("is_gram") & (F.col("n") >= max(least, int(total * part)))).select("gram").collect()
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
+    rows = found.where(F.col("is_gram") & (F.col("n") >= max(least, int(total * part)))).select("gram", "n").collect()
+    values, n = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), np.array([r[1] for r in rows], dtype=np.int64)
+    order = np.argsort(values)
+    return (values[order], n[order]) if counts else values[order]
 
 
 def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:

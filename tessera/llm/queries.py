@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, host_reputation, passages, quality, token_files
+from tessera.llm import bpe, decontaminate, host_reputation, jaccard, passages, quality, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,6 +43,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op5_quality_classifier, op6_substring_dedup, op7_token_files, op8_decontamination, op9_host_reputation, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_jaccard_join, op5_quality_classifier, op6_substring_dedup, op7_token_files, op8_decontamination, op9_host_reputation, op10_byte_bpe)}
 
 ORACLE_SQL = {"op3_suffix_dedup": passages.oracle(), "op6_substring_dedup": passages.oracle(), "op8_decontamination": decontaminate.oracle(), "op9_host_reputation": host_reputation.oracle()}

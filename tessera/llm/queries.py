@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, host_reputation, jaccard, passages, quality, token_files, wrappers
+from tessera.llm import bpe, decontaminate, host_reputation, jaccard, neighbours, passages, quality, token_files, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(_table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_wrappers, op3_suffix_dedup, op4_jaccard_join, op5_quality_classifier, op6_substring_dedup, op7_token_files, op8_decontamination, op9_host_reputation, op10_byte_bpe)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_html_wrappers, op3_suffix_dedup, op4_jaccard_join, op5_quality_classifier, op6_substring_dedup, op7_token_files, op8_decontamination, op9_host_reputation, op10_byte_bpe, pipeline)}
 
 ORACLE_SQL = {"op3_suffix_dedup": passages.oracle(), "op6_substring_dedup": passages.oracle(), "op8_decontamination": decontaminate.oracle(), "op9_host_reputation": host_reputation.oracle()}

@@ -60,7 +60,7 @@ def frequent(docs: DataFrame, gram: int, part: float = PART, least: int = 50, fo
             values, n = np.unique(np.concatenate(held), return_counts=True)
             keep = n >= max(2, int(n.sum() * part))
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.append(values[keep], 0).view(np.int64)), pa.array(np.append(n[keep], n.sum())), pa.array(np.append(np.ones(keep.sum(), bool), False))],
+                [pa.array(np.append(values[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(n[keep], n.sum())), pa.array(np.append(np.ones(keep.sum(), bool), False))],
                 ["gram", "n", "is_gram"],
             )
 

@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Chunks and token pairs a worker remembers before it starts anew.
-CHUNKS, PAIRS = 400_000, 1_000_000
+#: Chunks (twice, see Chunks) and token pairs a worker remembers.
+CHUNKS, PAIRS = 250_000, 200_000
+#: Rows handled at once.
+ROWS = 256
 
 _INNER = re.compile(r" (?:\s|$)")
 
@@ -50,18 +52,25 @@ def chunks(text: str) -> list[str]:
 
 
 class Chunks(dict):
-    """Encoded chunks by their text; `encode` gets the chunk with its space."""
+    """Encoded chunks by their text; `encode` gets the chunk with its space. When it is full, it starts anew but keeps what
+    it held as `old`, from which chunks that occur again come back."""
 
     def __init__(self, encode: Callable[[str], bytes], space: str = " ", most: int = CHUNKS):
         super().__init__()
-        self.encode, self.space, self.most = encode, space, most
+        self.encode, self.space, self.most, self.old = encode, space, most, {}
 
-    def __missing__(self, part: str) -> bytes:
+    def add(self, part: str, found: bytes) -> None:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        found = self.encode(self.space + part)
+        self[part] = found
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.old.get(part)
+        if found is None:
+            found = self.encode(self.space + part)
         if len(part) < 200:
-            self[part] = found
+            self.add(part, found)
         return found
 
 
@@ -74,6 +83,11 @@ def read_ranks(path: str = RANKS) -> list[bytes]:
     return [of[i] for i in range(len(of))]
 
 
+def join(tokens: list[bytes], ids: bytes) -> bytes:
+    """The bytes that ids stand for."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary."""
 
@@ -99,7 +113,7 @@ class Bpe:
                     self.merged[a, b] = i
                     break
                 a = self.shorter[a]
-        self.pieces = Chunks(self._piece, "")
+        self.pieces = Chunks(self._piece, "", 100_000)
         self.first, self.rest = Chunks(self._chunk, "", 20_000), Chunks(self._chunk)
 
     def _fits(self, a: int, b: int) -> bool:
@@ -161,7 +175,7 @@ class Bpe:
         return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return join(self.tokens, ids)
 
 
 _MADE: dict[str, Bpe] = {}
@@ -180,36 +194,48 @@ def _vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(read_ranks(path))
 
 
-def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """docs, with token_ids (binary, little-endian unsigned 32-bit)."""
-    names, tokens = docs.columns, _vocabulary(docs.sparkSession, path)
-    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.BinaryType())])
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _with(rows: DataFrame, path: str, add: list[str], made: Callable[[Bpe | list[bytes], pa.RecordBatch], list[list[bytes]]], encoder: bool) -> DataFrame:
+    """rows with binary columns that a worker's encoder (or the tokens alone) makes of small batches."""
+    names, tokens = rows.columns, _vocabulary(rows.sparkSession, path)
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(x, T.BinaryType()) for x in add)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _made(tokens, path)
-        for batch in batches:
-            ids = pa.array([bpe.encode(x or "") for x in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), ids], [*names, "token_ids"])
+        of = _made(tokens, path) if encoder else tokens.value
+        for batch in _small(batches):
+            columns = [pa.array(c, pa.binary()) for c in made(of, batch)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, *add])
 
-    return docs.mapInArrow(apply, schema)
+    return rows.mapInArrow(apply, schema)
+
+
+def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
+    """docs, with token_ids (binary, little-endian unsigned 32-bit)."""
+    return _with(docs, path, ["token_ids"], lambda bpe, b: [[bpe.encode(x or "") for x in b.column("text").to_pylist()]], True)
 
 
 def decode(rows: DataFrame, path: str = RANKS) -> DataFrame:
     """rows, with decoded (binary: bytes of token_ids)."""
-    names, tokens = rows.columns, _vocabulary(rows.sparkSession, path)
-    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
+    return _with(rows, path, ["decoded"], lambda tokens, b: [[join(tokens, x or b"") for x in b.column("token_ids").to_pylist()]], False)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _made(tokens, path)
-        for batch in batches:
-            out = pa.array([bpe.decode(x or b"") for x in batch.column("token_ids").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), out], [*names, "decoded"])
 
-    return rows.mapInArrow(apply, schema)
+def encode_and_decode(docs: DataFrame, path: str = RANKS) -> DataFrame:
+    """docs, with token_ids and what they decode to, in one pass (one worker holds the vocabulary, not two)."""
+
+    def both(bpe: Bpe, b: pa.RecordBatch) -> list[list[bytes]]:
+        ids = [bpe.encode(x or "") for x in b.column("text").to_pylist()]
+        return [ids, [bpe.decode(x) for x in ids]]
+
+    return _with(docs, path, ["token_ids", "decoded"], both, True)
 
 
 def round_trip(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """One row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    rows = decode(encode(docs.select("doc_id", "text"), path), path)
+    rows = encode_and_decode(docs.select("doc_id", "text"), path)
     n = (F.octet_length("token_ids") / 4).cast("long")
     return rows.select("doc_id", n.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -43,6 +44,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 #: Bytes of ids in a frame, before compression (a longer document has a frame of its own).
 FRAME_BYTES = 1 << 18
+#: Chunks a worker remembers (twice, see Chunks).
+CHUNKS = 500_000
 
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _INDEX = "shard int, path string, frame int, offset long, size long, content_size long, first_id long, last_id long, n_docs long, n_tokens long"
@@ -113,30 +116,67 @@ def _open(path: str):
     return fs.open_input_file(inner)
 
 
-_TOKENIZERS: dict = {}
+class Encoder:
+    """A tokenizer, with the chunks it has encoded so far."""
 
-
-def _encoder(definition, key: str):
-    """The worker's tokenizer, with what it has encoded so far."""
-    if key not in _TOKENIZERS:
+    def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[key] = Tokenizer.from_str(definition.value), Chunks(str, "", 20_000), Chunks(str)
-    return _TOKENIZERS[key]
-
-
-def encode_texts(tokenizer, first: Chunks, rest: Chunks, texts: list[str]) -> list[bytes]:
-    """Ids of each text: what encode(text, add_special_tokens=False) gives, chunk by chunk."""
-    parts = [chunks(x) for x in texts]
-    for of, new in ((first, {p[0] for p in parts}), (rest, {x for p in parts for x in p[1:]})):
-        new = [x for x in new if x not in of]
-        if len(of) + len(new) > of.most:
-            of.clear()
-            new = list({p[0] for p in parts} if of is first else {x for p in parts for x in p[1:]})
-        for x, found in zip(new, tokenizer.encode_batch_fast([of.space + x for x in new], add_special_tokens=False), strict=True):
-            of[x] = np.array(found.ids, dtype="<u4").tobytes()
-    return [first[p[0]] + b"".join(map(rest.__getitem__, p[1:])) for p in parts]
+        self.tokenizer = Tokenizer.from_str(definition)
+        vocab = self.tokenizer.get_vocab()
+        # a byte-level token has a character for each byte
+        self.size = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for token, i in vocab.items():
+            self.size[i] = len(token)
+        self.first, self.rest = Chunks(self.one, "", 20_000), Chunks(self.one, " ", CHUNKS)
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Encodes chunks in one go: no token crosses the place where a chunk begins, so their ids are cut apart by size."""
+        texts = [" " + x for x in new]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(x.encode()) for x in texts])) + 1
+        raw, out, a = ids.tobytes(), {}, 0
+        for x, b in zip(new, ends.tolist(), strict=True):
+            out[x] = raw[4 * a : 4 * b]
+            a = b
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text: what encode(text, add_special_tokens=False) gives."""
+        parts = [chunks(x) for x in texts]
+        rest, old = self.rest, self.rest.old
+        new = []
+        for x in set(chain.from_iterable(p[1:] for p in parts)).difference(rest):
+            if (found := old.get(x)) is not None:
+                rest.add(x, found)
+            else:
+                new.append(x)
+        made: dict[str, bytes] = {}
+        for a in range(0, len(new), 4096):
+            made |= self.learn(new[a : a + 4096])
+        for x, found in made.items():
+            if len(x) < 200:
+                rest.add(x, found)
+        if len(rest.old) and rest.old is not old or any(len(x) >= 200 for x in made):
+            get = lambda x: rest[x] if x in rest else made[x] if x in made else rest[x]
+        else:
+            get = rest.__getitem__
+        return [self.first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(definition, key: str) -> Encoder:
+    """The worker's encoder of a broadcast definition, built once."""
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(definition.value)
+    return _ENCODERS[key]
 
 
 def write(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -157,6 +197,7 @@ def write(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, frame_byt
         shard = TaskContext.get().partitionId()
         path = f"{place}/shard-{shard:06d}-{uuid.uuid4().hex}.zst"
         writer, rows, ids, tokens, held = None, [], [], [], 0
+        encoder = _encoder(definition, tokenizer)
 
         def flush():
             content = pack(ids, tokens)
@@ -169,7 +210,7 @@ def write(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, frame_byt
                 writer = ShardWriter(fs.open_output_stream(inner, compression=None))
             keys, texts = batch.column(0).fill_null(-1 << 63).to_pylist(), batch.column(1).to_pylist()
             for a in range(0, len(texts), 256):
-                made = encode_texts(*_encoder(definition, tokenizer), [x or "" for x in texts[a : a + 256]])
+                made = encoder.encode([x or "" for x in texts[a : a + 256]])
                 for key, found in zip(keys[a : a + 256], made, strict=True):
                     ids.append(key)
                     tokens.append(found + last)

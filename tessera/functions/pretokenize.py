@@ -36,8 +36,9 @@ def pretokenizer(config: Config | dict | None) -> Split:
     return _REGISTRY[kind](config)
 
 
-def over(split: Split, texts: Column, first: Column = F.lit(True)) -> Column:
+def over(split: Split, texts: Column, first: Column | None = None) -> Column:
     """The pieces of all texts of an array, in one array; only the first text can begin the input."""
+    first = F.lit(True) if first is None else first
     return F.flatten(F.transform(texts, lambda x, i: split(x, first & (i == 0))))
 
 

@@ -8,23 +8,28 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 NEGATIVE = float("-inf")
 Warp = Callable[[DataFrame], DataFrame]
 
-ROW = Window.partitionBy("row_id")
-BY_SCORE = ROW.orderBy(F.desc("score"), "token_id")
+
+def row() -> WindowSpec:
+    return Window.partitionBy("row_id")
+
+
+def by_score() -> WindowSpec:
+    return row().orderBy(F.desc("score"), "token_id")
 
 
 def _filtered(keep: Column, value: float) -> Column:
     return F.when(keep, F.col("score")).otherwise(F.lit(value))
 
 
-def softmax(score: Column = F.col("score"), window=ROW) -> Column:
-    e = F.exp(score - F.max(score).over(window))
-    return e / F.sum(e).over(window)
+def softmax(score: str = "score") -> Column:
+    e = F.exp(F.col(score) - F.max(score).over(row()))
+    return e / F.sum(e).over(row())
 
 
 def temperature(t: float) -> Warp:
@@ -38,7 +43,7 @@ def top_k(k: int, value: float = NEGATIVE, min_keep: int = 1) -> Warp:
     if k <= 0:
         raise ValueError("k must be positive")
     k = max(k, min_keep)
-    return lambda df: df.withColumn("score", _filtered(F.rank().over(ROW.orderBy(F.desc("score"))) <= k, value))
+    return lambda df: df.withColumn("score", _filtered(F.rank().over(row().orderBy(F.desc("score"))) <= k, value))
 
 
 def _with_p(df: DataFrame) -> DataFrame:
@@ -53,8 +58,8 @@ def top_p(p: float, value: float = NEGATIVE, min_keep: int = 1) -> Warp:
         raise ValueError("min_keep must be positive")
 
     def warp(df: DataFrame) -> DataFrame:
-        before = F.sum("__p").over(BY_SCORE.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__p")
-        keep = (before <= p) | (F.row_number().over(BY_SCORE) <= min_keep)
+        before = F.sum("__p").over(by_score().rowsBetween(Window.unboundedPreceding, 0)) - F.col("__p")
+        keep = (before <= p) | (F.row_number().over(by_score()) <= min_keep)
         return _with_p(df).withColumn("score", _filtered(keep, value)).drop("__p")
 
     return warp
@@ -68,7 +73,7 @@ def min_p(p: float, value: float = NEGATIVE, min_keep: int = 1) -> Warp:
         raise ValueError("min_keep must be positive")
 
     def warp(df: DataFrame) -> DataFrame:
-        keep = (F.col("__p") >= p * F.max("__p").over(ROW)) | (F.row_number().over(BY_SCORE) <= min_keep)
+        keep = (F.col("__p") >= p * F.max("__p").over(row())) | (F.row_number().over(by_score()) <= min_keep)
         return _with_p(df).withColumn("score", _filtered(keep, value)).drop("__p")
 
     return warp
@@ -155,7 +160,7 @@ def sample(df: DataFrame, u: Column | None = None, seed: int = 0) -> DataFrame:
     """(row_id, token_id): the first token, in order of ids, up to which the probabilities reach u; if none does, the first."""
     if u is None:
         u = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
-    in_order = ROW.orderBy("token_id").rowsBetween(Window.unboundedPreceding, 0)
+    in_order = row().orderBy("token_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = _with_p(df.withColumn("__u", u)).withColumn("__sum", F.sum("__p").over(in_order))
     hit = F.min(F.when(F.col("__sum") >= F.col("__u"), F.col("token_id")))
     return rows.groupBy("row_id").agg(F.coalesce(hit, F.min("token_id")).alias("token_id"))

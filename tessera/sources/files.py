@@ -112,7 +112,7 @@ def list_files(spark: SparkSession, folder: str, globs: list[str] | None = None)
     """(name, size, modified) of files below a folder. Contents are not read."""
     base = folder.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    name = F.substring_index(F.col("path"), F.lit(base.removeprefix("file://") + "/"), -1)
+    name = F.substring_index(F.col("path"), base.removeprefix("file://") + "/", -1)
     return files.select(name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).where(matches(F.col("name"), globs or [])).distinct()
 
 
@@ -206,7 +206,7 @@ def validate_offline(spark: SparkSession, folder: str, metadata: str) -> None:
         raise RepoError("offline_no_repo", folder)
     base = folder.rstrip("/").removeprefix("file://") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = raw.select(F.substring_index("path", F.lit(base), -1).alias("name"), file_hash(F.col("content")).alias("sha256")).where(~F.col("name").endswith(".metadata"))
+    files = raw.select(F.substring_index("path", base, -1).alias("name"), file_hash(F.col("content")).alias("sha256")).where(~F.col("name").endswith(".metadata"))
     if files.isEmpty():
         raise RepoError("offline_no_files", folder)
     bad = offline_violations(files, read_metadata(spark, metadata)).head()

@@ -62,8 +62,8 @@ def _weight(rates: DataFrame, above: str) -> Column:
 
 
 def _shrink(rates: DataFrame, above: str, name: str) -> DataFrame:
-    weight = rates.where("n > 0").agg(F.coalesce(_weight(rates, above), F.lit(WEIGHT[1])).alias("weight"))
-    return rates.join(F.broadcast(weight)).withColumn(name, (F.col("bad") + F.col("weight") * F.col(above)) / (F.col("n") + F.col("weight")))
+    weight = rates.where("n > 0").agg(_weight(rates, above)).head()[0] or WEIGHT[1]
+    return rates.withColumn("weight", F.lit(weight)).withColumn(name, (F.col("bad") + F.col("weight") * F.col(above)) / (F.col("n") + F.col("weight")))
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
@@ -74,9 +74,9 @@ def reputation(outcomes: DataFrame) -> DataFrame:
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .withColumns({"suffix": F.element_at(names, -1), "domain": F.concat_ws(".", F.slice(names, F.greatest(F.size(names) - 1, F.lit(1)), F.lit(2)))})
     )
-    total = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("rate"))
+    rate = hosts.agg((F.sum("bad") + 1) / (F.sum("n") + 2)).head()[0] or 0.5
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = _shrink(hosts.groupBy("suffix").agg(*sums).join(F.broadcast(total)), "rate", "suffix_rate").select("suffix", "suffix_rate")
+    suffixes = _shrink(hosts.groupBy("suffix").agg(*sums).withColumn("rate", F.lit(rate)), "rate", "suffix_rate").select("suffix", "suffix_rate")
     domains = _shrink(hosts.groupBy("suffix", "domain").agg(*sums).join(suffixes, "suffix"), "suffix_rate", "domain_rate").select("domain", "domain_rate")
     rates = _shrink(hosts.join(domains, "domain"), "domain_rate", "mean")
     bound = F.col("mean") - Z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("weight") + 1))

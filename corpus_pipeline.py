@@ -23,7 +23,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as good (score 0.5 or more); it is fitted on labels that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score(docs, quality.train(docs, labels)).where("score >= 0.5").select(*docs.columns)
+    scored = quality.score(shared.packed(docs), quality.train(docs, labels))
+    return shared.unpacked(scored.where("score >= 0.5"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,22 +35,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages of 50 words or more that a document with a smaller id has; where nothing is
     cut, the text stays as it is, and a document of which nothing is left goes."""
-    found = passages.remove(docs, passages.suffix_marks(docs))
+    found = passages.remove(shared.packed(docs), passages.suffix_marks(docs))
     cut = F.col("n_removed") > 0
-    columns = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("text"))}
+    kept = found.where(~cut | (F.col("n_removed") < F.col("n_words"))).withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(cut, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.where(~cut | (F.col("n_removed") < F.col("n_words"))).withColumns(columns).select(*docs.columns)
+        n = F.when(cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__rest.n_chars"))
+        kept = kept.withColumn("__rest", F.col("__rest").withField("n_chars", n))
+    return shared.unpacked(kept, docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    clean = decontaminate.decontaminate(shared.packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return shared.unpacked(clean, docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids (little-endian unsigned 32-bit) and digests of ids and of the text decoded from them."""
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
+    rows = bpe.encode_and_decode(docs.select("doc_id", "text"))
     n = (F.octet_length("token_ids") / 4).cast("long")
     return rows.select("doc_id", n.alias("n_tokens"), "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -47,3 +47,14 @@ def partitions(spark: SparkSession, total_bytes: int, each: int = 48 << 20) -> i
 
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one struct, so that their names cannot clash with those an operator adds."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("__rest")] if rest else []))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that `packed` was given, in their order."""
+    return rows.select(*(c if c in ("doc_id", "text") else F.col(f"__rest.`{c}`").alias(c) for c in columns))

@@ -26,7 +26,6 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -44,8 +43,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 #: Bytes of ids in a frame, before compression (a longer document has a frame of its own).
 FRAME_BYTES = 1 << 18
-#: Chunks a worker remembers (twice, see Chunks).
-CHUNKS = 500_000
+#: Chunks a worker remembers (twice, see Chunks), and marks that words often end with.
+CHUNKS, MARKS = 500_000, frozenset(",.;:!?")
 
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _INDEX = "shard int, path string, frame int, offset long, size long, content_size long, first_id long, last_id long, n_docs long, n_tokens long"
@@ -148,24 +147,46 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text: what encode(text, add_special_tokens=False) gives."""
         parts = [chunks(x) for x in texts]
-        rest, old = self.rest, self.rest.old
-        new = []
-        for x in set(chain.from_iterable(p[1:] for p in parts)).difference(rest):
-            if (found := old.get(x)) is not None:
-                rest.add(x, found)
-            else:
-                new.append(x)
+        get = self.rest.get
+        found = [list(map(get, p[1:])) for p in parts]
+        holes: list[tuple[list, int, str]] = []
+        for p, f in zip(parts, found, strict=True):
+            i = -1
+            for _ in range(f.count(None)):
+                i = f.index(None, i + 1)
+                holes.append((f, i, p[i + 1]))
+        made = self.made({x for _, _, x in holes})
+        for f, i, x in holes:
+            f[i] = made[x]
+        return [self.first[p[0]] + b"".join(f) for p, f in zip(parts, found, strict=True)]
+
+    def made(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not at hand. A mark at the end of a word is a match of its own, so the word may be known."""
+        get, old = self.rest.get, self.rest.old.get
         made: dict[str, bytes] = {}
+        marked: list[str] = []
+        new: dict[str, None] = {}
+        for x in missing:
+            if (v := old(x)) is not None:
+                made[x] = v
+            elif x[-1:] in MARKS and x[:-1].isalpha():
+                marked.append(x)
+                word = x[:-1]
+                if word not in missing and (v := get(word) or old(word)) is not None:
+                    made[word] = v
+                else:
+                    new[word] = None
+            else:
+                new[x] = None
+        new = [x for x in new if x not in made]
         for a in range(0, len(new), 4096):
             made |= self.learn(new[a : a + 4096])
-        for x, found in made.items():
+        for x in marked:
+            made[x] = made[x[:-1]] + self.first[x[-1]]
+        for x, v in made.items():
             if len(x) < 200:
-                rest.add(x, found)
-        if len(rest.old) and rest.old is not old or any(len(x) >= 200 for x in made):
-            get = lambda x: rest[x] if x in rest else made[x] if x in made else rest[x]
-        else:
-            get = rest.__getitem__
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
+                self.rest.add(x, v)
+        return made
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -227,7 +248,7 @@ def write(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, frame_byt
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "path", "frame", "offset", "size", "content_size", "first_id", "last_id", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = shared.partitions(spark, shared.text_bytes(rows))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return shared.cut(ordered.mapInArrow(save, _INDEX))
 

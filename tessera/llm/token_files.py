@@ -43,8 +43,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 #: Bytes of ids in a frame, before compression (a longer document has a frame of its own).
 FRAME_BYTES = 1 << 18
-#: Chunks a worker remembers (twice, see Chunks), and marks that words often end with.
-CHUNKS, MARKS = 500_000, frozenset(",.;:!?")
+#: Chunks a worker remembers (twice: of this generation and of the one before).
+CHUNKS = 500_000
 
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _INDEX = "shard int, path string, frame int, offset long, size long, content_size long, first_id long, last_id long, n_docs long, n_tokens long"
@@ -128,65 +128,46 @@ class Encoder:
         self.size = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.size[i] = len(token)
-        self.first, self.rest = Chunks(self.one, "", 20_000), Chunks(self.one, " ", CHUNKS)
+        self.first = Chunks(self.one, "", 20_000)
+        # ids of chunks: of this generation, and of the one before, from which chunks that occur again come back
+        self.rest: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, new: list[str]) -> dict[str, bytes]:
+    def learn(self, new: list[str]) -> list[bytes]:
         """Encodes chunks in one go: no token crosses the place where a chunk begins, so their ids are cut apart by size."""
-        texts = [" " + x for x in new]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(x.encode()) for x in texts])) + 1
-        raw, out, a = ids.tobytes(), {}, 0
-        for x, b in zip(new, ends.tolist(), strict=True):
-            out[x] = raw[4 * a : 4 * b]
-            a = b
-        return out
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+        sizes = np.array(list(map(len, map(str.encode, new)))) + 1
+        ends = ((np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(sizes)) + 1) * 4).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text: what encode(text, add_special_tokens=False) gives."""
         parts = [chunks(x) for x in texts]
-        get = self.rest.get
-        found = [list(map(get, p[1:])) for p in parts]
-        holes: list[tuple[list, int, str]] = []
-        for p, f in zip(parts, found, strict=True):
-            i = -1
-            for _ in range(f.count(None)):
-                i = f.index(None, i + 1)
-                holes.append((f, i, p[i + 1]))
-        made = self.made({x for _, _, x in holes})
-        for f, i, x in holes:
-            f[i] = made[x]
-        return [self.first[p[0]] + b"".join(f) for p, f in zip(parts, found, strict=True)]
-
-    def made(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not at hand. A mark at the end of a word is a match of its own, so the word may be known."""
-        get, old = self.rest.get, self.rest.old.get
-        made: dict[str, bytes] = {}
-        marked: list[str] = []
-        new: dict[str, None] = {}
-        for x in missing:
-            if (v := old(x)) is not None:
-                made[x] = v
-            elif x[-1:] in MARKS and x[:-1].isalpha():
-                marked.append(x)
-                word = x[:-1]
-                if word not in missing and (v := get(word) or old(word)) is not None:
-                    made[word] = v
-                else:
-                    new[word] = None
-            else:
-                new[x] = None
-        new = [x for x in new if x not in made]
+        first = [self.first[p[0]] for p in parts]
+        found: set[str] = set()
+        for p in parts:
+            del p[0]
+            found.update(p)
+        rest = self.rest
+        new = found.difference(rest)
+        if len(rest) + len(new) > CHUNKS:
+            self.old, self.rest = rest, (rest := {})
+            new = found
+        again = new.intersection(self.old)
+        rest.update((x, self.old[x]) for x in again)
+        new = list(new.difference(again))
         for a in range(0, len(new), 4096):
-            made |= self.learn(new[a : a + 4096])
-        for x in marked:
-            made[x] = made[x[:-1]] + self.first[x[-1]]
-        for x, v in made.items():
-            if len(x) < 200:
-                self.rest.add(x, v)
-        return made
+            some = new[a : a + 4096]
+            rest.update(zip(some, self.learn(some), strict=True))
+        out = [f + b"".join(map(rest.__getitem__, p)) for f, p in zip(first, parts, strict=True)]
+        for x in new:
+            if len(x) >= 200:
+                del rest[x]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import shared
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Chunks (twice, see Chunks) and token pairs a worker remembers.
 CHUNKS, PAIRS = 250_000, 200_000
@@ -202,6 +204,7 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with(rows: DataFrame, path: str, add: list[str], made: Callable[[Bpe | list[bytes], pa.RecordBatch], list[list[bytes]]], encoder: bool) -> DataFrame:
     """rows with binary columns that a worker's encoder (or the tokens alone) makes of small batches."""
+    shared.lean(rows.sparkSession)
     names, tokens = rows.columns, _vocabulary(rows.sparkSession, path)
     schema = T.StructType([*rows.schema.fields, *(T.StructField(x, T.BinaryType()) for x in add)])
 

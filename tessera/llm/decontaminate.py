@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm import words
+from tessera.llm import shared, words
 
 #: Words of a window, and windows broadcast at once (about 100 bytes each).
 WINDOW, BLOCK = 10, 200_000
@@ -70,6 +70,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int
     """docs, with n_words, n_hit, hits (start and end word of runs of hit words) and items (ids, each once).
 
     These columns must not be among docs'."""
+    shared.lean(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(_HIT)), T.StructField("items", T.ArrayType(T.StringType()))])

@@ -273,6 +273,7 @@ def _reduce(work):
 def marks(docs: DataFrame, work, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, text_key, and the words (from start to before end) that windows of smaller documents cover."""
     spark = docs.sparkSession
+    shared.lean(spark)
     n = shared.partitions(spark, 3 * shared.text_bytes(docs))
     buckets = 4 * n
     common = spark.sparkContext.broadcast(frequent(docs, gram))

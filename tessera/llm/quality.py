@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm import words
+from tessera.llm import shared, words
 
 #: Documents to fit on at most; buckets; numbers of a vector; passes over the documents; step size.
 TRAIN_ROWS, BUCKETS, DIM, EPOCHS, RATE = 4000, 1 << 18, 8, 6, 0.3
@@ -110,6 +110,7 @@ def fit(rows: list[tuple[str | None, int]], buckets: int = BUCKETS, dim: int = D
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs, with score (double, 0 to 1)."""
+    shared.lean(docs.sparkSession)
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few short columns may be broadcast (about 64 MB at most).
 BROADCAST_ROWS = 1_000_000
+#: Environment of Python workers: arrays over 4 MB have pages of their own, Arrow's buffers are allocated like numpy's.
+ALLOCATION = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -23,6 +25,13 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def lean(spark: SparkSession) -> None:
+    """Python workers give freed arrays back to the system at once, so those of one stage do not weigh on the next.
+    Must come before the first Python function of a plan; a setting of the user's own stays."""
+    for name, value in ALLOCATION.items():
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder, so that later work neither repeats them nor depends on an executor."""
     scratch(df.sparkSession)

@@ -32,7 +32,7 @@ from tessera.llm import shared
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Chunks (twice, see Chunks) and token pairs a worker remembers.
-CHUNKS, PAIRS = 250_000, 200_000
+CHUNKS, PAIRS = 150_000, 200_000
 #: Rows handled at once.
 ROWS = 256
 

@@ -40,7 +40,7 @@ PART = 1 / 20_000
 #: m-grams counted at once by a task.
 COUNTED = 1 << 21
 #: Bytes of packed strings that a task holds before it writes blobs.
-HELD = 48 << 20
+HELD = 16 << 20
 
 _MARKS = "doc_id long, text_key long, start int, end int"
 

@@ -129,7 +129,8 @@ def _rarest(common, percent: int):
                 row, value, sizes = shingle_sets(texts)
                 sig = signatures(row, value, sizes)
                 send = np.zeros(len(texts), dtype=bool)
-                for i in np.flatnonzero(sizes >= 100 // (100 - percent)).tolist():
+                # a set of n links with a larger one only if n of n + 1 are enough
+                for i in np.flatnonzero(sizes * (100 - percent) >= percent).tolist():
                     if int(sig[i]) not in seen:
                         seen.add(int(sig[i]))
                         send[i] = True

@@ -76,6 +76,16 @@ def test_near_copies_of_one_text(spark):
     assert found == sorted(jaccard.brute_force(rows))
 
 
+def test_near_copies_of_short_texts(spark):
+    w = [f"s{i}" for i in range(40)]
+    eight = " ".join(w[1:9])
+    texts = [eight, " ".join(w[:9]), " ".join(w[1:10]), " ".join(w[1:8]), " ".join(w[20:28]), " ".join(w[20:29]), " ".join(w[20:30]), " ".join(w[30:34]), " ".join(w[30:35]), " ".join(w[30:36]), eight.upper()]
+    rows = [(d, t) for d, t in enumerate(texts, 1)]
+    found = sorted(map(tuple, jaccard.join(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert found == sorted(jaccard.brute_force(rows))
+    assert {c for d, _, c in found if d in (1, 2, 3, 11)} == {1} and {c for d, _, c in found if d in (5, 6, 7)} == {5}
+
+
 def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(7, " ".join(f"p{i}" for i in range(5, 30))), (10, "few words"), (9, "..."), (8, None), (None, "w1 w2"), (7, "FINISH two")], "item_id long, text string")
     found = {(r.doc_id, r.n_words): r for r in decontaminate.report(docs, bench).collect() if r.doc_id is not None}

@@ -12,10 +12,15 @@ The result, the host's wrapper, is a regular expression without unions; a stream
 Tasks first fold streams and count distinct ones, so a host with a third of all pages sends few rows; streams are merged
 by (host, salt), and then by host. Wrappers of all hosts are joined to pages by broadcast only if they are few.
 
-In a wrapper a slot's place is the chain of elements open there. A slot is main text if no element of the chain is
-a menu, header, footer, sidebar, notice, advert, form, reader comment or the like (by tag, role, or class and id words) and,
-if the host's wrapper has an article or main element, one of these is open. A page is then read once: its texts go into
-blocks (block-level tags end one), character references are decoded, white space in a block becomes one space.
+In a wrapper a slot's place is the chain of elements open there. A place's slots before its first optional or repeated
+group are slots of their own, those from there on are one. Pages are read into blocks (block-level tags end one), character
+references are decoded, white space in a block becomes one space; each block belongs to one slot. For each host and slot it is
+counted on how many different pages it occurs and with how many different texts. A slot on at least 5 of them, whose texts
+are each on half of its pages on average, is template.
+
+A block is main text if no element of its chain is a menu, header, footer, sidebar, notice, advert, form, reader comment or the
+like (by tag, role, or whole class and id names) and, if this page has an article or main element with text, one of these is open.
+Of these blocks those in template slots are left out, unless the page has no others: then it is one of many copies.
 
 A null html is an empty page, a null url has the empty host. A page without main text has the empty text. Repeated
 rows are pages of their own. Extra columns are not read.
@@ -23,10 +28,12 @@ rows are pages of their own. Extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
+import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -38,6 +45,8 @@ from tessera.llm.host_reputation import parts
 
 #: Groups of streams of one host that are merged apart from each other first.
 SALTS = 16
+#: Different pages that a template slot is on, at least; part of them that one of its texts is on, on average.
+PAGES, SHARE = 5, 0.5
 #: Hosts whose wrappers may be broadcast (about 1 KB each).
 HOSTS = 20_000
 
@@ -63,13 +72,16 @@ ASIDE_WORDS = frozenset(
     " popup modal widget toolbar copyright form search login signup pagination pager".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
+#: Elements that the name main makes main; elements that are around main text, whatever they are called.
+MAIN_BOXES = frozenset(("div", "section", "td", "center"))
+NEVER_ASIDE = frozenset(("html", "body", "main", "article"))
 
 
 def _key(name: str, attributes: str) -> str:
-    """Name and sorted naming words of a start tag."""
+    """Name and sorted class, id and role names of a start tag."""
     if "=" not in attributes:
         return name
-    found = {w for m in _NAMING.finditer(attributes) for w in re.findall(r"[a-z][a-z0-9]*", (m[2] or m[3] or m[4] or "").lower())}
+    found = {w for m in _NAMING.finditer(attributes) for w in re.sub(r"[^\w\s-]", "_", (m[2] or m[3] or m[4] or "").lower()).split()}
     return ".".join([name, *sorted(found)]) if found else name
 
 
@@ -222,64 +234,90 @@ def infer(streams: list[str]) -> str:
 
 def _is_aside(key: str) -> bool:
     name, _, rest = key.partition(".")
-    return name in ASIDE_TAGS or bool(rest) and not ASIDE_WORDS.isdisjoint(rest.split("."))
+    return name not in NEVER_ASIDE and (name in ASIDE_TAGS or bool(rest) and not ASIDE_WORDS.isdisjoint(rest.split(".")))
 
 
 def _is_main(key: str) -> bool:
     name, _, rest = key.partition(".")
-    return name in MAIN_TAGS or "main" in rest.split(".")
+    return name in MAIN_TAGS or name in MAIN_BOXES and "main" in rest.split(".")
 
 
-class Reader:
-    """Reads pages of a host by its wrapper."""
-
-    def __init__(self, wrapper: str):
-        places, chain = set(), []
-        for item in re.findall(r"</?[^<>]*>|#", wrapper):
-            if item == "#":
-                places.add(tuple(chain))
-            elif item[1] == "/":
-                leave(chain, item[2:-1])
-            else:
-                enter(chain, item[1:-1])
-        self.bounded = any(_is_main(k) for p in places if not any(map(_is_aside, p)) for k in p)
-        self.roles = {p: self._role(p) for p in places}
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    def _role(self, place: tuple[str, ...]) -> bool:
-        return not any(map(_is_aside, place)) and (not self.bounded or any(map(_is_main, place)))
 
-    def text(self, page: str) -> str:
-        blocks: list[str] = []
+class Reader:
+    """Reads pages of a host by its wrapper and its template slots."""
+
+    def __init__(self, wrapper: str, template: Iterable[int] = ()):
+        self.template = frozenset(template)
+        self.fixed: Counter[tuple[str, ...]] = Counter()
+        self.roles: dict[tuple[str, ...], tuple[bool, bool]] = {}
+        self.slots: dict[tuple[tuple[str, ...], int], int] = {}
+        chain: list[str] = []
+        ended = set()
+        for item in _ITEM.findall(wrapper):
+            for part in re.findall(r"<[^<>]*>|#", item):
+                if part == "#":
+                    place = tuple(chain)
+                    if item[0] == "(":
+                        ended.add(place)
+                    elif place not in ended:
+                        self.fixed[place] += 1
+                elif part[1] == "/":
+                    leave(chain, part[2:-1])
+                else:
+                    enter(chain, part[1:-1])
+
+    def _role(self, place: tuple[str, ...]) -> tuple[bool, bool]:
+        """Whether a place is not aside, and whether it is in a main element."""
+        if place not in self.roles:
+            self.roles[place] = not any(map(_is_aside, place)), any(map(_is_main, place))
+        return self.roles[place]
+
+    def _slot(self, place: tuple[str, ...], k: int) -> int:
+        """The slot of a page's k-th block in a place."""
+        key = place, min(k, self.fixed[place])
+        if key not in self.slots:
+            self.slots[key] = _hash("\n".join([*place, str(key[1])]))
+        return self.slots[key]
+
+    def blocks(self, page: str) -> Iterator[tuple[int, bool, str]]:
+        """(slot, in a main element, text) of all blocks that are not aside."""
         held: list[str] = []
         chain: list[str] = []
-        main = self._role(())
-
-        def close() -> None:
-            if held:
-                block = " ".join(_html.unescape("".join(held)).split())
-                if block:
-                    blocks.append(block)
-                held.clear()
+        seen: Counter[tuple[str, ...]] = Counter()
+        place = ()
+        body, main = self._role(place)
 
-        for kind, value in tokens(page):
+        for kind, value in itertools.chain(tokens(page), [(">", "")]):
             if kind == "#":
-                if main:
+                if body:
                     held.append(value)
             elif kind == "-":
-                if value == "br" and main:
+                if value == "br" and body:
                     held.append(" ")
             else:
-                close()
+                if held:
+                    raw = "".join(held)
+                    held.clear()
+                    if not raw.isspace():
+                        block = " ".join(_html.unescape(raw).split())
+                        if block:
+                            yield self._slot(place, seen[place]), main, block
+                        seen[place] += 1
                 if kind == "<":
                     enter(chain, value)
                 else:
                     leave(chain, value)
                 place = tuple(chain)
-                main = self.roles.get(place)
-                if main is None:
-                    main = self.roles[place] = self._role(place)
-        close()
-        return "\n".join(blocks)
+                body, main = self._role(place)
+
+    def text(self, page: str) -> str:
+        found = list(self.blocks(page))
+        found = [b for b in found if b[1]] or found
+        found = [b for b in found if b[0] not in self.template] or found
+        return "\n".join(b[2] for b in found)
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,24 +340,52 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return part.groupBy("host").applyInPandas(merge, "host string, stream string, n long").select("host", F.col("stream").alias("wrapper"), F.col("n").alias("n_pages"))
 
 
+def _readers(batch: pa.RecordBatch, readers: dict[str, Reader]) -> Iterator[tuple[str, Reader]]:
+    """Page and reader of rows (html, host, wrapper, and maybe template)."""
+    columns = [batch.column(c).to_pylist() for c in batch.schema.names]
+    for page, host, wrapper, *template in zip(*columns, strict=True):
+        if host not in readers:
+            if len(readers) > 1000:
+                readers.clear()
+            readers[host] = Reader(wrapper or "", template[0] or () if template else ())
+        yield page or "", readers[host]
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    readers: dict[str, Reader] = {}
+    for batch in batches:
+        pages, found = [], []
+        for page, reader in _readers(batch, readers):
+            pages.append(_hash(page))
+            found.append([{"slot": s, "value": v} for s, v in dict.fromkeys((s, _hash(t)) for s, _, t in reader.blocks(page))])
+        kind = pa.list_(pa.struct([("slot", pa.int64()), ("value", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(pages, pa.int64()), pa.array(found, kind)], ["host", "page", "slots"])
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """(host, template: slots) of rows (html, host, wrapper). Copies of a page count as one."""
+    pages = rows.select("html", "host", "wrapper").mapInArrow(_slots, "host string, page long, slots array<struct<slot: long, value: long>>").dropDuplicates(["host", "page"])
+    texts = pages.select("host", "page", F.explode("slots").alias("s")).select("host", "page", "s.*")
+    own = texts.groupBy("host", "slot", "value").agg(F.count("*").alias("n"))
+    uses = own.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.count("*").alias("n_texts"))
+    on = pages.select("host", F.explode(F.array_distinct("slots.slot")).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("n_pages"))
+    found = uses.join(on, ["host", "slot"]).where((F.col("n_pages") >= PAGES) & (F.col("n") >= SHARE * F.col("n_texts") * F.col("n_pages")))
+    return found.groupBy("host").agg(F.collect_list("slot").alias("template"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row for each page: page_id, url, text, n_chars."""
     host, _ = parts(F.col("url"))
-    found = shared.small(shared.cut(wrappers(pages).select("host", "wrapper")), HOSTS)
-    rows = pages.select("page_id", "url", "html", host.alias("host")).join(found, "host", "left").select("page_id", "url", "html", "wrapper")
+    rows = pages.select("page_id", "url", "html", host.alias("host"))
+    found = shared.cut(wrappers(pages).select("host", "wrapper"))
+    known = found.join(templates(rows.join(shared.small(found, HOSTS), "host", "left")), "host", "left")
+    rows = rows.join(shared.small(shared.cut(known), HOSTS), "host", "left").select("page_id", "url", "html", "host", "wrapper", "template")
     schema = pages.select("page_id", "url").schema.add("text", "string")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers: dict[str, Reader] = {}
         for batch in batches:
-            out = []
-            for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                wrapper = wrapper or ""
-                if wrapper not in readers:
-                    if len(readers) > 1000:
-                        readers.clear()
-                    readers[wrapper] = Reader(wrapper)
-                out.append(readers[wrapper].text(page or ""))
+            out = [reader.text(page) for page, reader in _readers(batch.select(["html", "host", "wrapper", "template"]), readers)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     return rows.mapInArrow(read, schema).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -174,6 +174,18 @@ def test_wrappers(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_wrappers_tell_template_from_content(spark):
+    rows = [(i, f"http://h/{i}", f"<body class='no-sidebar'><div>Welcome to our site</div><div class='with-sidebar'><p>text {i}</p><p>more {i}</p></div></body>") for i in range(6)]
+    rows += [(10, "http://h/10", "<article><p>own</p></article><p>around</p>"), (11, "http://h/11", "<h1 class='main-title'>title</h1><p>below</p>"), (12, "http://h/12", "<h1 class='main'>top</h1><p>under</p>")]
+    rows += [(20 + i, "http://copies/", "<p>same</p>") for i in range(9)] + [(30 + i, f"http://near/{i}", f"<nav>{i}</nav><p>same</p>") for i in range(9)]
+    rows += [(40 + i, f"http://few/{i}", "<div>Welcome</div><p>x</p>" if i else "<div>Welcome</div><p>y</p>") for i in range(4)]
+    found = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {
+        **{i: f"text {i}\nmore {i}" for i in range(6)}, 10: "own", 11: "title\nbelow", 12: "top\nunder", **{20 + i: "same" for i in range(9)}, **{30 + i: "same" for i in range(9)},
+        **{40 + i: "Welcome\nx" if i else "Welcome\ny" for i in range(4)},
+    }
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 8)).astype(float)

@@ -229,6 +229,51 @@ def test_pipeline(spark):
     assert texts
 
 
+def test_pipeline_is_brute_force(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rng = np.random.default_rng(4)
+    say = lambda kind, n: [f"{kind}{i}" for i in rng.integers(0, 300, n)]
+    good = [say("good", int(n)) for n in rng.integers(30, 90, 60)]
+    passage, item, short = say("good", 55), say("good", 12), say("good", 10)
+    near = list(good[5])
+    near[0] = "good_other"
+    good += [near, list(good[7]), short[1:9], short[:9], short[1:], say("good", 80) + passage, say("good", 90) + passage + say("good", 40), passage + say("good", 70), passage]
+    good += [say("good", 20) + item + say("good", 20), say("good", 40) + [item[0].upper(), *item[1:]]]
+    bad = [say("bad", int(n)) for n in rng.integers(30, 90, 40)]
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(good, 1)] + [(i, " ".join(ws)) for i, ws in enumerate(bad, 1001)]
+    d = str(tmp_path)
+    spark.createDataFrame([(i, int(i < 1000), 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item)), (2, "nowhere at all")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+
+    kept = {"quality": [r for r in rows if r[0] < 1000]}
+    own = {i for i, _, c in jaccard.brute_force(kept["quality"]) if i == c}
+    kept["near_duplicates"] = [r for r in kept["quality"] if r[0] in own]
+    assert len(kept["near_duplicates"]) == len(good) - 4
+    first, kept["repeated_passages"] = set(), []
+    for i, text in kept["near_duplicates"]:
+        ws = text.split()
+        windows = [tuple(ws[k : k + 50]) for k in range(len(ws) - 49)]
+        gone = {k + j for k, w in enumerate(windows) if w in first for j in range(50)}
+        first |= set(windows)
+        if len(gone) < len(ws):
+            kept["repeated_passages"].append((i, " ".join(w for k, w in enumerate(ws) if k not in gone) if gone else text))
+    assert sum(len(t) for _, t in kept["near_duplicates"]) > sum(len(t) for _, t in kept["repeated_passages"])
+    kept["benchmark_passages"] = [r for r in kept["repeated_passages"] if not any(f" {' '.join(item[k : k + 10])} " in f" {r[1].lower()} " for k in range(3))]
+    assert len(kept["benchmark_passages"]) == len(kept["repeated_passages"]) - 2
+    one = bpe.Bpe(bpe.read_ranks())
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    tokens = sorted((i, digest(one.encode(t)), digest(t.encode())) for i, t in kept["benchmark_passages"])
+
+    now = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in pipeline.STAGES:
+        now = shared.cut(stage(spark, now, d))
+        if name == "encode":
+            assert sorted(map(tuple, now.select("doc_id", "ids_sha256", "decoded_sha256").collect())) == tokens
+        else:
+            assert sorted(map(tuple, now.select("doc_id", "text").collect())) == kept[name], name
+
+
 def test_pipeline_query_is_whole(spark):
     assert pipeline_rows(spark) > 0
     assert "pipeline" in queries.QUERIES

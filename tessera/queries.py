@@ -305,7 +305,7 @@ def gen_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gen_loop_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = logits.greedy(_logits(spark, sf_dir).where("row_id < 64")).select(F.col("row_id").alias("token_id"), F.col("token_id").alias("next_id"))
+    best = logits.greedy(_logits(spark, sf_dir)).select(F.col("row_id").alias("token_id"), F.col("token_id").alias("next_id"))
     prompts = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq_id"), (F.col("vec_id") % 64).alias("token_id"))
     return generate.follow(prompts, best, 8).withColumn("step", F.col("step").cast("long"))
 

@@ -20,6 +20,13 @@ def test_query(spark, duck, name):
     assert rows == sorted(repr(tuple(r[i] for i in at)) for r in found)
 
 
+def test_generation_reaches_all_rows(spark, tmp_path):
+    rows = [(i, [float(j == (i + 1) % 70) for j in range(70)]) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {(r.seq_id, r.step): r.token_id for r in queries.QUERIES["gen_loop_table"](spark, str(tmp_path)).collect()}
+    assert found == {(i, k): (i % 64 + k) % 70 for i in range(80) for k in range(9)}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -225,11 +225,11 @@ def count_bucket(blobs: list[bytes], length: int) -> list[tuple[int, int, int, i
 
 
 def align_bucket(blobs: list[bytes], length: int, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
-    """Sorts a bucket's sampled suffixes, compares neighbours, and extends runs of equal beginnings left and right.
+    """Sorts a bucket's sampled suffixes and groups them by the anchor's m-gram.
 
     A suffix begins at its anchor and ends where its record does; neighbours that agree on the
-    anchor's m-gram, and lie in two documents or more, are a run. Within a run a match is
-    extended from the anchor to both sides, up to the records' ends; what lies beyond belongs to the next anchor."""
+    anchor's m-gram, and lie in two documents or more, are a run. Windows of a run's records are counted
+    as in count_bucket: the order has no effect on the marks, and no match is extended."""
     head, body, ends = _open(blobs)
     out: list[tuple[int, int, int, int]] = []
     for rows in _groups(head):
@@ -288,7 +288,7 @@ def super_kmer_marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def suffix_marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Suffix-array dedup: the same marks, from sorted suffixes at minimiser positions."""
+    """The same marks, from suffixes at minimiser positions that are sorted and grouped, and windows counted in the groups."""
     return marks(docs, lambda blobs: align_bucket(blobs, length), length)
 
 

@@ -47,31 +47,62 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Values whose prefix sums are held at once, and ranges are hashed within; a longer range is hashed in pieces.
+BLOCK = 1 << 20
+
+
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, grown as needed."""
+    """Powers of an odd base and of its inverse modulo 2^64, as many as a block and a range that begins in it need."""
 
     def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+        self.base = int(base)
+        self.up, self.down = (self._powers(b) for b in (self.base, pow(self.base, -1, 1 << 64)))
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _powers(base: int) -> np.ndarray:
+        steps = np.full(1 << 16, base, dtype=np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=np.uint64)
+
+    def grow(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up), 1 << 16)
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
+            # a power of i is that of its high part times that of its low part
+            size = 1 << 16
+            for name, base in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
+                low = getattr(self, name)[:size]
+                high = np.array([pow(base, size * k, 1 << 64) for k in range(-(-n // size))], dtype=np.uint64)
+                setattr(self, name, (high[:, None] * low[None, :]).ravel())
 
 
 _BYTES, _WORDS = _Powers(_BASE), _Powers(_STEP)
 
 
-def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
-    up, down = powers.get(len(values) + 1)
+def _within(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
+    powers.grow(len(values) + 1)
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * down[starts]
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers.up[: len(values)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * powers.down[starts]
+
+
+def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
+    """A polynomial of each range of the values; starts ascend. Memory is that of two blocks, however many values there are."""
+    if len(values) <= 2 * BLOCK:
+        return _within(values, starts, ends, powers)
+    out = np.empty(len(starts), dtype=np.uint64)
+    wide = ends - starts > BLOCK
+    for i in np.flatnonzero(wide).tolist():
+        total = 0
+        for k, at in enumerate(range(int(starts[i]), int(ends[i]), BLOCK)):
+            part = values[at : min(at + BLOCK, int(ends[i]))]
+            total += int(_within(part, np.zeros(1, dtype=np.int64), np.array([len(part)]), powers)[0]) * pow(powers.base, k * BLOCK, 1 << 64)
+        out[i] = total & 0xFFFFFFFFFFFFFFFF
+    bounds = np.searchsorted(starts, np.arange(0, len(values) + BLOCK, BLOCK))
+    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        rows = a + np.flatnonzero(~wide[a:b])
+        if len(rows):
+            lo = k * BLOCK
+            out[rows] = _within(values[lo : int(ends[rows].max())], starts[rows] - lo, ends[rows] - lo, powers)
+    return out
 
 
 @dataclass
@@ -91,7 +122,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        h = _ranges(self.text.astype(np.uint64) + np.uint64(1), self.starts, self.ends, _BYTES)
+        h = _ranges(self.text, self.starts, self.ends, _BYTES)
         return mix(h + (self.ends - self.starts).astype(np.uint64) * _STEP)
 
     def joined(self, first: int, last: int) -> bytes:

@@ -55,10 +55,19 @@ def test_bpe_equals_merging_by_rank(encoder, text):
     assert encoder.decode(ids) == text.encode()
 
 
-def test_tokenizer_by_chunks():
+def test_hashes_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [b" ".join(rng.choice([b"a", b"bc", b"def", b"g" * 90], 400)), b"x" * 1000, b"a bc " + b"y" * 300]
+    w = words.split(texts)
+    whole = w.hashes(), words.windows(w.hashes(), 7)
+    monkeypatch.setattr(words, "BLOCK", 64)
+    assert np.array_equal(w.hashes(), whole[0]) and np.array_equal(words.windows(whole[0], 7), whole[1])
+
+
+def test_tokenizer_by_chunks(monkeypatch):
     random.seed(1)
+    monkeypatch.setattr(token_files, "CHUNKS", 300)
     made = token_files.Encoder(open(token_files.TOKENIZER).read())
-    made.rest.most = 300
     texts = ["".join(random.choice("ab eé'st \n\t 12漢.,!\x1c\x85") for _ in range(random.randrange(40))) for _ in range(3000)] + ["x<|endoftext|> y", "a" * 500 + " " + "b" * 700, ""]
     found = [x for a in range(0, len(texts), 64) for x in made.encode(texts[a : a + 64])]
     assert found == [made.one(x) for x in texts]

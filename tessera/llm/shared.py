@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Environment of Python workers: arrays over 4 MB have pages of their own, Arrow's buffers are allocated like numpy's.
 ALLOCATION = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Bytes of an Arrow batch, instead of Spark's 64 MB.
+BATCH, _BATCH = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -26,10 +28,12 @@ def scratch(spark: SparkSession) -> str:
 
 
 def lean(spark: SparkSession) -> None:
-    """Python workers give freed arrays back to the system at once, so those of one stage do not weigh on the next.
-    Must come before the first Python function of a plan; a setting of the user's own stays."""
+    """Python workers give freed arrays back to the system at once, so those of one stage do not weigh on the next, and get
+    Arrow batches of a few MB. Must come before the first Python function of a plan; a setting of the user's own stays."""
     for name, value in ALLOCATION.items():
         spark.sparkContext.environment.setdefault(name, value)
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, BATCH)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -64,6 +68,6 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("__rest")] if rest else []))
 
 
-def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns that `packed` was given, in their order."""
-    return rows.select(*(c if c in ("doc_id", "text") else F.col(f"__rest.`{c}`").alias(c) for c in columns))
+def unpacked(rows: DataFrame, columns: list[str], *added: str) -> DataFrame:
+    """The columns that `packed` was given, in their order, and those added."""
+    return rows.select(*(c if c in ("doc_id", "text") else F.col(f"__rest.`{c}`").alias(c) for c in columns), *added)

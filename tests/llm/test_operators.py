@@ -51,7 +51,36 @@ def repeated(rows, length=50):
 @pytest.mark.parametrize("operator", [passages.substring_dedup, passages.suffix_dedup])
 def test_passages(docs, none, operator):
     assert sorted(map(tuple, operator(docs).collect()), key=str) == repeated(ROWS)
+    assert sorted(map(tuple, operator(docs, most=0).collect()), key=str) == repeated(ROWS)
     assert operator(none).count() == 0
+    assert operator(none, most=-1).count() == 0
+
+
+@pytest.mark.parametrize("operator", [passages.substring_dedup, passages.suffix_dedup])
+def test_passages_of_random_words(spark, operator):
+    rng = np.random.default_rng(8)
+    parts = [[f"r{i}" for i in rng.integers(0, 4, 12)] for _ in range(5)]
+    rows = [(int(d), " ".join(w for k in rng.integers(0, 5, int(n)) for w in parts[k])) for d, n in zip(rng.integers(0, 50, 60), rng.integers(0, 9, 60), strict=True)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for most in (passages.TABLE, 0):
+        assert sorted(map(tuple, operator(df, 9, most).collect()), key=str) == repeated(rows, 9)
+
+
+def test_suffixes_need_their_order(monkeypatch):
+    texts = [b"a b c d x y z q", b"b c d x y r", b"z c d x y z q", b"a b c d x y z q s"]
+    args = texts, np.array([3, 2, 2, 3]), np.array([1, 2, 3, 4]), np.array([1, 2, 3, 4]), 5, 2
+    rows = lambda found: sorted(zip(*(c.tolist() for c in found), strict=True))
+    found = rows(passages.sorted_suffixes(*args))
+    assert found == rows(passages.sorted_windows(*args)) == [(1, 0, 1), (2, 1, 1), (2, 2, 1), (3, 0, 1), (3, 1, 1), (3, 2, 1), (3, 3, 1)]
+    monkeypatch.setattr(passages, "sorted", lambda x, key: list(x), raising=False)
+    assert rows(passages.sorted_suffixes(*args)) != found
+
+
+def test_passages_keep_extra_columns(docs):
+    clash = docs.select(F.lit(1).alias("digest"), "*", F.lit(2).alias("n_words"), F.lit(3).alias("__spans"), F.lit("x").alias("key"))
+    for most in (passages.TABLE, 0):
+        rows = passages.remove(clash, passages.suffix_repeats(clash), most).collect()
+        assert {(r["digest"], r["key"], r["__spans"]) for r in rows} == {(1, "x", 3)} and {r.n_words for r in rows if r.doc_id == 1} == {64}
 
 
 def test_jaccard(docs, none):

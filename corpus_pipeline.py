@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages of 50 words or more that a document with a smaller id has; where nothing is
     cut, the text stays as it is, and a document of which nothing is left goes."""
-    found = passages.remove(shared.packed(docs), passages.suffix_marks(docs))
+    found = passages.remove(shared.packed(docs), passages.suffix_repeats(docs))
     cut = F.col("n_removed") > 0
     kept = found.where(~cut | (F.col("n_removed") < F.col("n_words"))).withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

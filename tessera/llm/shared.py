@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +66,16 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
 
 
+def runs(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of a string column with about `most` bytes; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, end - at
+        at = end
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and all other columns as one struct, so that their names cannot clash with those an operator adds."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]

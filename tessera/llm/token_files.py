@@ -24,12 +24,14 @@ the same doc_id are in the order of their texts. An empty table gives an empty i
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -43,8 +45,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 #: Bytes of ids in a frame, before compression (a longer document has a frame of its own).
 FRAME_BYTES = 1 << 18
-#: Chunks a worker remembers (twice: of this generation and of the one before).
-CHUNKS = 500_000
+#: Chunks a worker remembers (twice: of this generation and of the one before), about 150 bytes each; bytes of texts encoded at once.
+CHUNKS, TEXT_BYTES = 500_000, 8 << 20
 
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _INDEX = "shard int, path string, frame int, offset long, size long, content_size long, first_id long, last_id long, n_docs long, n_tokens long"
@@ -115,6 +117,10 @@ def _open(path: str):
     return fs.open_input_file(inner)
 
 
+#: Letters and the ASCII marks after them, but for apostrophes, which may begin a contraction.
+_TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+
+
 class Encoder:
     """A tokenizer, with the chunks it has encoded so far."""
 
@@ -129,6 +135,7 @@ class Encoder:
         for token, i in vocab.items():
             self.size[i] = len(token)
         self.first = Chunks(self.one, "", 20_000)
+        self.tails = Chunks(self.one, "", 1000)
         # ids of chunks: of this generation, and of the one before, from which chunks that occur again come back
         self.rest: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -144,31 +151,69 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text: what encode(text, add_special_tokens=False) gives."""
-        parts = [chunks(x) for x in texts]
-        first = [self.first[p[0]] for p in parts]
-        found: set[str] = set()
-        for p in parts:
-            del p[0]
-            found.update(p)
-        rest = self.rest
-        new = found.difference(rest)
+    def known(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct chunks. The tokenizer splits between letters and punctuation marks, so letters with marks behind them are
+        looked up without these."""
+        rest, tails = self.rest, self.tails
+        cut = [(x, "") if x.isalpha() else m.groups() if (m := _TAIL(x)) else (x, "") for x in parts]
+        new = {x for x, _ in cut if x not in rest}
         if len(rest) + len(new) > CHUNKS:
             self.old, self.rest = rest, (rest := {})
-            new = found
-        again = new.intersection(self.old)
-        rest.update((x, self.old[x]) for x in again)
-        new = list(new.difference(again))
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
+            new = {x for x, _ in cut}
+        old = self.old
+        rest.update([(x, old[x]) for x in new if x in old])
+        new = [x for x in new if x not in rest]
+        for a in range(0, len(new), 256):
+            some = new[a : a + 256]
             rest.update(zip(some, self.learn(some), strict=True))
-        out = [f + b"".join(map(rest.__getitem__, p)) for f, p in zip(first, parts, strict=True)]
+        out = [rest[x] + tails[y] if y else rest[x] for x, y in cut]
         for x in new:
             if len(x) >= 200:
                 del rest[x]
         return out
 
+    def whole(self, text: str) -> bytes:
+        """Ids of a text that has a chunk with further white space."""
+        first, *parts = chunks(text)
+        plain = list({p for p in parts if " " not in p})
+        ids = dict(zip(plain, self.known(plain), strict=True))
+        return self.first[first] + b"".join([ids[p] if p in ids else self.one(" " + p) for p in parts])
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null: empty): what encode(text, add_special_tokens=False) gives.
+
+        Arrow splits texts at spaces and numbers distinct parts, so only these are looked up one by one."""
+        texts = texts.fill_null("")
+        if not len(texts):
+            return []
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy()
+        offsets, coded = offsets - offsets[0], split.flatten().dictionary_encode()
+        place, parts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        # a part that begins with white space belongs to the one before
+        glued = np.fromiter((not x or x[0].isspace() for x in parts), dtype=bool, count=len(parts))
+        first = offsets[:-1]
+        odd = glued[place]
+        odd[first] = False
+        odd = np.add.reduceat(odd, first) > 0
+        ids = np.empty(len(parts), dtype=object)
+        ids[glued] = b""
+        ids[~glued] = np.array([*self.known([x for x, g in zip(parts, glued.tolist(), strict=True) if not g]), None], dtype=object)[:-1]
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        begin = np.cumsum(size) - size
+        n = size[place]
+        n[first] = 0
+        ends = np.cumsum(n)
+        tokens = pool[np.repeat(begin[place] - ends + n, n) + np.arange(int(ends[-1]))].tobytes()
+        after = ends[offsets[1:] - 1] * 4
+        before = [0, *after[:-1].tolist()]
+        heads = [self.first[parts[i]] for i in place[first].tolist()]
+        out = [h + tokens[a:b] for h, a, b in zip(heads, before, after.tolist(), strict=True)]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.whole(texts[i].as_py())
+        return out
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -184,6 +229,7 @@ def _encoder(definition, key: str) -> Encoder:
 def write(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Writes all documents; returns the index, a row for each frame."""
     spark = docs.sparkSession
+    shared.lean(spark)
     place = shared.folder(spark, "tokens")
     if "://" not in place and place.startswith("/"):
         place = f"file://{place}"
@@ -210,10 +256,9 @@ def write(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, frame_byt
             if writer is None:
                 fs, inner = pa.fs.FileSystem.from_uri(path)
                 writer = ShardWriter(fs.open_output_stream(inner, compression=None))
-            keys, texts = batch.column(0).fill_null(-1 << 63).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(texts), 256):
-                made = encoder.encode([x or "" for x in texts[a : a + 256]])
-                for key, found in zip(keys[a : a + 256], made, strict=True):
+            keys = batch.column(0).fill_null(-1 << 63).to_pylist()
+            for a, n in shared.runs(batch.column(1), TEXT_BYTES):
+                for key, found in zip(keys[a : a + n], encoder.encode(batch.column(1).slice(a, n)), strict=True):
                     ids.append(key)
                     tokens.append(found + last)
                     held += len(tokens[-1])
@@ -229,7 +274,7 @@ def write(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, frame_byt
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "path", "frame", "offset", "size", "content_size", "first_id", "last_id", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shared.partitions(spark, shared.text_bytes(docs))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return shared.cut(ordered.mapInArrow(save, _INDEX))
 
@@ -267,7 +312,7 @@ def read_frames(index: DataFrame) -> DataFrame:
                 )
 
     spark = index.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shared.partitions(spark, index.agg(F.sum("content_size")).head()[0] or 0)
     rows = index.select("path", "frame", "frame_start").repartitionByRange(n, "path", "frame").sortWithinPartitions("path", "frame")
     return rows.mapInArrow(fetch, "doc_id long, start long, n_tokens long, token_ids binary")
 

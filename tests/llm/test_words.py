@@ -69,7 +69,7 @@ def test_tokenizer_by_chunks(monkeypatch):
     monkeypatch.setattr(token_files, "CHUNKS", 300)
     made = token_files.Encoder(open(token_files.TOKENIZER).read())
     texts = ["".join(random.choice("ab eé'st \n\t 12漢.,!\x1c\x85") for _ in range(random.randrange(40))) for _ in range(3000)] + ["x<|endoftext|> y", "a" * 500 + " " + "b" * 700, ""]
-    found = [x for a in range(0, len(texts), 64) for x in made.encode(texts[a : a + 64])]
+    found = [x for a in range(0, len(texts), 64) for x in made.encode(pa.array(texts[a : a + 64]))]
     assert found == [made.one(x) for x in texts]
 
 

@@ -8,7 +8,8 @@ T-occurrence search, spread over a cluster. Documents that link share at least T
 being its set's size. So a document's T - 1 longest inverted lists can be left out of the merge, and every partner
 still occurs in one of the others (DivideSkip with all lists but the n - T + 1 shortest as long ones):
 
-1. Documents with equal sets are one class, known by a 64-bit hash of the set. Copies go no further.
+1. Documents with equal sets are one class, known by a 64-bit hash of the set (of 128 bits where a second hash shows that
+   different sets share it). Copies go no further.
 2. Each class sends its n - T + 1 shingles that are rarest in the corpus, so that lists of common lines stay out of it, to
    the shingles' partitions, where short inverted lists form. Lists with one class are dropped there.
 3. Of short lists all pairs are looked at. Long ones are cut where sizes differ too much. In each piece the class that shares
@@ -26,8 +27,9 @@ A check of a leader with its partners builds their inverted lists in blocks, hea
 threshold of T less the number of long ones, and probes the long ones by binary search for what reaches it.
 Components come from alternating large-star and small-star steps over the links.
 
-Null or empty text has an empty set; null doc_ids keep their row and do not count as a smallest id; repeated rows
-are copies of each other. Shingles are compared by 64-bit hashes. Extra columns are not read.
+Null or empty text has an empty set. Rows with null doc_id stay, link with nothing, and have a null component_id. Repeated rows
+are copies of each other. A very long text is one large set. An empty table gives an empty table. Shingles are compared by 64-bit
+hashes. `join` does not read extra columns, `deduplicate` keeps them, whatever they are called.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +50,8 @@ from tessera.llm import passages, shared, words
 SHINGLE, PERCENT, COMMON = 5, 80, 1 / 4_000_000
 #: Partners checked at once, and by one task; classes of a list of which all pairs are looked at at once.
 BLOCK, TASK, SHORT = 256, 2048, 8
+#: Classes of a list that one task compares with each other; classes with many copies that are joined by broadcast.
+CELL, HOT = 4096, 2000
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -98,27 +103,38 @@ def may_link(n_a: int, a: bytes, n_b: int, b: bytes, percent: int = PERCENT) ->
     return n_a + n_b - int(np.bitwise_count(x ^ y).sum()) >= 2 * pair_overlap(n_a + n_b, percent)
 
 
-def signatures(row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A hash of each row's set."""
-    sums = np.zeros(len(value) + 1, dtype=np.uint64)
-    np.cumsum(words.mix(value + np.uint64(1)), out=sums[1:])
+def signatures(row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each row's set."""
     ends = np.cumsum(sizes)
-    return words.mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
+    out = []
+    for seed in (1, 0xA0761D6478BD642F):
+        sums = np.zeros(len(value) + 1, dtype=np.uint64)
+        np.cumsum(words.mix(words.mix(value + np.uint64(seed)) ^ np.uint64(seed)), out=sums[1:])
+        out.append(words.mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, sig, bits = [], [], []
-        for _, texts in words.slices(batch.column(1)):
-            row, value, sizes = shingle_sets(texts)
-            n.append(sizes)
-            sig.append(signatures(row, value, sizes))
-            bits += bitmaps(row, value, sizes)
-        if n:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(sig)), pa.array(bits, pa.binary())], ["doc_id", "n", "sig", "bits"])
+def _named(sig: np.ndarray, check: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """A class's name: the first hash, or, where different sets share it, one made of both."""
+    clash = passages.member(sig, twice)
+    if clash.any():
+        sig = np.where(clash, words.mix(sig.view(np.uint64) ^ words.mix(check.view(np.uint64))).view(np.int64), sig)
+    return sig
 
 
-def _rarest(common, percent: int):
+def _classes():
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in words.slices(batch.column(1)):
+                row, value, sizes = shingle_sets(texts)
+                sig, check = signatures(row, value, sizes)
+                columns = [batch.column(0).slice(begin, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(sig), pa.array(check), pa.array(bitmaps(row, value, sizes), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sig", "check", "bits"])
+
+    return classes
+
+
+def _rarest(common, twice: np.ndarray, percent: int):
     """Each class's rarest shingles, as many as must hold one of every partner's."""
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +143,7 @@ def _rarest(common, percent: int):
         for batch in batches:
             for _, texts in words.slices(batch.column(0)):
                 row, value, sizes = shingle_sets(texts)
-                sig = signatures(row, value, sizes)
+                sig = _named(*signatures(row, value, sizes), twice)
                 send = np.zeros(len(texts), dtype=bool)
                 # a set of n links with a larger one only if n of n + 1 are enough
                 for i in np.flatnonzero(sizes * (100 - percent) >= percent).tolist():
@@ -305,13 +321,16 @@ def _check(percent: int):
     return check
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, texts in words.slices(batch.column(0)):
-            row, value, sizes = shingle_sets(texts)
-            ends = np.cumsum(sizes).tolist()
-            sets = [value[e - s : e].tobytes() for e, s in zip(ends, sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(signatures(row, value, sizes)), pa.array(sets, pa.binary())], ["sig", "values"])
+def _sets(twice: np.ndarray):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in words.slices(batch.column(0)):
+                row, value, sizes = shingle_sets(texts)
+                ends = np.cumsum(sizes).tolist()
+                found = [value[e - s : e].tobytes() for e, s in zip(ends, sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(_named(*signatures(row, value, sizes), twice)), pa.array(found, pa.binary())], ["sig", "values"])
+
+    return sets
 
 
 def _open_pairs(percent: int):
@@ -324,18 +343,16 @@ def _open_pairs(percent: int):
     return keep
 
 
-def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b: classes) that link. Sets are read again, only for the classes in the pairs."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = classes.groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+def linked(pairs: DataFrame, docs: DataFrame, bits: DataFrame, twice: np.ndarray, n: int, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (a, b: classes) that link. bits has a row for each class: sig, n, bits, and the least doc_id. Sets are
+    read again, of one document for each class in the pairs."""
     side = lambda c: bits.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_open_pairs(percent), "a long, b long")
     pairs = shared.cut(pairs)
     named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    wanted = classes.join(named, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
+    wanted = bits.join(named, "sig", "left_semi").select(F.col("least").alias("__id")).distinct()
     rows = docs.join(shared.small(shared.cut(wanted)), F.col("doc_id").cast("long") == F.col("__id"), "left_semi").select("text")
-    sets = rows.mapInArrow(_sets, "sig long, values binary").join(shared.small(shared.cut(named)), "sig", "left_semi").dropDuplicates(["sig"])
+    sets = rows.mapInArrow(_sets(twice), "sig long, values binary").join(shared.small(shared.cut(named)), "sig", "left_semi").dropDuplicates(["sig"])
     sets = shared.cut(sets)
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TASK).cast("int").alias("parts"))
     partners = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
@@ -368,10 +385,18 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     shared.lean(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = shared.cut(docs.mapInArrow(_classes, "doc_id long, n long, sig long, bits binary"))
     n = shared.partitions(spark, shared.text_bytes(docs))
+    rows = shared.cut(docs.mapInArrow(_classes(), "doc_id long, n long, sig long, check long, bits binary"))
+    # rows of a class are summed before they meet, and its bits are those of its least document
+    by_sig = rows.where("n > 0").groupBy("sig").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("sig")
+    twice = np.sort(np.array([r[0] for r in by_sig.collect()], dtype=np.int64))  # different sets with one 64-bit hash: none below some 10^9
+    if len(twice):
+        rows = rows.withColumn("sig", F.when(F.col("sig").isin(*twice.tolist()), _renamed()(F.col("sig"), F.col("check"))).otherwise(F.col("sig")))
+    first = F.min(F.struct("doc_id", "n", "bits"))
+    bits = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(first.alias("f"), F.count("*").alias("copies"))
+    bits = shared.cut(bits.select("sig", "f.n", "f.bits", F.col("f.doc_id").alias("least"), "copies"))
     common = spark.sparkContext.broadcast(passages.frequent(docs, SHINGLE, COMMON, least=20, fold=True, counts=True))
-    postings = docs.select("text").mapInArrow(_rarest(common, percent), "shingle long, sig long, n int, place int")
+    postings = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_rarest(common, twice, percent), "shingle long, sig long, n int, place int")
     lists = postings.repartition(n, "shingle").mapInArrow(_lists, "shingle long, sig long, n int, place int, length int")
     own = Window.partitionBy("sig")
     lists = lists.withColumns({"many": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("place"))})
@@ -381,17 +406,55 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if roots is None:
             rooted = lists.withColumn("root", F.col("sig"))
         else:
-            rooted = lists.where(F.col("length") > SHORT).join(roots, F.col("sig") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sig"))
-        rows = rooted.select("shingle", "sig", "n", "place", "length", "many", "room", "root").repartition(n, "shingle")
-        found = shared.cut(linked(rows.mapInArrow(_pairs(percent, step), "a long, b long"), docs, classes, percent))
+            rooted = lists.where(F.col("length") > SHORT)
+            if rooted.isEmpty():
+                break
+            rooted = rooted.join(roots, F.col("sig") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sig"))
+        if step == "all":
+            rooted = _cells(rooted)
+        found = rooted.select("shingle", "sig", "n", "place", "length", "many", "room", "root").repartition(n, "shingle")
+        found = shared.cut(linked(found.mapInArrow(_pairs(percent, step), "a long, b long"), docs, bits, twice, n, percent))
         links = found if links is None else links.unionByName(found)
         roots = shared.small(shared.cut(components(links)))
-    sized = classes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    sized = shared.cut(sized.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root")))
+    sized = shared.cut(bits.select("sig", "least", "copies").join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", "copies", F.coalesce("root", "sig").alias("root")))
     least = sized.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k")
-    named = sized.join(shared.small(shared.cut(least)), "root", "left").select("sig", F.coalesce("component_id", "least").alias("component_id"))
-    out = classes.join(named, (classes["sig"] == named["sig"]) & (classes["n"] > 0), "left")
-    return out.select(classes["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = sized.join(shared.small(shared.cut(least)), "root", "left").select("sig", "copies", F.coalesce("component_id", "least").alias("component_id"), "least")
+    named = shared.cut(named.where("copies > 1 OR component_id <> least").drop("least"))
+    return _with_component(rows, named)
+
+
+def _renamed():
+    @F.pandas_udf("long")
+    def renamed(sig: pd.Series, check: pd.Series) -> pd.Series:
+        return pd.Series(_named(sig.to_numpy(), check.to_numpy(), np.unique(sig.to_numpy())))
+
+    return renamed
+
+
+def _cells(lists: DataFrame) -> DataFrame:
+    """Lists of more than CELL classes are dealt in blocks, each pair of blocks to a place of its own: all of a list's pairs still meet,
+    but not in one task."""
+    k = F.ceil(F.col("length") / CELL).cast("int")
+    own = F.pmod(F.xxhash64("sig"), k).cast("int")
+    other = F.explode(F.when(k > 1, F.sequence(F.lit(0), k - 1)).otherwise(F.array(F.lit(0))))
+    rows = lists.withColumns({"__k": k, "__own": own}).withColumn("__other", other)
+    cell = F.xxhash64("shingle", F.least("__own", "__other"), F.greatest("__own", "__other"))
+    return rows.withColumn("shingle", F.when(F.col("__k") > 1, cell).otherwise(F.col("shingle"))).drop("__k", "__own", "__other")
+
+
+def _with_component(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of all documents. Classes with many copies are joined by broadcast (at most HOT of them);
+    rows that have nothing to join are dealt by doc_id, not by their class."""
+    total = named.agg(F.sum("copies")).head()[0] or 0
+    many = F.col("copies") > max(1, total // HOT)
+    hot = F.broadcast(named.where(many).select(F.col("sig").alias("hot_sig"), F.col("component_id").alias("hot")))
+    rest = shared.small(named.where(~many).select(F.col("sig").alias("cold_sig"), F.lit(0).alias("cold_salt"), F.col("component_id").alias("cold")))
+    out = rows.select("doc_id", "n", "sig").join(hot, (F.col("sig") == F.col("hot_sig")) & (F.col("n") > 0), "left")
+    joins = (F.col("n") > 0) & F.col("hot").isNull()
+    salt = F.when(joins, 0).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.lit(4096))).cast("int")
+    out = out.withColumn("salt", salt).join(rest, (F.col("sig") == F.col("cold_sig")) & (F.col("salt") == F.col("cold_salt")), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("hot", "cold", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -401,36 +464,9 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = shared.cut(join(docs, percent).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")))
     by_id = F.col("doc_id").cast("long") == F.col("__id")
     once, often = found.where("__n = 1"), found.where("__n > 1")
-    kept = docs.join(shared.small(once), by_id, "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    if often.isEmpty():
-        return kept
-    again = docs.join(shared.small(often), by_id, "left_semi").withColumn("__key", F.xxhash64("text"))
-    return kept.unionByName(again.dropDuplicates(["doc_id", "__key"]).drop("__key"))
-
-
-def brute_force(rows: list[tuple[int, str | None]], percent: int = PERCENT) -> list[tuple[int, int, int]]:
-    """The same result by comparing all pairs, for tests."""
-    import re
-
-    sets = []
-    for _, text in rows:
-        text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-        w = re.findall(r"[^\x20\x09-\x0D]+", text)
-        sets.append({tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set())
-    root = list(range(len(rows)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            x, y = sets[i], sets[j]
-            if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
-                root[find(i)] = find(j)
-    least: dict[int, int] = {}
-    for i, (doc, _) in enumerate(rows):
-        least[find(i)] = min(doc, least.get(find(i), doc))
-    return [(doc, len(sets[i]), least[find(i)]) for i, (doc, _) in enumerate(rows)]
+    rows = shared.packed(docs)
+    kept = rows.join(shared.small(once), by_id, "left_semi").unionByName(rows.where("doc_id IS NULL"))
+    if not often.isEmpty():
+        again = rows.join(shared.small(often), by_id, "left_semi").withColumn("__key", F.xxhash64("text"))
+        kept = kept.unionByName(again.dropDuplicates(["doc_id", "__key"]).drop("__key"))
+    return shared.unpacked(kept, docs.columns)

@@ -97,8 +97,9 @@ def frequent(docs: DataFrame, gram: int, part: float = PART, least: int = 50, fo
     found = docs.select("text").mapInArrow(count, "gram long, n long, is_gram boolean").groupBy("gram", "is_gram").agg(F.sum("n").alias("n"))
     found = shared.cut(found)
     total = found.where("NOT is_gram").agg(F.sum("n")).head()[0] or 0
-    rows = found.where(F.col("is_gram") & (F.col("n") >= max(least, int(total * part)))).select("gram", "n").collect()
-    values, n = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), np.array([r[1] for r in rows], dtype=np.int64)
+    rows = found.where(F.col("is_gram") & (F.col("n") >= max(least, int(total * part)))).select("gram", "n").toArrow()
+    values, n = (rows.column(c).to_numpy() for c in ("gram", "n"))
+    values = values.view(np.uint64)
     order = np.argsort(values)
     return (values[order], n[order]) if counts else values[order]
 

@@ -7,14 +7,15 @@ learns from a vector how its neighbours are spread over the parts.
 
 Index: every vector, whatever the fit saw, goes to its most probable part. Search: a query goes to its most probable parts,
 as many as reach RECALL of the true neighbours on the fit's vectors, and is compared exactly, in double precision, with all vectors of these parts.
-The number of parts grows with the number of vectors (PART_ROWS each) as far as the fit can tell them apart.
+The number of parts grows with the number of vectors (PART_ROWS each) up to PARTS; a part that still has more than SPLIT rows is cut
+again by a router of its own, fitted in the same way on at most FIT_ROWS of its vectors, by a task for each such part.
 
 Equal vectors are one candidate with its ids, so a vector that a third of all rows share is compared once; the k + 1
 smallest ids are kept, since no other of its rows can be among a query's k nearest. Parts are dealt out in blocks of rows
 and blocks of queries, so no task holds a whole part. Queries are a stated set (ids divisible by 100), compared in blocks.
 
-Vectors that are null, zero, or hold null or non-finite components take no part; of different widths, only those of the fit's
-commonest width do. Null ids take no part. A query's own id is no candidate of it, also if rows repeat it; repeated rows of one id and one vector count once.
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of one width are neighbours of each other only, and
+each width has an index of its own: a router where it is one of the WIDTHS commonest, else one part. Null ids take no part. A query's own id is no candidate of it, also if rows repeat it; repeated rows of one id and one vector count once.
 Fewer candidates than k: all that the searched parts hold. Empty tables give no rows. Extra columns are not read.
 """
 
@@ -34,6 +35,8 @@ from tessera.llm import shared
 K, FIT_ROWS, DEGREE, PART_ROWS, PARTS, RECALL = 10, 6000, 10, 500, (4, 64), 0.95
 #: Rows and queries that are compared at once.
 ROWS, QUERIES = 8192, 1024
+#: Rows of a part from which it is cut again; widths that get a router.
+SPLIT, WIDTHS = 32_768, 8
 
 
 @dataclass
@@ -161,13 +164,17 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def _near(queries: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[int, int, float]]:
     """(query, id, distance) of each query's k nearest of these rows; a row stands for its ids."""
-    rough = distances(q, rows)
+    # rounding of the products grows with the norms: rows near the block's middle keep it small, and it is allowed for
+    middle = rows.mean(0)
+    a, b = q - middle, rows - middle
+    rough = distances(a, b)
+    slack = 8 * np.finfo(float).eps * rows.shape[1] * ((a * a).sum(1) + (b * b).sum(1).max() + (middle * middle).sum())
     out = []
     for i in range(len(q)):
         d = rough[i]
         n = min(len(rows), k + 1)
         bound = np.partition(d, n - 1)[n - 1]
-        some = np.flatnonzero(d <= bound * (1 + 1e-9) + 1e-12)
+        some = np.flatnonzero(d <= bound * (1 + 1e-9) + 2 * slack[i])
         exact = np.sqrt(((rows[some] - q[i]) ** 2).sum(1))
         own = int(queries[i])
         found = sorted((float(s), v) for s, r in zip(exact, some.tolist(), strict=True) for v in ids[r] if v != own)
@@ -175,49 +182,108 @@ def _near(queries: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: list[list[i
     return out
 
 
-def search(vectors: DataFrame, is_query, k: int = K, fit_rows: int = FIT_ROWS) -> DataFrame:
+class Index:
+    """Routers by width, and by width and part where a part is cut again. A part's name is (width, part, part in it)."""
+
+    def __init__(self, first: dict[int, Router], second: dict[tuple[int, int], Router]):
+        self.first, self.second = first, second
+
+    def places(self, vectors: list[np.ndarray], search: bool) -> list[list[tuple[int, int, int]]]:
+        """For each vector the part it is in, or the parts to search for it."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in vectors]
+        by: dict[int, list[int]] = {}
+        for i, v in enumerate(vectors):
+            by.setdefault(len(v), []).append(i)
+        for width, rows in by.items():
+            if width not in self.first:
+                for i in rows:
+                    out[i].append((width, 0, 0))
+                continue
+            x, router = np.stack([vectors[i] for i in rows]), self.first[width]
+            for at, parts in enumerate(router.order(x, router.probes if search else 1).tolist()):
+                for p in parts:
+                    inner = self.second.get((width, p))
+                    if inner is None:
+                        out[rows[at]].append((width, p, 0))
+                    else:
+                        out[rows[at]] += [(width, p, c) for c in inner.order(x[at : at + 1], inner.probes if search else 1)[0].tolist()]
+        return out
+
+
+_PLACE = "struct<width: int, part: int, cell: int>"
+
+
+def _placed(index, search: bool, names: list[str]):
+    """Rows with `places`, the parts they are in or are to be searched for in."""
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = index.value.places([np.asarray(v) for v in f["v"]], search)
+            yield f.assign(places=[[dict(zip(("width", "part", "cell"), x, strict=True)) for x in xs] for xs in found])[[*names, "places"]]
+
+    return placed
+
+
+def _routers(distinct: DataFrame, k: int, fit_rows: int, split: int) -> Index:
+    """Fits the routers: those of the commonest widths on the driver, those of large parts in a task each."""
+    spark = distinct.sparkSession
+    width = F.size("v")
+    first: dict[int, Router] = {}
+    for w, n in distinct.groupBy(width.alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").limit(WIDTHS).collect():
+        sample = distinct.where(width == w).orderBy(F.xxhash64("v"), "v").limit(fit_rows).select("v").toLocalIterator()
+        first[w] = fit(np.array([r[0] for r in sample]), min(max(n // PART_ROWS, PARTS[0]), PARTS[1]), k)
+    sent = spark.sparkContext.broadcast(Index(first, {}))
+    placed = distinct.select("v").mapInPandas(_placed(sent, False, ["v"]), f"v array<double>, places array<{_PLACE}>").select("v", F.col("places")[0].alias("p"))
+    large = placed.groupBy("p").agg(F.count("*").alias("n")).where((F.col("n") > split) & F.col("p.width").isin(*first))
+    large = shared.cut(large)  # at most PARTS of each of WIDTHS widths
+    if large.isEmpty():
+        return Index(first, {})
+    key = F.xxhash64("v")
+    inner = placed.join(F.broadcast(large), "p")
+    # the vectors with the least hashes, about fit_rows of a part, and no more than twice as many
+    inner = inner.where(F.pmod(key, F.col("n")) < int(1.2 * fit_rows)).groupBy("p").agg(F.first("n").alias("n"), F.collect_list("v").alias("vs"))
+
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p, n, vs in zip(f["p"], f["n"], f["vs"], strict=True):
+                x = np.unique(np.stack([np.asarray(v) for v in vs]), axis=0)
+                r = fit(x[: 2 * fit_rows], min(max(int(n) // PART_ROWS, PARTS[0]), PARTS[1]), k, RECALL)
+                yield pd.DataFrame({"width": [p["width"]], "part": [p["part"]], "weights": [r.weights.ravel().tolist()], "bias": [r.bias.tolist()], "probes": [r.probes]})
+
+    second = {}
+    for r in inner.mapInPandas(learn, "width int, part int, weights array<double>, bias array<double>, probes int").toLocalIterator():
+        second[r["width"], r["part"]] = Router(np.array(r["weights"]).reshape(r["width"], -1), np.array(r["bias"]), r["probes"])
+    return Index(first, second)
+
+
+def search(vectors: DataFrame, is_query, k: int = K, fit_rows: int = FIT_ROWS, split: int = SPLIT) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found, by Euclidean distance and then id."""
     spark = vectors.sparkSession
+    shared.lean(spark)
     rows = usable(vectors)
     # one candidate for each distinct vector
     distinct = shared.cut(_smallest(rows, k + 1))
-    n = distinct.count()
-    sample = [np.array(r[0]) for r in distinct.orderBy(F.xxhash64("v"), F.col("v")).limit(fit_rows).select("v").toLocalIterator()]
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = Counter(map(len, sample)).most_common(1)[0][0]
-    x = np.array([v for v in sample if len(v) == width])
-    router = spark.sparkContext.broadcast(fit(x, min(max(n // PART_ROWS, PARTS[0]), PARTS[1]), k))
-
-    def part_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["part"] = router.value.order(np.stack(f["v"]), 1)[:, 0] if len(f) else []
-            yield f
-
-    def parts_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["parts"] = list(router.value.order(np.stack(f["v"]), router.value.probes)) if len(f) else []
-            yield f
-
-    fits = F.size("v") == width
-    index = shared.cut(distinct.where(fits).mapInPandas(part_of, "v array<double>, ids array<long>, part int"))
-    sizes = index.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
-    asked = rows.where(fits & is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "v"])
-    asked = asked.mapInPandas(parts_of, "vec_id long, v array<double>, parts array<int>").withColumn("part", F.explode("parts")).drop("parts")
-    asked = shared.cut(asked.join(F.broadcast(sizes), "part"))
-    query_blocks = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("query_blocks"))
+    routers = spark.sparkContext.broadcast(_routers(distinct, k, fit_rows, split))
+    index = distinct.mapInPandas(_placed(routers, False, ["v", "ids"]), f"v array<double>, ids array<long>, places array<{_PLACE}>")
+    index = shared.cut(index.select("v", "ids", F.col("places")[0].alias("place")))
+    sizes = index.groupBy("place").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
+    sizes = shared.small(shared.cut(sizes))
+    asked = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "v"])
+    asked = asked.mapInPandas(_placed(routers, True, ["vec_id", "v"]), f"vec_id long, v array<double>, places array<{_PLACE}>").withColumn("place", F.explode("places")).drop("places")
+    asked = shared.cut(asked.join(sizes, "place"))
+    query_blocks = shared.small(shared.cut(asked.groupBy("place").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("query_blocks"))))
     left = (
-        index.join(F.broadcast(sizes), "part")
-        .join(F.broadcast(query_blocks), "part")
+        index.join(sizes, "place")
+        .join(query_blocks, "place")
         .withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
         .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-        .select("part", "block", "query_block", "v", "ids")
+        .select("place", "block", "query_block", "v", "ids")
     )
     right = (
-        asked.join(F.broadcast(query_blocks), "part")
+        asked.join(query_blocks, "place")
         .withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.col("query_blocks")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("part", "block", "query_block", "vec_id", "v")
+        .select("place", "block", "query_block", "vec_id", "v")
     )
 
     def compare(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -227,7 +293,7 @@ def search(vectors: DataFrame, is_query, k: int = K, fit_rows: int = FIT_ROWS) -
             found = _near(queries["vec_id"].to_numpy(), np.stack(queries["v"]), np.stack(own["v"]), [list(x) for x in own["ids"]], k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    key = ["part", "block", "query_block"]
+    key = ["place", "block", "query_block"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order))

@@ -259,11 +259,12 @@ def test_wrappers_tell_template_from_content(spark):
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 8)).astype(float)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700 + i, x[3].tolist()) for i in range(40)] + [(800, None), (900, [0.0] * 8), (1000, [float("nan")] * 8), (1100, [1.0] * 7 + [None]), (None, x[0].tolist()), (1200, [1.0, 2.0]), (5, x[5].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700 + i, x[3].tolist()) for i in range(40)] + [(800, None), (900, [0.0] * 8), (1000, [float("nan")] * 8), (1100, [1.0] * 7 + [None]), (None, x[0].tolist()), (1200, [1.0, 2.0]), (1201, [1.0, 3.0]), (1202, [4.0, 6.0]), (5, x[5].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("part", F.lit("clash"))
     found = {}
     for r in neighbours.nearest(df).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert found.pop(1200) == [(1201, 1.0), (1202, 5.0)]
     assert sorted(found) == [0, 100, 200, 300, 400, 500, 700]
     ids = np.array([*range(600), *range(700, 740)])
     y = np.concatenate([x, np.repeat(x[3:4], 40, axis=0)])
@@ -279,6 +280,27 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def recall(spark, x, **how):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neighbours.search(df, lambda i: i % 100 == 0, **how).collect()
+    hit = 0
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        hit += len({int(i) for i in np.lexsort((np.arange(len(x)), d)) if i != q and i in {r.vec_id for r in found if r.query_id == q}} & set(np.argsort(np.where(np.arange(len(x)) == q, np.inf, d), kind="stable")[:10].tolist()))
+    return hit / len(range(0, len(x), 100)) / 10
+
+
+def test_neighbours_far_from_the_origin(spark):
+    x = 4000 + 1e-6 * np.random.default_rng(3).normal(size=(900, 6))
+    assert recall(spark, x, fit_rows=20) == 1.0  # one part: all of it is compared
+
+
+def test_parts_are_cut_again(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 4)) + 6 * rng.normal(size=(20, 4))[rng.integers(20, size=3000)]
+    assert recall(spark, x, fit_rows=800, split=300) >= 0.9
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 

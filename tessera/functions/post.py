@@ -31,33 +31,55 @@ def postprocessor(config: Config | dict | None) -> Post:
     return _REGISTRY[kind](config)
 
 
+def on_ids(config: Config | dict | None, id_of: Callable[[str], int | None]) -> Post | None:
+    """The same for arrays of ids, if the post-processor only adds tokens that have one; else None."""
+    config = Config.of(config)
+    if config.is_null:
+        return postprocessor(config)
+    one = lambda token: F.array(F.lit(id_of(token)).cast("long"))
+
+    kind = config.type.string()
+    if _REGISTRY.get(kind) is _byte_level:
+        return postprocessor(config)
+    if _REGISTRY.get(kind) is _template:
+        single, pair = _items(config.single), _items(config.pair)
+        names = [x for k, x in single + pair if k == "special"]
+        made = template(single, pair, one)
+    elif _REGISTRY.get(kind) is _bert:
+        names = [config.cls.token()[1], config.sep.token()[1]]
+        made = bert(*names, one)
+    else:
+        return None
+    return None if any(id_of(x) is None for x in names) else made
+
+
 def _one(token: str) -> Column:
     return F.array(F.lit(token))
 
 
-def template(single: list[tuple[str, str]], pair: list[tuple[str, str]]) -> Post:
+def template(single: list[tuple[str, str]], pair: list[tuple[str, str]], one: Callable[[str], Column] = _one) -> Post:
     """Items are ("special", token), ("A", "") or ("B", ""); the pair's template holds if there is a pair."""
 
     def post(tokens: Column, other: Column | None = None, add_special: bool = True) -> Column:
         parts = []
         for kind, token in single if other is None else pair:
             if kind == "special":
-                parts += [_one(token)] if add_special else []
+                parts += [one(token)] if add_special else []
             elif kind == "A":
                 parts.append(tokens)
             elif other is not None:
                 parts.append(other)
-        return F.concat(*parts) if parts else F.array().cast("array<string>")
+        return F.concat(*parts) if parts else F.slice(tokens, 1, 0)
 
     return post
 
 
-def bert(cls: str, sep: str) -> Post:
+def bert(cls: str, sep: str, one: Callable[[str], Column] = _one) -> Post:
     def post(tokens: Column, other: Column | None = None, add_special: bool = True) -> Column:
         if not add_special:
             return tokens if other is None else F.concat(tokens, other)
-        out = F.concat(_one(cls), tokens, _one(sep))
-        return out if other is None else F.when(F.size(other) > 0, F.concat(out, other, _one(sep))).otherwise(out)
+        out = F.concat(one(cls), tokens, one(sep))
+        return out if other is None else F.when(F.size(other) > 0, F.concat(out, other, one(sep))).otherwise(out)
 
     return post
 
@@ -81,16 +103,17 @@ def roberta(cls: str, sep: str, trim: bool = True, prefix_space: bool = True) ->
 
 @register("TemplateProcessing")
 def _template(c: Config) -> Post:
-    def items(part: Config) -> list[tuple[str, str]]:
-        out = []
-        for x in part.array():
-            if not x["SpecialToken"].is_null:
-                out.append(("special", x["SpecialToken"].id.string("")))
-            elif not x["Sequence"].is_null:
-                out.append((x["Sequence"].id.string("A"), ""))
-        return out
-
-    return template(items(c.single), items(c.pair))
+    return template(_items(c.single), _items(c.pair))
+
+
+def _items(part: Config) -> list[tuple[str, str]]:
+    out = []
+    for x in part.array():
+        if not x["SpecialToken"].is_null:
+            out.append(("special", x["SpecialToken"].id.string("")))
+        elif not x["Sequence"].is_null:
+            out.append((x["Sequence"].id.string("A"), ""))
+    return out
 
 
 @register("ByteLevel")

@@ -36,6 +36,22 @@ def pretokenizer(config: Config | dict | None) -> Split:
     return _REGISTRY[kind](config)
 
 
+def late(config: Config | dict | None) -> tuple[Split, Callable[[str], str] | None]:
+    """The pre-tokenizer without a byte mapping at its end, and that mapping for single pieces (None if it does not end in one): a
+    model that works on distinct pieces maps these only."""
+    config = Config.of(config)
+    kind = None if config.is_null else config.type.string()
+    if kind == "ByteLevel" and _REGISTRY[kind] is _byte_level:
+        prefix, pattern = config.addPrefixSpace.boolean(False), config.useRegex.boolean(True)
+        return lambda text, first: byte_split(text) if pattern else F.array(text), t.Mapped(prefix)
+    children = config.pretokenizers.array() if kind == "Sequence" and _REGISTRY[kind] is _sequence else []
+    if children:
+        last, mapped = late(children[-1])
+        before = pretokenizer({"type": "Sequence", "pretokenizers": [c.native() for c in children[:-1]]})
+        return lambda text, first: over(last, before(text, first), first), mapped
+    return pretokenizer(config), None
+
+
 def over(split: Split, texts: Column, first: Column | None = None) -> Column:
     """The pieces of all texts of an array, in one array; only the first text can begin the input."""
     first = F.lit(True) if first is None else first

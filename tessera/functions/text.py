@@ -36,6 +36,18 @@ BYTES = byte_alphabet()
 _LATIN, _MAPPED = "".join(map(chr, range(1, 256))), "".join(BYTES[1:])
 
 
+class Mapped:
+    """A piece's UTF-8 bytes as characters, with a space before it if it has none and one is wanted."""
+
+    def __init__(self, prefix: bool = False):
+        self.prefix = prefix
+
+    def __call__(self, piece: str) -> str:
+        if self.prefix and not piece.startswith(" "):
+            piece = " " + piece
+        return "".join(map(BYTES.__getitem__, piece.encode()))
+
+
 def to_bytes(text: Column) -> Column:
     """Each UTF-8 byte of the text as its character."""
     mapped = F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), _LATIN, _MAPPED)

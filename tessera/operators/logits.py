@@ -145,7 +145,7 @@ def plan(config: GenerationConfig, inputs: DataFrame | None = None) -> list[Warp
     """Repetition penalty, temperature, top-k, top-p and min-p, without those that change nothing."""
     out = [repetition(config.repetition_penalty, inputs)] if config.repetition_penalty != 1 and inputs is not None else []
     out += [temperature(config.temperature)] if config.temperature > 0 and config.temperature != 1 else []
-    out += [top_k(config.top_k)] if 0 < config.top_k < 1 << 31 - 1 else []
+    out += [top_k(config.top_k)] if 0 < config.top_k < (1 << 31) - 1 else []
     out += [top_p(config.top_p)] if config.top_p < 1 else []
     return out + ([min_p(config.min_p)] if config.min_p is not None else [])
 

@@ -1,16 +1,20 @@
-"""Subword models: byte-pair encoding, WordPiece and Unigram, each as one Arrow UDF over arrays of pieces.
+"""Subword models: byte-pair encoding, WordPiece and Unigram, each as one Arrow function over arrays of pieces.
 
-A worker keeps what it has tokenized (texts repeat their words), so a piece is worked out once per worker, not per row.
-Vocabularies have a fixed size and travel in the UDF's closure."""
+Arrow numbers the distinct pieces of a batch, only these are looked up one by one, and their tokens or ids are dealt
+out again by position. A worker keeps what it has tokenized (texts repeat their words), so a piece is worked out once per worker.
+Vocabularies have a fixed size and travel in the function's closure."""
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import pickle
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +23,10 @@ from pyspark.sql import types as T
 REMEMBERED = 200_000
 
 TOKENS = T.ArrayType(T.StringType())
+IDS = T.ArrayType(T.LongType())
+
+#: Before an added token, and where a section begins.
+RAW, CUT = "\ue001", "\ue002"
 
 
 class Model:
@@ -50,11 +58,14 @@ class Bpe(Model):
         self.ranks = {p: i for i, p in enumerate(pairs)}
 
     def merge(self, piece: str) -> list[str]:
-        """Symbols in a linked list, candidate merges in a heap; entries whose symbols have changed since are skipped."""
+        """Of short pieces the ranks of all neighbours are kept in a list; of long ones, symbols in a linked list and candidate merges
+        in a heap, where entries whose symbols have changed since are skipped."""
         parts: list[str | None] = list(piece)
         n = len(parts)
         if n < 2:
             return [piece] if piece else []
+        if n <= 64:
+            return self._merge_short(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -76,6 +87,18 @@ class Bpe(Model):
             offer(i)
         return [p for p in parts if p is not None]
 
+    def _merge_short(self, parts: list[str]) -> list[str]:
+        rank, never = self.ranks.get, len(self.ranks)
+        ranks = [rank(p, never) for p in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            for j in (i - 1, i):
+                if 0 <= j < len(ranks):
+                    ranks[j] = rank((parts[j], parts[j + 1]), never)
+        return parts
+
     def tokens(self, piece: str) -> list[str]:
         out: list[str] = []
         for p in self.merge(piece):
@@ -170,60 +193,165 @@ def _remembered(f: Callable[[str], list[str]]) -> Callable[[str], tuple[str, ...
     return lru_cache(REMEMBERED)(lambda x: tuple(f(x)))
 
 
-def tokenize(model: Model) -> Callable[[Column], Column]:
-    """Array of pieces to array of tokens."""
+#: What this worker remembers of a few models, by their digest.
+_MADE: dict[str, Callable[[str], tuple[str, ...]]] = {}
+
+
+class _Lazy:
+    """A model with the pieces a worker remembers of it; these stay in the worker, from task to task, and do not travel."""
+
+    def __init__(self, model: Model):
+        self.model, self.key = model, hashlib.blake2b(pickle.dumps(model), digest_size=16).hexdigest()
+
+    def get(self) -> Callable[[str], tuple[str, ...]]:
+        if self.key not in _MADE:
+            while len(_MADE) >= 3:
+                _MADE.pop(next(iter(_MADE)))
+            _MADE[self.key] = _remembered(self.model.tokens)
+        return _MADE[self.key]
+
+
+def _lists(rows: pa.Array, values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """Lists of so many values each, null where rows is null."""
+    ends = np.zeros(len(sizes) + 1, dtype=np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=rows.is_null())
+
+
+def _flat(rows: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All values of lists, and the lists' sizes (a null list has none)."""
+    return rows.flatten(), pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class _Batch:
+    """Tokens of a batch's pieces: positions in the tokens of its distinct pieces, and how many each row has."""
+
+    def __init__(self, rows: pa.Array, model: Model, known: Callable[[str], tuple[str, ...]], piece: Callable[[str], str], fuse: bool):
+        flat, sizes = _flat(rows)
+        coded = flat.dictionary_encode()
+        found = []
+        for x in coded.dictionary.to_pylist():
+            # a section's begin, and an added token, end a run of unknowns: None stands for that
+            found.append((None,) if x == CUT else (None, x[1:], None) if x.startswith(RAW) else known(piece(x)))
+        self.tokens = [t for ts in found for t in ts]
+        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        own = n[place]
+        ends = np.cumsum(own)
+        at = np.repeat((np.cumsum(n) - n)[place] - ends + own, own) + np.arange(int(ends[-1]) if len(ends) else 0)
+        row = np.repeat(np.repeat(np.arange(len(sizes)), sizes), own)
+        keep = np.array([t is not None for t in self.tokens], dtype=bool)[at]
+        if fuse:
+            unknown = np.array([t is not None and model.vocab.get(t, model.unk_id) == model.unk_id for t in self.tokens], dtype=bool)[at]
+            keep[1:] &= ~(unknown[1:] & unknown[:-1] & (row[1:] == row[:-1]))
+        self.at, self.sizes = at[keep], np.bincount(row[keep], minlength=len(sizes))
+
+
+def _same(x: str) -> str:
+    return x
+
+
+def tokenize(model: Model, piece: Callable[[str], str] = _same, fuse: bool = False) -> Callable[[Column], Column]:
+    """Array of pieces to array of tokens; `piece` changes a piece first. Marks of sections and added tokens are minded; with `fuse` only the
+    first of unknowns in a row within a section stays."""
     known = _Lazy(model)
 
-    @F.pandas_udf(TOKENS)
-    def run(rows: pd.Series) -> pd.Series:
-        f = known.get()
-        return rows.map(lambda xs: [t for x in xs for t in f(x)], na_action="ignore")
+    @F.arrow_udf(TOKENS)
+    def run(rows: pa.Array) -> pa.Array:
+        b = _Batch(rows, model, known.get(), piece, fuse)
+        return _lists(rows, pa.array(b.tokens, pa.string()).take(pa.array(b.at)), b.sizes)
 
     return run
 
 
-class _Lazy:
-    """The remembered pieces live in the worker, they do not travel."""
+def encode(model: Model, piece: Callable[[str], str] = _same) -> Callable[[Column], Column]:
+    """Array of pieces to array of ids, as `ids` of `tokenize` gives them, with unknowns fused where the model says so."""
+    known = _Lazy(model)
+
+    @F.arrow_udf(IDS)
+    def run(rows: pa.Array) -> pa.Array:
+        b = _Batch(rows, model, known.get(), piece, model.fuse)
+        of = [model.vocab.get(t, model.unk_id) if t is not None else -1 for t in b.tokens]
+        if None in of:
+            raise ValueError(f"no id for the token {b.tokens[of.index(None)]!r}, and no unknown token")
+        return _lists(rows, pa.array(np.array(of, dtype=np.int64)[b.at]), b.sizes)
+
+    return run
 
-    def __init__(self, model: Model):
-        self.model, self.made = model, None
 
-    def __getstate__(self):
-        return self.model
+def count_tokens(model: Model, piece: Callable[[str], str] = _same, only: str | None = None) -> Callable[[Column], Column]:
+    """The number of tokens of an array of pieces, or of those that are the one given."""
+    known = _Lazy(model)
 
-    def __setstate__(self, model: Model):
-        self.model, self.made = model, None
+    @F.arrow_udf(T.LongType())
+    def run(rows: pa.Array) -> pa.Array:
+        b = _Batch(rows, model, known.get(), piece, model.fuse)
+        if only is None:
+            return pa.array(b.sizes, pa.int64(), mask=rows.is_null().to_numpy(zero_copy_only=False))
+        hit = np.array([t == only for t in b.tokens], dtype=bool)[b.at]
+        row = np.repeat(np.arange(len(b.sizes)), b.sizes)
+        return pa.array(np.bincount(row[hit], minlength=len(b.sizes)), pa.int64(), mask=rows.is_null().to_numpy(zero_copy_only=False))
 
-    def get(self):
-        if self.made is None:
-            self.made = _remembered(self.model.tokens)
-        return self.made
+    return run
 
 
 def ids(model: Model, strict: bool = True) -> Callable[[Column], Column]:
     """Array of tokens to array of ids; a token without id is an error if strict, else null."""
     vocab, unk = model.vocab, model.unk_id
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def run(rows: pd.Series) -> pd.Series:
-        def one(ts):
-            out = [vocab.get(t, unk) for t in ts]
-            if strict and None in out:
-                raise ValueError(f"no id for the token {ts[out.index(None)]!r}, and no unknown token")
-            return out
-
-        return rows.map(one, na_action="ignore")
+    @F.arrow_udf(IDS)
+    def run(rows: pa.Array) -> pa.Array:
+        flat, sizes = _flat(rows)
+        coded = flat.dictionary_encode()
+        found = [vocab.get(t, unk) for t in coded.dictionary.to_pylist()]
+        if strict and None in found:
+            raise ValueError(f"no id for the token {coded.dictionary[found.index(None)].as_py()!r}, and no unknown token")
+        return _lists(rows, pa.array(found, pa.int64()).take(coded.indices), sizes)
 
     return run
 
 
+def _tokens_of(model: Model, skip: frozenset[int]):
+    """A function of lists of ids: tokens of those that are known and not to be skipped, and how many each row has."""
+    known = sorted((i, t) for i, t in model.by_id.items() if i not in skip)
+    numbers, names = np.array([i for i, _ in known], dtype=np.int64), pa.array([t for _, t in known], pa.string())
+
+    def find(rows: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        flat, sizes = _flat(rows)
+        wanted = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(numbers, wanted), max(len(numbers) - 1, 0))
+        hit = numbers[at] == wanted if len(numbers) else np.zeros(len(wanted), dtype=bool)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        return names.take(pa.array(at[hit])), np.bincount(row[hit], minlength=len(sizes))
+
+    return find
+
+
 def tokens(model: Model, skip: frozenset[int] = frozenset()) -> Callable[[Column], Column]:
     """Array of ids to array of tokens; unknown ids and those to skip are dropped."""
-    by_id = model.by_id
+    find = _tokens_of(model, skip)
 
-    @F.pandas_udf(TOKENS)
-    def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda xs: [by_id[i] for i in xs if i in by_id and i not in skip], na_action="ignore")
+    @F.arrow_udf(TOKENS)
+    def run(rows: pa.Array) -> pa.Array:
+        return _lists(rows, *find(rows))
+
+    return run
+
+
+def joined_bytes(model: Model, byte_of: dict[str, int], skip: frozenset[int] = frozenset()) -> Callable[[Column], Column]:
+    """Array of ids to the bytes that their tokens' characters stand for, in one string. Characters that stand for none are an error."""
+    raw = {t: bytes(map(byte_of.__getitem__, t)) for t in model.by_id.values() if all(c in byte_of for c in t)}
+    find = _tokens_of(model, skip)
+
+    @F.arrow_udf(T.BinaryType())
+    def run(rows: pa.Array) -> pa.Array:
+        found, sizes = find(rows)
+        coded = found.dictionary_encode()
+        bad = [t for t in coded.dictionary.to_pylist() if t not in raw]
+        if bad:
+            raise ValueError(f"a character of the token {bad[0]!r} is not in the byte alphabet")
+        values = pa.array([raw[t] for t in coded.dictionary.to_pylist()], pa.binary()).take(coded.indices)
+        return pc.binary_join(_lists(rows, values, sizes), b"")
 
     return run
 
@@ -239,12 +367,9 @@ def lookup(rows: DataFrame, vocab: DataFrame, unk_id: int | None = None) -> Data
     return rows.join(F.broadcast(vocab), "token", "left").withColumn("id", F.coalesce("id", F.lit(unk_id).cast("long")))
 
 
-def fuse_unknown(rows: DataFrame, by: list[str], order: str = "pos", unk: str = "is_unk") -> DataFrame:
-    """Rows without those unknowns that follow an unknown in the same group."""
-    from pyspark.sql import Window
-
-    last = F.lag(unk).over(Window.partitionBy(*by).orderBy(order))
-    return rows.withColumn("__last", last).where(~(F.col(unk) & F.coalesce("__last", F.lit(False)))).drop("__last")
+def fuse_unknown(tokens: Column, unk: str) -> Column:
+    """An array without those unknowns that follow an unknown."""
+    return F.filter(tokens, lambda x, i: (x != unk) | (i == 0) | (F.get(tokens, i - 1) != unk))
 
 
 def prefix_join(rows: DataFrame, entries: DataFrame, text: str, entry: str, longest: int) -> DataFrame:

@@ -257,8 +257,8 @@ WHEN beams >= 2 AND beam_groups = 1 AND NOT sample THEN 'beam' WHEN beams >= 2 A
 FROM (SELECT unnest([1, 2])::INT AS beams), (SELECT unnest([1, 2])::INT AS beam_groups), (SELECT unnest([true, false]) AS sample), (SELECT unnest([1, 50])::INT AS k), (SELECT unnest([NULL, 0.0, 0.5])::DOUBLE AS alpha)""",
     "gen_loop_table": f"""WITH RECURSIVE {_LOGITS}, best AS (SELECT row_id AS token_id, arg_max(token_id, {{'s': score, 't': -token_id}}) AS next_id FROM logits WHERE row_id < 64 GROUP BY row_id),
 g(seq_id, step, token_id) AS (SELECT vec_id, 0::BIGINT, vec_id % 64 FROM embeddings UNION ALL SELECT seq_id, step + 1, next_id FROM g JOIN best USING (token_id) WHERE step < 8) SELECT * FROM g""",
-    "lm_pad": """SELECT item_id, array_to_string(list_transform(range(1, greatest(48, n) + 1), lambda i: CASE WHEN i <= n THEN unicode(cs[i]) ELSE 0 END), ' ') AS ids,
-array_to_string(list_transform(range(1, greatest(48, n) + 1), lambda i: CASE WHEN i <= n THEN 1 ELSE 0 END), ' ') AS mask FROM (SELECT item_id, string_split(text, '')[:40] AS cs, least(40, length(text)) AS n FROM benchmark)""",
+    "lm_pad": """SELECT item_id, array_to_string(list_transform(range(1, greatest(512, n) + 1), lambda i: CASE WHEN i <= n THEN unicode(cs[i]) ELSE 0 END), ' ') AS ids,
+array_to_string(list_transform(range(1, greatest(512, n) + 1), lambda i: CASE WHEN i <= n THEN 1 ELSE 0 END), ' ') AS mask FROM (SELECT item_id, string_split(text, '') AS cs, length(text) AS n FROM benchmark)""",
     "lm_default_gen": "SELECT name, 2048::BIGINT AS max_new_tokens, contains(lower(name), 'gpt') AS do_sample, 50::BIGINT AS top_k FROM (VALUES ('GPT-neo'), ('my-gpt2'), ('llama')) v(name)",
     "cli_format": "SELECT item_id, replace(text, '.', chr(10)) AS text FROM benchmark",
     "trie_prefix_join": f"SELECT word, entry FROM ({_WORD_LIST}) JOIN (VALUES " + ", ".join(f"({_s(g)})" for g in vocabularies.GROUPS) + ") v(entry) ON starts_with(word, entry)",

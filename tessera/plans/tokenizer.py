@@ -9,10 +9,10 @@ UDF over arrays of pieces; post-processing is native again. Vocabularies are fix
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +20,9 @@ from tessera.config import Config
 from tessera.functions import decode as dec
 from tessera.functions import text as t
 from tessera.functions.normalize import normalizer
+from tessera.functions import pretokenize as pretokenizer
+from tessera.functions.post import on_ids as post_on_ids
 from tessera.functions.post import postprocessor
-from tessera.functions.pretokenize import pretokenizer
 from tessera.operators import subword
 from tessera.plans import chat
 
@@ -140,27 +141,50 @@ class Tokenizer:
             return F.when(drop, F.slice(out, 2, F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(out)
         return self._tokenize(text)
 
-    def _tokenize(self, text: Column) -> Column:
+    def _pieces(self, text: Column) -> tuple[Column, Callable[[str], str]]:
+        """Pieces of all sections, with marks where a section begins and before added tokens, and what is done to a piece first."""
+        steps, (split, mapped) = normalizer(self.data.normalizer), pretokenizer.late(self.data.preTokenizer)
+        piece = mapped or subword._same
+        if not self.added:
+            for s in steps:
+                text = s.column(text)
+            return split(text, F.lit(True)), piece
         sections = self.sections(text)
-        steps, split = normalizer(self.data.normalizer), pretokenizer(self.data.preTokenizer)
         normal = sections
         for s in steps:
             normal = s.array(normal)
-        added = [a[0] for a in self.added]
-        is_added = (lambda x: x.isin(*added)) if added else (lambda x: F.lit(False))
+        is_added = lambda x: x.isin(*(a[0] for a in self.added))
         # a section's pieces, or the added token itself behind a mark that the model passes on
-        pieces = F.zip_with(sections, F.transform(normal, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda raw, n: F.when(is_added(raw), F.array(F.concat(F.lit(_RAW), raw))).otherwise(F.concat(F.array(F.lit(_CUT)), split(n["x"], n["i"] == 0))))
-        return _run(self.model)(F.flatten(pieces))
+        one = lambda raw, n: F.when(is_added(raw), F.array(F.concat(F.lit(subword.RAW), raw))).otherwise(F.concat(F.array(F.lit(subword.CUT)), split(n["x"], n["i"] == 0)))
+        return F.flatten(F.zip_with(sections, F.transform(normal, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), one)), piece
+
+    def _tokenize(self, text: Column) -> Column:
+        pieces, piece = self._pieces(text)
+        return subword.tokenize(self.model, piece, self.model.fuse)(pieces)
 
     def encode(self, text: Column, pair: Column | None = None, add_special_tokens: bool = True) -> Column:
-        post = postprocessor(self.data.postProcessor)
-        tokens = post(self.tokenize(text), None if pair is None else self.tokenize(pair), add_special_tokens)
+        """Ids: from pieces in one step, unless tokens must be seen before (roberta's trimming, llama's first token)."""
+        post = None if self.llama else post_on_ids(self.data.postProcessor, self.model.id)
+        if post is not None:
+            one = lambda c: (lambda pieces, piece: subword.encode(self.model, piece)(pieces))(*self._pieces(c))
+            return post(one(text), None if pair is None else one(pair), add_special_tokens)
+        tokens = postprocessor(self.data.postProcessor)(self.tokenize(text), None if pair is None else self.tokenize(pair), add_special_tokens)
         return subword.ids(self.model)(tokens)
 
+    def count(self, text: Column) -> Column:
+        """The number of tokens of a text, without special ones."""
+        if self.llama:
+            return F.size(self.tokenize(text)).cast("long")
+        pieces, piece = self._pieces(text)
+        return subword.count_tokens(self.model, piece)(pieces)
+
     def decode(self, ids: Column, skip_special_tokens: bool = False) -> Column:
         skip = frozenset(self.specials.values()) if skip_special_tokens else frozenset()
-        found = dec.decoder(self.data.decoder, tuple(a[0] for a in self.added))(subword.tokens(self.model, skip)(ids))
-        text = F.array_join(found, "")
+        if self.data.decoder.type.string() == "ByteLevel" and not self.added:
+            byte_of = {c: i for i, c in enumerate(t.BYTES)}
+            text = F.make_valid_utf8(subword.joined_bytes(self.model, byte_of, skip)(ids).cast("string"))
+        else:
+            text = F.array_join(dec.decoder(self.data.decoder, tuple(a[0] for a in self.added))(subword.tokens(self.model, skip)(ids)), "")
         return dec.clean_up(text) if self.config.cleanUpTokenizationSpaces.boolean(True) else text
 
     def token_id(self, name: str) -> int | None:
@@ -188,37 +212,3 @@ class Tokenizer:
             return ids
         limits = [x for x in (max_length, self.config.modelMaxLength.integer()) if x is not None]
         return F.slice(ids, 1, min(limits)) if limits else ids
-
-
-#: Before an added token, and where a section begins.
-_RAW, _CUT = "\ue001", "\ue002"
-
-
-def _run(model: subword.Model):
-    """Pieces to tokens; unknowns are fused within a section where the model says so."""
-    known, unk_id, vocab, fuse = subword._Lazy(model), model.unk_id, model.vocab, model.fuse
-
-    @F.pandas_udf(subword.TOKENS)
-    def run(rows: pd.Series) -> pd.Series:
-        f = known.get()
-
-        def one(pieces):
-            out, last = [], False
-            for p in pieces:
-                if p == _CUT:
-                    last = False
-                    continue
-                if p.startswith(_RAW):
-                    out.append(p[1:])
-                    last = False
-                    continue
-                for token in f(p):
-                    unknown = fuse and vocab.get(token, unk_id) == unk_id
-                    if not (unknown and last):
-                        out.append(token)
-                    last = unknown
-            return out
-
-        return rows.map(one, na_action="ignore")
-
-    return run

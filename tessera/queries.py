@@ -139,7 +139,7 @@ for _name, _make in _TOKENIZERS.items():
 
 @query
 def tokens_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _encoded(spark, sf_dir, bpe_tokenizer).select("lang", F.size("ids").cast("long").alias("n"))
+    rows = _read(spark, sf_dir, "documents").select("lang", bpe_tokenizer().count(F.col("text")).alias("n"))
     return rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
 
 
@@ -190,15 +190,15 @@ def tok_added_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(_read(spark, sf_dir, "documents"), "doc_id", tokenizer.sections(F.col("text")))
 
 
-def _wordpiece_tokens(spark: SparkSession, d: str) -> DataFrame:
-    words = pretokenize.bert(F.lower("text"))
-    return _pieces(_read(spark, d, "documents"), "doc_id", subword.tokenize(vocabularies.wordpiece())(words), "token")
+def _wordpiece_tokens():
+    return subword.tokenize(vocabularies.wordpiece())(pretokenize.bert(F.lower("text")))
 
 
 @query
 def tok_fuse_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _wordpiece_tokens(spark, sf_dir).withColumn("is_unk", F.col("token") == "[UNK]")
-    return subword.fuse_unknown(rows, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if("is_unk").alias("n_unk"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", _wordpiece_tokens().alias("ts")).select("doc_id", subword.fuse_unknown(F.col("ts"), "[UNK]").alias("ts"))
+    rows = rows.groupBy("doc_id").agg(F.sum(F.size("ts")).alias("n_tokens"), F.sum(F.size(F.filter("ts", lambda x: x == "[UNK]"))).alias("n_unk"))
+    return rows.where("n_tokens > 0")
 
 
 @query
@@ -210,8 +210,10 @@ def tok_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tok_unk_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _wordpiece_tokens(spark, sf_dir).join(_read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return rows.groupBy("lang").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("token") == "[UNK]").alias("n_unk"))
+    pieces, model = pretokenize.bert(F.lower("text")), vocabularies.wordpiece()
+    n, unk = subword.count_tokens(model)(pieces), subword.count_tokens(model, only="[UNK]")(pieces)
+    rows = _read(spark, sf_dir, "documents").select("lang", n.alias("n"), unk.alias("u"))
+    return rows.groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.sum("u").alias("n_unk")).where("n_tokens > 0")
 
 
 # Post-processors and chats on conversations
@@ -312,8 +314,8 @@ def gen_loop_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lm_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.transform(F.slice(F.split("text", ""), 1, 40), lambda x: F.ascii(x).cast("long"))
-    padded, mask = generate.pad(ids, 48)
+    ids = F.transform(F.filter(F.split("text", ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    padded, mask = generate.pad(ids, 512)
     joined = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), " ")
     return _read(spark, sf_dir, "benchmark").select("item_id", joined(padded).alias("ids"), joined(mask).alias("mask"))
 

@@ -1,11 +1,20 @@
 """Progress of transfers: which samples to report, with what speed, in batch and as a stream.
 
-A sample (key, ts in seconds, completed, total) is reported if the fraction moved by 0.001 or bytes changed. Without a change for a
-second after bytes had been seen, one report says that it stalls, then one each second. A fraction of 1 is held back until `complete`."""
+A sample is (key, ts in seconds, completed, total, complete). Its fraction is completed / total, within 0 and 1; one with the fraction 1 that is
+not complete is held back, as if it had not come. Of the others these are reported:
+
+* growth: completed is more than ever before; with bytes per second since the growth before (or the key's first sample);
+* news: complete, or fewer bytes than before, or a fraction that differs by 0.001 or more from the sample before;
+* a stall: once bytes have been seen, the first quiet sample of each whole second since they last grew.
+
+In batch this is a few windows of each key in order of time; as a stream, a machine for each key that is idle, moving or
+stalled, with a timer where no sample comes."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,38 +24,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 MOVED, HEARTBEAT = 0.001, 1.0
 
 
-class Meter:
-    """The rule, for one key."""
-
-    def __init__(self, state: tuple | None = None):
-        self.fraction, self.bytes, self.sampled, self.seen, self.stalled, self.stall_at = state or (0.0, 0, None, False, False, None)
-
-    def state(self) -> tuple:
-        return self.fraction, self.bytes, self.sampled, self.seen, self.stalled, self.stall_at
-
-    def sample(self, now: float, completed: int, total: int, complete: bool = False) -> tuple[float, float | None] | None:
-        """(fraction, bytes per second or None), or None if nothing is to be reported."""
-        fraction = min(max(completed / total, 0.0), 1.0) if total > 0 else 0.0
-        if self.sampled is None:
-            self.sampled = now
-        if fraction >= 1 and not complete:
-            return None
-        moved, changed = abs(fraction - self.fraction) >= MOVED, completed != self.bytes
-        idle = not complete and not moved and not changed
-        transition = idle and not self.stalled and self.seen and now - self.sampled >= HEARTBEAT
-        beat = idle and self.stalled and self.stall_at is not None and now - self.stall_at >= HEARTBEAT
-        if idle and not transition and not beat:
-            return None
-        delta, took = completed - self.bytes, now - self.sampled
-        speed = (delta / took if took > 0 else 0.0) if delta > 0 else None
-        if delta > 0:
-            self.seen, self.stalled, self.bytes, self.sampled = True, False, completed, now
-        elif transition or beat:
-            self.stalled, self.stall_at = True, now
-        self.fraction = fraction
-        return fraction, speed
-
-
 def changes(samples: DataFrame, key: str = "key", ts: str = "ts", completed: str = "completed") -> DataFrame:
     """The samples whose bytes differ from the one before of their key, with the difference and bytes per second since it."""
     w = Window.partitionBy(key).orderBy(ts, completed)
@@ -57,61 +34,101 @@ def changes(samples: DataFrame, key: str = "key", ts: str = "ts", completed: str
 
 
 def reports(samples: DataFrame, key: str = "key") -> DataFrame:
-    """All reports (key, ts, fraction, speed) of samples (key, ts, completed, total, complete), in batch: each key's samples in order."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        meter, out = Meter(), []
-        for r in f.sort_values("ts", kind="stable").itertuples():
-            found = meter.sample(r.ts, r.completed, r.total, r.complete)
-            if found:
-                out.append((getattr(r, key), r.ts, *found))
-        return pd.DataFrame(out, columns=[key, "ts", "fraction", "speed"])
-
-    return samples.groupBy(key).applyInPandas(run, f"{key} long, ts double, fraction double, speed double")
+    """All reports (key, ts, fraction, speed) of samples (key, ts, completed, total, complete), in batch."""
+    order = Window.partitionBy(key).orderBy("ts", "completed", "complete")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    part, done = F.col("__fraction"), F.col("complete")
+    rows = samples.withColumn("__fraction", fraction(F.col("completed"), F.col("total")))
+    rows = rows.withColumns({"__counts": (part < 1) | done, "__start": F.first("ts").over(order)})
+    counting = lambda c: F.when(F.col("__counts"), c)
+    rows = rows.withColumns({
+        "__high": F.greatest(F.coalesce(F.max(counting(F.col("completed"))).over(before), F.lit(0)), F.lit(0)),
+        "__last": F.coalesce(F.last(counting(part), ignorenulls=True).over(before), F.lit(0.0)),
+    })
+    grew = F.col("__counts") & (F.col("completed") > F.col("__high"))
+    rows = rows.withColumn("__since", F.coalesce(F.max(F.when(grew, F.col("ts"))).over(before), F.col("__start")))
+    quiet = F.col("__counts") & ~done & (F.col("completed") == F.col("__high")) & (F.abs(part - F.col("__last")) < MOVED)
+    # the whole seconds since bytes grew, and those at the last quiet sample of the same stall
+    beat = F.floor((F.col("ts") - F.col("__since")) / HEARTBEAT)
+    seen = F.struct(F.col("__since").alias("since"), beat.alias("beat"))
+    rows = rows.withColumn("__beat", F.max(F.when(quiet, seen)).over(before))
+    old = F.when(F.col("__beat.since") == F.col("__since"), F.col("__beat.beat")).otherwise(0)
+    stall = (F.col("__high") > 0) & (beat > F.coalesce(old, F.lit(0)))
+    took = F.col("ts") - F.col("__since")
+    speed = F.when(grew, F.when(took > 0, (F.col("completed") - F.col("__high")) / took).otherwise(0.0))
+    return rows.where(F.col("__counts") & (~quiet | stall)).select(key, "ts", part.alias("fraction"), speed.alias("speed"))
+
+
+@dataclass(frozen=True)
+class Transfer:
+    """The same for one key, a sample at a time. `step` gives the next state and the report, if there is one."""
+
+    phase: str = "idle"
+    high: int = 0
+    since: float | None = None
+    beat: int = 0
+    last: float = 0.0
+
+    def step(self, ts: float, completed: int, total: int, complete: bool = False) -> tuple[Transfer, tuple[float, float | None] | None]:
+        now = self if self.since is not None else replace(self, since=ts)
+        share = min(max(completed / total, 0.0), 1.0) if total > 0 else 0.0
+        match now._kind(completed, share, complete):
+            case "held":
+                return now, None
+            case "growth":
+                took = ts - now.since
+                speed = (completed - now.high) / took if took > 0 else 0.0
+                return Transfer("moving", completed, ts, 0, share), (share, speed)
+            case "news":
+                return replace(now, last=share), (share, None)
+        beat = math.floor((ts - now.since) / HEARTBEAT)
+        if now.phase == "idle" or beat <= now.beat:
+            return replace(now, last=share, beat=max(beat, now.beat)), None
+        return replace(now, phase="stalled", beat=beat, last=share), (share, None)
+
+    def _kind(self, completed: int, share: float, complete: bool) -> str:
+        if share >= 1 and not complete:
+            return "held"
+        if completed > self.high:
+            return "growth"
+        return "quiet" if not complete and completed == self.high and abs(share - self.last) < MOVED else "news"
 
 
 class _Processor(StatefulProcessor):
-    """Keeps a key's meter and reports a stall from a timer when no sample comes."""
+    """Keeps a key's machine, and lets it look at the clock from a timer when no sample comes."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.meter = handle.getValueState("meter", "fraction double, bytes bigint, sampled double, seen boolean, stalled boolean, stall_at double, total bigint")
-
-    def _load(self) -> tuple[Meter, int]:
-        found = self.meter.get()
-        return (Meter(tuple(found[:6])), found[6]) if found is not None else (Meter(), 0)
+        self.kept = handle.getValueState("transfer", "phase string, high bigint, since double, beat bigint, last double, total bigint")
 
-    def _store(self, meter: Meter, total: int) -> None:
-        self.meter.update((*meter.state(), total))
+    def _follow(self, key, timer, samples: list[tuple[float, int | None, int | None, bool]]) -> pd.DataFrame:
+        found = self.kept.get()
+        machine, total = (Transfer(*found[:5]), found[5]) if found is not None else (Transfer(), 0)
+        out = []
+        for ts, completed, new_total, complete in samples:
+            total = total if new_total is None else new_total
+            machine, report = machine.step(ts, machine.high if completed is None else completed, total, complete)
+            if report:
+                out.append((key[0], ts, *report))
+        self.kept.update((*asdict(machine).values(), total))
+        if machine.last < 1:
+            self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + int(1000 * HEARTBEAT))
+        return pd.DataFrame(out, columns=["key", "ts", "fraction", "speed"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        meter, total = self._load()
-        out = []
-        for f in rows:
-            for r in f.sort_values("ts", kind="stable").itertuples():
-                total = int(r.total)
-                found = meter.sample(float(r.ts), int(r.completed), total, bool(r.complete))
-                if found:
-                    out.append((key[0], float(r.ts), *found))
-        self._store(meter, total)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * HEARTBEAT))
-        yield pd.DataFrame(out, columns=["key", "ts", "fraction", "speed"])
+        samples = pd.concat(list(rows)).sort_values(["ts", "completed", "complete"], kind="stable")
+        yield self._follow(key, timerValues, [(float(r.ts), int(r.completed), int(r.total), bool(r.complete)) for r in samples.itertuples()])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        meter, total = self._load()
-        now = timerValues.getCurrentProcessingTimeInMs() / 1000
-        found = meter.sample(now, meter.bytes, total)
-        self._store(meter, total)
-        if meter.fraction < 1:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * HEARTBEAT))
-        yield pd.DataFrame([(key[0], now, *found)] if found else [], columns=["key", "ts", "fraction", "speed"])
+        yield self._follow(key, timerValues, [(timerValues.getCurrentProcessingTimeInMs() / 1000, None, None, False)])
 
     def close(self) -> None:
         pass
 
 
 def stream_reports(samples: DataFrame) -> DataFrame:
-    """The same for a stream of samples (key, ts, completed, total, complete); a query stops like any other."""
+    """The same for a stream of samples (key, ts, completed, total, complete); a query stops like any other. What is held back is never
+    reported by stopping: a transfer that was cancelled reports its end only if a complete sample had come."""
     return samples.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_Processor(), outputStructType="key long, ts double, fraction double, speed double", outputMode="Append", timeMode="ProcessingTime"
     )

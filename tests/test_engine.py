@@ -229,17 +229,37 @@ def test_text_generation(spark):
     assert generate.generate_text(prompts, tokenizer, always, logits.GenerationConfig(), 3).head().text == "the baaa"
 
 
+def followed(samples):
+    machine, out = progress.Transfer(), []
+    for x in samples:
+        machine, report = machine.step(*x)
+        out.append(report)
+    return out
+
+
 def test_progress():
-    meter = progress.Meter()
-    assert meter.sample(0.0, 0, 100) is None
-    assert meter.sample(1.0, 10, 100) == (0.1, 10.0)
-    assert meter.sample(1.5, 10, 100) is None
-    assert meter.sample(2.0, 10, 100) == (0.1, None)
-    assert meter.sample(2.5, 10, 100) is None
-    assert meter.sample(3.0, 10, 100) == (0.1, None)
-    assert meter.sample(4.0, 60, 100) == (0.6, 50 / 3)
-    assert meter.sample(5.0, 100, 100) is None
-    assert meter.sample(5.0, 100, 100, True) == (1.0, 40.0)
+    samples = [(0.0, 0, 100), (1.0, 10, 100), (1.5, 10, 100), (2.0, 10, 100), (2.5, 10, 100), (3.0, 10, 100), (4.0, 60, 100), (5.0, 100, 100), (5.0, 100, 100, True)]
+    assert followed(samples) == [None, (0.1, 10.0), None, (0.1, None), None, (0.1, None), (0.6, 50 / 3), None, (1.0, 40.0)]
+    assert followed([(0.0, 0, 0), (9.0, 0, 0), (10.0, 0, 0)]) == [None] * 3  # idle: no bytes yet, no stall
+
+
+def test_progress_windows_are_the_machine(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for key in range(60):
+        ts, done = 0.0, 0
+        total = int(rng.integers(1, 400))
+        for _ in range(int(rng.integers(1, 25))):
+            ts = round(ts + float(rng.choice([0.1, 0.4, 0.7, 2.5])), 1)
+            done = int(max(0, done + rng.choice([0, 0, 0, 1, 40, -5])))
+            rows.append((key, ts, done, total, bool(rng.random() < 0.1)))
+    found = sorted(map(tuple, progress.reports(spark.createDataFrame(rows, SCHEMA)).collect()))
+    expected = []
+    for key in range(60):
+        own = sorted(r[1:] for r in rows if r[0] == key)
+        expected += [(key, x[0], *report) for x, report in zip(own, followed(own), strict=True) if report]
+    assert [r[:2] for r in found] == [r[:2] for r in expected]
+    assert [r[2:] for r in found] == [pytest.approx(r[2:]) for r in expected]
 
 
 SAMPLES = [(1, 0.0, 0, 100, False), (1, 1.0, 10, 100, False), (1, 1.5, 10, 100, False), (2, 0.0, 5, 10, False), (2, 1.0, 10, 10, True)]

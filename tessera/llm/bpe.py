@@ -10,7 +10,8 @@ Texts repeat their words, so a worker keeps the ids of chunks. A chunk begins wi
 than white space follows: the pattern that splits texts always starts a new match there, so chunks can be encoded
 one by one.
 
-Null text is the empty text and has no ids. Rows, ties and further columns stay as they are.
+Null text is the empty text and has no ids. A very long text is encoded whole, chunk by chunk. Repeated rows stay, each with its
+ids; further columns stay as they are, but those named like a column that is added are replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -205,6 +206,7 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with(rows: DataFrame, path: str, add: list[str], made: Callable[[Bpe | list[bytes], pa.RecordBatch], list[list[bytes]]], encoder: bool) -> DataFrame:
     """rows with binary columns that a worker's encoder (or the tokens alone) makes of small batches."""
     shared.lean(rows.sparkSession)
+    rows = rows.drop(*add)
     names, tokens = rows.columns, _vocabulary(rows.sparkSession, path)
     schema = T.StructType([*rows.schema.fields, *(T.StructField(x, T.BinaryType()) for x in add)])
 

@@ -4,8 +4,11 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of text whose A-Z are lower ca
 words of an item; an item of fewer words, but not none, is one window. A document word inside any
 occurrence of a window is hit. Null text has no words; a null item id hits words but is not counted.
 
+Very long texts are scanned whole, in one slice. Repeated rows are judged each. Extra columns stay. Empty tables: no documents give no
+rows, an empty benchmark hits nothing.
+
 Windows of the benchmark are broadcast in blocks of at most BLOCK windows, whatever the benchmark's size;
-documents pass all blocks in one job, without a shuffle. In a document every window's hash is looked up in
+documents pass CHAINED blocks in one job, without a shuffle, and are written before the next ones. In a document every window's hash is looked up in
 a bit table, the few candidates in a dictionary of strings, so hits are exact.
 """
 
@@ -24,6 +27,8 @@ from tessera.llm import shared, words
 
 #: Words of a window, and windows broadcast at once (about 100 bytes each).
 WINDOW, BLOCK = 10, 200_000
+#: Blocks that documents pass in one job, each in a Python worker; then they are written.
+CHAINED = 4
 _BITS = 22
 
 _HIT = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -67,10 +72,10 @@ def _lookup(block: dict[int, dict[bytes, list[str | None]]]) -> list[tuple[int,
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK) -> DataFrame:
-    """docs, with n_words, n_hit, hits (start and end word of runs of hit words) and items (ids, each once).
-
-    These columns must not be among docs'."""
+    """docs, with n_words, n_hit, hits (start and end word of runs of hit words) and items (ids, each once); columns of these
+    names are replaced."""
     shared.lean(docs.sparkSession)
+    docs = docs.drop("n_words", "n_hit", "hits", "items")
     sc = docs.sparkSession.sparkContext
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(_HIT)), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -106,14 +111,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int
         return apply
 
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(T.ArrayType(_HIT)), "items": F.array().cast("array<string>")})
-    for block in list(map(sc.broadcast, blocks(benchmark, window, most))) or [None]:
-        out = out.mapInArrow(step(block), schema)
+    k = 0
+    for k, block in enumerate(blocks(benchmark, window, most), 1):
+        if k > 1 and k % CHAINED == 1:
+            out = shared.cut(out)
+        out = out.mapInArrow(step(sc.broadcast(block)), schema)
+    if not k:
+        out = out.mapInArrow(step(None), schema)
     return out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit word; what holds a passage of the benchmark goes."""
-    return scan(docs, benchmark).where("n_hit = 0").select(*docs.columns)
+    rows = scan(shared.packed(docs), benchmark).where("n_hit = 0")
+    return shared.unpacked(rows, docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

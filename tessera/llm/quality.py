@@ -3,14 +3,15 @@
 Features of a text are its words, pairs of neighbouring words (one more for a pair of equal words), and character n-grams (3 and 4 bytes) of words with
 their borders, hashed into BUCKETS. Each bucket has a learned vector; a document's vector is the average over all its
 features, a softmax of its product with the output matrix is the score. Vectors and output matrix are trained
-by stochastic gradient descent in numpy, on at most TRAIN_ROWS labelled documents (a documented bound of the fit only):
-those with the least hashes of their ids, whole texts. Everything else covers all rows and whole texts.
+by stochastic gradient descent in numpy, on at most TRAIN_ROWS labelled documents and TRAIN_BYTES of text (a documented bound of the
+fit only): those with the least hashes of their ids, whole texts. Everything else covers all rows and whole texts.
 
 Scoring needs only one number per bucket, its vector times the difference of the two output columns, so a
 document's score is a mean over a table lookup: executors get 4 bytes a bucket, whatever the data.
 
 A text without words (empty, null, white space) gets the prior of the training labels. Null labels are left out;
 several labels of one document count as their maximum. If no usable label is there, all scores are 0.5.
+A very long text is scored by all its features, like any other. Repeated rows are scored each. Empty tables give no rows.
 A null doc_id is not held out (its remainder is unknown) and never trained on. Extra columns pass through `score`.
 """
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,8 @@ from tessera.llm import shared, words
 
 #: Documents to fit on at most; buckets; numbers of a vector; passes over the documents; step size.
 TRAIN_ROWS, BUCKETS, DIM, EPOCHS, RATE = 4000, 1 << 18, 8, 6, 0.3
+#: Bytes of texts to fit on at most (whole texts, in order of their hashes).
+TRAIN_BYTES = 64 << 20
 GRAMS = (3, 4)
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -109,8 +112,9 @@ def fit(rows: list[tuple[str | None, int]], buckets: int = BUCKETS, dim: int = D
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, with score (double, 0 to 1)."""
+    """docs, with score (double, 0 to 1); a column of that name is replaced."""
     shared.lean(docs.sparkSession)
+    docs = docs.drop("score")
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
@@ -138,12 +142,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fits on at most so many labelled documents that are not held out. docs may be a part of all documents."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Model:
+    """Fits on at most so many labelled documents, and bytes of texts, that are not held out. docs may be a part of all documents."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("quality").cast("int").alias("__y"))
     order = F.xxhash64("__id")
     chosen = F.broadcast(known.orderBy(order, "__id").limit(rows))
     found = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(chosen, "__id").orderBy(order, "__id", "text").limit(rows)
+    # a window over at most `rows` rows
+    sums = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(order, "__id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("__sum", sums).where(F.col("__sum") <= most)
     return fit([(r[0], r[1]) for r in found.select("text", "__y").toLocalIterator()])
 
 

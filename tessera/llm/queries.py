@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, decontaminate, host_reputation, jaccard, neighbours, passages, quality, token_files, wrappers
+from tessera.llm import pipeline as stages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_html_wrappers, op3_suffix_dedup, op4_jaccard_join, op5_quality_classifier, op6_substring_dedup, op7_token_files, op8_decontamination, op9_host_reputation, op10_byte_bpe, pipeline)}

@@ -9,11 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few short columns may be broadcast (about 64 MB at most).
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Environment of Python workers: arrays over 4 MB have pages of their own, Arrow's buffers are allocated like numpy's.
 ALLOCATION = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Bytes of an Arrow batch, instead of Spark's 64 MB.
@@ -21,10 +21,12 @@ BATCH, _BATCH = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests on
-    one machine), a temporary folder, which is then also set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and driver and executors are one
+    process (tests), a temporary folder, which is then also set; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -51,10 +53,12 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows (df should be cut() first); else as it is, so
-    that Spark shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows (df should be cut() first) and, where a row's size in bytes is
+    not fixed and so given, so many bytes; else as it is, so that Spark shuffles it."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    return F.broadcast(df) if size is None or (df.agg(F.sum(size)).head()[0] or 0) <= most else df
 
 
 def partitions(spark: SparkSession, total_bytes: int, each: int = 48 << 20) -> int:

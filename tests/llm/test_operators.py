@@ -161,12 +161,25 @@ def test_decontamination(spark, docs, none):
     found = {(r.doc_id, r.n_words): r for r in decontaminate.report(docs, bench).collect() if r.doc_id is not None}
     assert {k: (r.n_hit, r.n_items) for k, r in found.items() if r.contaminated} == {(1, 64): (25, 1), (2, 64): (27, 1), (6, 40000): (16, 0), (7, 40001): (16, 0), (8, 3): (2, 1), (9, 3): (2, 1), (11, 120): (50, 1)}
     assert found[8, 3].items_sha256 == hashlib.sha256(b"10").hexdigest() and found[3, 0].items_sha256 == hashlib.sha256(b"").hexdigest()
-    small = {tuple(r)[:4] for r in decontaminate.scan(docs.where("doc_id < 3"), bench, most=5).select("doc_id", "n_words", "n_hit", F.size("items")).collect()}
+    small = {tuple(r)[:4] for r in decontaminate.scan(docs.where("doc_id < 3"), bench, most=3).select("doc_id", "n_words", "n_hit", F.size("items")).collect()}
     assert small == {(1, 64, 25, 1), (2, 64, 27, 1)}
     assert decontaminate.report(none, bench).count() == 0
     assert decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_added_columns_replace_those_of_their_names(spark, docs):
+    clash = docs.select("*", *(F.lit(1).alias(c) for c in ("token_ids", "score", "items", "n_hit", "other")))
+    bench = spark.createDataFrame([(10, "few words")], "item_id long, text string")
+    made = bpe.encode(clash)
+    assert made.columns.count("token_ids") == 1 and {r.other for r in made.collect()} == {1}
+    scored = quality.score(clash, quality.fit([]))
+    assert scored.columns.count("score") == 1 and {r.score for r in scored.collect()} == {0.5}
+    found = decontaminate.scan(clash, bench)
+    assert found.columns.count("items") == 1 and {(r.n_hit, tuple(r["items"])) for r in found.where("doc_id IN (8, 9)").collect()} == {(2, ("10",))}
+    kept = decontaminate.decontaminate(clash, bench)
+    assert kept.columns == clash.columns and kept.count() == len(ROWS) - 2
+
+
 def test_bpe(docs, none):
     one = bpe.Bpe(bpe.read_ranks())
     found = sorted(map(tuple, bpe.round_trip(docs).collect()), key=str)

@@ -349,6 +349,8 @@ def linked(pairs: DataFrame, docs: DataFrame, bits: DataFrame, twice: np.ndarray
     side = lambda c: bits.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(_open_pairs(percent), "a long, b long")
     pairs = shared.cut(pairs)
+    if pairs.isEmpty():
+        return pairs
     named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     wanted = bits.join(named, "sig", "left_semi").select(F.col("least").alias("__id")).distinct()
     rows = docs.join(shared.small(shared.cut(wanted)), F.col("doc_id").cast("long") == F.col("__id"), "left_semi").select("text")
@@ -401,7 +403,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = Window.partitionBy("sig")
     lists = lists.withColumns({"many": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("place"))})
     lists = shared.cut(lists.withColumn("room", F.col("many") - F.col("rank") + 1).drop("rank"))
-    links, roots = None, None
+    roots = None
     for step in ("first", "more", "all"):
         if roots is None:
             rooted = lists.withColumn("root", F.col("sig"))
@@ -414,8 +416,10 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             rooted = _cells(rooted)
         found = rooted.select("shingle", "sig", "n", "place", "length", "many", "room", "root").repartition(n, "shingle")
         found = shared.cut(linked(found.mapInArrow(_pairs(percent, step), "a long, b long"), docs, bits, twice, n, percent))
-        links = found if links is None else links.unionByName(found)
-        roots = shared.small(shared.cut(components(links)))
+        if roots is None:
+            roots = shared.small(shared.cut(components(found)))
+        elif not found.isEmpty():
+            roots = shared.small(shared.cut(_joined_roots(roots, found)))
     sized = shared.cut(bits.select("sig", "least", "copies").join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", "copies", F.coalesce("root", "sig").alias("root")))
     least = sized.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k")
     named = sized.join(shared.small(shared.cut(least)), "root", "left").select("sig", "copies", F.coalesce("component_id", "least").alias("component_id"), "least")
@@ -423,6 +427,15 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return _with_component(rows, named)
 
 
+def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (a, b): components of the roots, which are few, and then of their nodes."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    new = shared.cut(components(ends.distinct())).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    moved = roots.join(shared.small(new), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return moved.unionByName(new.join(roots, F.col("node") == new["root"], "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root")))
+
+
 def _renamed():
     @F.pandas_udf("long")
     def renamed(sig: pd.Series, check: pd.Series) -> pd.Series:

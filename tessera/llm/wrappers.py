@@ -10,7 +10,8 @@ Inline tags do not break a slot, comments and raw-text elements are no tokens, e
 
 The result, the host's wrapper, is a regular expression without unions; a stream that it accepts already does not change it.
 Tasks first fold streams and count distinct ones, so a host with a third of all pages sends few rows; streams are merged
-by (host, salt), and then by host. Wrappers of all hosts are joined to pages by broadcast only if they are few.
+in groups of 64 by (host, salt), in rounds, until each host has one. Wrappers of all hosts are joined to pages by broadcast only if they are
+small in bytes. Alignment takes memory linear in the streams, so very long pages are aligned like others.
 
 In a wrapper a slot's place is the chain of elements open there. A place's slots before its first optional or repeated
 group are slots of their own, those from there on are one. Pages are read into blocks (block-level tags end one), character
@@ -22,7 +23,7 @@ A block is main text if no element of its chain is a menu, header, footer, sideb
 like (by tag, role, or whole class and id names) and, if this page has an article or main element with text, one of these is open.
 Of these blocks those in template slots are left out, unless the page has no others: then it is one of many copies.
 
-A null html is an empty page, a null url has the empty host. A page without main text has the empty text. Repeated
+An empty table gives no rows. A null html is an empty page, a null url has the empty host. A page without main text has the empty text. Repeated
 rows are pages of their own. Extra columns are not read.
 """
 
@@ -35,6 +36,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,8 +45,8 @@ from pyspark.sql import functions as F
 from tessera.llm import shared
 from tessera.llm.host_reputation import parts
 
-#: Groups of streams of one host that are merged apart from each other first.
-SALTS = 16
+#: Streams of one host that a task merges at once; more are merged in rounds.
+GROUP = 64
 #: Different pages that a template slot is on, at least; part of them that one of its texts is on, on average.
 PAGES, SHARE = 5, 0.5
 #: Hosts whose wrappers may be broadcast (about 1 KB each).
@@ -71,6 +73,9 @@ ASIDE_WORDS = frozenset(
     " advertising sponsor sponsored promo promotion comment comments respond reply replies disqus share sharing social related breadcrumb breadcrumbs newsletter subscribe subscription"
     " popup modal widget toolbar copyright form search login signup pagination pager".split()
 )
+#: Such words that also count at the end of a name of several parts (cookie-notice), but not after those that say whether something is there.
+ASIDE_ENDS = ASIDE_WORDS - frozenset("header masthead form search login signup share sharing related".split())
+SAYS_WHETHER = frozenset("with without has have no not is show hide".split())
 MAIN_TAGS = frozenset(("article", "main"))
 #: Elements that the name main makes main; elements that are around main text, whatever they are called.
 MAIN_BOXES = frozenset(("div", "section", "td", "center"))
@@ -174,16 +179,53 @@ def _regroup(stream: str, like: str) -> str:
     return stream
 
 
+def _prefix_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of a and of each prefix of b, from the empty one on. The bits of one number stand for b."""
+    places: dict[str, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    masks = {}
+    for x in set(a) & places.keys():
+        bits = np.zeros(len(b), dtype=np.uint8)
+        bits[places[x]] = 1
+        masks[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = now = (1 << len(b)) - 1
+    for x in a:
+        both = now & masks.get(x, 0)
+        now = ((now + both) | (now - both)) & full
+    left = np.unpackbits(np.frombuffer(now.to_bytes(-(-len(b) // 8), "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - left.astype(np.int64))])
+
+
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence in both lists, by halving a, in memory linear in their lengths."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((a1, b1))
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            if a[a0] in b[b0:b1]:
+                out.append((a0, b.index(a[a0], b0, b1)))
+            continue
+        mid = (a0 + a1) // 2
+        left, right = _prefix_lengths(a[a0:mid], b[b0:b1]), _prefix_lengths(a[mid:a1][::-1], b[b0:b1][::-1])
+        cut = b0 + int(np.argmax(left + right[::-1]))
+        todo += [(mid, a1, cut, b1), (a0, mid, b0, cut)]
+    return sorted(out)
+
+
 def align(one: str, two: str) -> str:
     """The wrapper of two wrappers or streams: longest common subsequence of items, the rest optional."""
     one, two = _regroup(one, two), _regroup(two, one)
     a, b = _ITEM.findall(one), _ITEM.findall(two)
-    x, y = [_bare(i) for i in a], [_bare(i) for i in b]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
     out: list[str] = []
     run: list[str] = []
 
@@ -193,19 +235,12 @@ def align(one: str, two: str) -> str:
         run.clear()
 
     i = j = 0
-    while i < len(a) and j < len(b):
-        if x[i] == y[j]:
-            close()
-            out.append(_joined(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            run.append(a[i])
-            i += 1
-        else:
-            run.append(b[j])
-            j += 1
-    run += a[i:] + b[j:]
-    close()
+    for x, y in [*common([_bare(k) for k in a], [_bare(k) for k in b]), (len(a), len(b))]:
+        run += a[i:x] + b[j:y]
+        close()
+        if x < len(a):
+            out.append(_joined(a[x], b[y]))
+        i, j = x + 1, y + 1
     return "".join(out)
 
 
@@ -234,7 +269,12 @@ def infer(streams: list[str]) -> str:
 
 def _is_aside(key: str) -> bool:
     name, _, rest = key.partition(".")
-    return name not in NEVER_ASIDE and (name in ASIDE_TAGS or bool(rest) and not ASIDE_WORDS.isdisjoint(rest.split(".")))
+    return name not in NEVER_ASIDE and (name in ASIDE_TAGS or bool(rest) and any(map(_names_aside, rest.split("."))))
+
+
+def _names_aside(name: str) -> bool:
+    first, *_, last = re.split("[-_]+", name.strip("-_")) if "-" in name or "_" in name else (name, name)
+    return name in ASIDE_WORDS or last in ASIDE_ENDS and first not in SAYS_WHETHER
 
 
 def _is_main(key: str) -> bool:
@@ -335,9 +375,16 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [group["host"].iloc[0]], "stream": [infer(group["stream"].tolist())], "n": [int(group["n"].sum())]})
 
-    salted = distinct.withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(SALTS)))
-    part = salted.groupBy("host", "salt").applyInPandas(merge, "host string, stream string, n long")
-    return part.groupBy("host").applyInPandas(merge, "host string, stream string, n long").select("host", F.col("stream").alias("wrapper"), F.col("n").alias("n_pages"))
+    rows = shared.cut(distinct)
+    while True:
+        counts = rows.groupBy("host").agg(F.count("*").alias("k")).where(F.col("k") > GROUP)
+        counts = shared.cut(counts)
+        if counts.isEmpty():
+            break
+        salt = F.coalesce(F.pmod(F.xxhash64("stream"), F.ceil(F.col("k") / GROUP)), F.lit(0))
+        salted = rows.join(shared.small(counts, size=F.octet_length("host") + 8), "host", "left").withColumn("salt", salt)
+        rows = shared.cut(salted.groupBy("host", "salt").applyInPandas(merge, "host string, stream string, n long"))
+    return rows.groupBy("host").applyInPandas(merge, "host string, stream string, n long").select("host", F.col("stream").alias("wrapper"), F.col("n").alias("n_pages"))
 
 
 def _readers(batch: pa.RecordBatch, readers: dict[str, Reader]) -> Iterator[tuple[str, Reader]]:
@@ -376,10 +423,11 @@ def templates(rows: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """One row for each page: page_id, url, text, n_chars."""
     host, _ = parts(F.col("url"))
+    size = F.octet_length("wrapper")
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     found = shared.cut(wrappers(pages).select("host", "wrapper"))
-    known = found.join(templates(rows.join(shared.small(found, HOSTS), "host", "left")), "host", "left")
-    rows = rows.join(shared.small(shared.cut(known), HOSTS), "host", "left").select("page_id", "url", "html", "host", "wrapper", "template")
+    known = found.join(templates(rows.join(shared.small(found, HOSTS, size), "host", "left")), "host", "left")
+    rows = rows.join(shared.small(shared.cut(known), HOSTS, size + 8 * F.coalesce(F.size("template"), F.lit(0))), "host", "left").select("page_id", "url", "html", "host", "wrapper", "template")
     schema = pages.select("page_id", "url").schema.add("text", "string")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -293,6 +293,16 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_wrappers_do_not_need_telling_names(spark):
+    def page(i):
+        return f"<div class='q7'><ul><li>Start</li><li>Imprint</li></ul></div><div class='z1'>Buy now</div><div class='k3'><h1>title {i}</h1>" + "".join(f"<p>text {i} {k}</p>" for k in range(i % 3 + 1)) + "</div><div class='z9'>All rights reserved</div>"
+
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(200)] + [(200 + i, f"http://odd/{i}", "".join(f"<h{1 + (i >> k & 1)}>a{i}{k}</h{1 + (i >> k & 1)}>" for k in range(7))) for i in range(128)]
+    found = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == "\n".join([f"title {i}", *(f"text {i} {k}" for k in range(i % 3 + 1))]) for i in range(200))
+    assert all(found[200 + i] == "\n".join(f"a{i}{k}" for k in range(7)) for i in range(128))
+
+
 def recall(spark, x, **how):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     found = neighbours.search(df, lambda i: i % 100 == 0, **how).collect()

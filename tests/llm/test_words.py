@@ -151,6 +151,29 @@ PAGES = [
 ]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
+def test_longest_common_subsequence(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    found = wrappers.common(a, b)
+    assert len(found) == best[-1][-1] and all(a[i] == b[j] for i, j in found)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
+
+
+def test_long_pages_are_aligned():
+    rng = random.Random(2)
+    pages = ["".join(rng.choice(("<p>x</p>", "<h2>y</h2>", "<ul><li>z</li></ul>", "<hr>")) for _ in range(4000)) for _ in range(2)]
+    wrapper = wrappers.infer([wrappers.stream(p) for p in pages])
+    assert wrapper
+
+
+def test_names_of_several_parts():
+    assert [wrappers._names_aside(x) for x in ("cookie-notice", "with-sidebar", "sidebar", "site_nav", "entry-header", "menu-button-text")] == [True, False, True, True, False, False]
+
+
 def test_wrappers():
     streams = [wrappers.stream(p) for p in PAGES]
     wrapper = wrappers.infer(streams)

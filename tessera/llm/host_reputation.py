@@ -1,7 +1,9 @@
 """URL filter: rules first, then an empirical-Bayes reputation of hosts.
 
 A page's outcome is known where its url's last number in the path is a labelled document: bad if its quality is 0 or
-it is toxic. Outcomes are summed by host, registered domain (the last two names of a host) and suffix (the last one).
+it is toxic. Outcomes are summed by host, registered domain (the suffix and the name before it) and suffix (the last name of a host, or
+its last two where these are a public suffix such as co.uk; the list is a parameter). An IP address is its own domain and suffix; ports and
+dots at the end are left out of both.
 Each level's rate of bad pages is shrunk to that of the level above by a beta-binomial prior whose mean is the rate
 above and whose weight is estimated from the spread of all rates at that level by the method of moments:
 all pages -> suffix -> registered domain -> host. A host's posterior is a beta distribution; it is blocked if
@@ -24,11 +26,19 @@ from tessera.llm import shared
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with its path; the longest wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+#: Public suffixes of two names, as registries publish them (fixed values).
+SUFFIXES = tuple(
+    "ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk sch.uk com.au edu.au gov.au id.au net.au org.au ac.nz co.nz govt.nz net.nz org.nz ac.jp ad.jp co.jp ed.jp go.jp gr.jp lg.jp ne.jp or.jp"
+    " ac.kr co.kr go.kr or.kr com.br edu.br gov.br net.br org.br com.ar com.mx gob.mx com.co com.pe com.ve com.cn edu.cn gov.cn net.cn org.cn com.tw edu.tw org.tw com.hk org.hk com.sg edu.sg com.my co.id or.id"
+    " co.th ac.th in.th com.ph com.vn co.in ac.in gov.in net.in org.in com.pk com.bd com.tr edu.tr gov.tr org.tr co.il ac.il org.il co.za ac.za org.za co.ke com.ng com.eg com.sa com.ua co.at or.at ac.at com.pl net.pl org.pl com.pt com.gr com.ru".split()
+)
 #: Rate of bad pages over which a host is blocked, and standard deviations between the mean and the bound (95 % one-sided).
 LIMIT, Z = 0.25, 1.645
 #: Least and greatest weight of a prior, in pages.
 WEIGHT = (1.0, 1000.0)
 
+#: A port and dots at the end of a host; IPv4 and IPv6 addresses.
+_ENDS, _ADDRESS = r"\.*(:[0-9]*)?$", r"^([0-9]+(\.[0-9]+){3}|\[.*)$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HOST, _PATH, _DOC = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)", r"(?s)^.*/([0-9]{1,18})(?:[^0-9].*)?$"
 
@@ -66,13 +76,22 @@ def _shrink(rates: DataFrame, above: str, name: str) -> DataFrame:
     return rates.withColumn("weight", F.lit(weight)).withColumn(name, (F.col("bad") + F.col("weight") * F.col(above)) / (F.col("n") + F.col("weight")))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def domains_of(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """Suffix and registered domain."""
+    bare = F.regexp_replace(host, _ENDS, "")
+    names = F.split(bare, r"\.")
+    last = lambda n: F.concat_ws(".", F.slice(names, F.greatest(F.size(names) - (n - 1), F.lit(1)), F.lit(n)))
+    address, two = bare.rlike(_ADDRESS), last(2).isin(*suffixes)
+    return F.when(address, bare).when(two, last(2)).otherwise(last(1)), F.when(address, bare).when(two, last(3)).otherwise(last(2))
+
+
+def reputation(outcomes: DataFrame, suffixes=SUFFIXES) -> DataFrame:
     """Of (host, bad: 1, 0 or null): host, n, bad, mean, bound and blocked for each host."""
-    names = F.split(F.regexp_replace("host", ":[0-9]*$", ""), r"\.")
+    suffix, domain = domains_of(F.col("host"), suffixes)
     hosts = shared.cut(
         outcomes.groupBy("host")
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .withColumns({"suffix": F.element_at(names, -1), "domain": F.concat_ws(".", F.slice(names, F.greatest(F.size(names) - 1, F.lit(1)), F.lit(2)))})
+        .withColumns({"suffix": suffix, "domain": domain})
     )
     rate = hosts.agg((F.sum("bad") + 1) / (F.sum("n") + 2)).head()[0] or 0.5
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -102,6 +121,9 @@ def oracle(rules=RULES) -> str:
     text = " ".join(f"WHEN {c} THEN '{t}'" for _, t, c in fits)
     verdict = " ".join(f"WHEN {c} THEN '{v}'" for v, _, c in fits)
 
+    bare = f"regexp_replace(host, '{_ENDS}', '')"
+    two = ", ".join(f"'{x}'" for x in SUFFIXES)
+
     def shrink(members: str, above: str, name: str, key: str) -> str:
         return f"""SELECT *, (bad + weight * {above}) / (n + weight) AS {name} FROM {members} CROSS JOIN
   (SELECT least(greatest(CASE WHEN share > 0 THEN 1 / share - 1 ELSE {WEIGHT[1]} END, {WEIGHT[0]}), {WEIGHT[1]}) AS weight FROM
@@ -112,9 +134,11 @@ def oracle(rules=RULES) -> str:
 WITH rows AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{_HOST}', 1), '{_UPPER}', '{_LOWER}') AS host,
               regexp_extract(coalesce(url, ''), '{_PATH}', 1) AS path FROM pages),
 known AS (SELECT doc_id AS doc, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY doc_id),
-hosts AS (SELECT host, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS names
+hosts AS (SELECT host, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, {bare} AS bare, string_split({bare}, '.') AS names
           FROM (SELECT host, TRY_CAST(regexp_extract(path, '{_DOC}', 1) AS BIGINT) AS doc FROM rows) LEFT JOIN known USING (doc) GROUP BY host),
-h AS (SELECT host, n, bad, names[-1] AS suffix, array_to_string(names[-2:], '.') AS domain FROM hosts),
+h AS (SELECT host, n, bad,
+      CASE WHEN regexp_matches(bare, '{_ADDRESS}') THEN bare WHEN array_to_string(names[-2:], '.') IN ({two}) THEN array_to_string(names[-2:], '.') ELSE names[-1] END AS suffix,
+      CASE WHEN regexp_matches(bare, '{_ADDRESS}') THEN bare WHEN array_to_string(names[-2:], '.') IN ({two}) THEN array_to_string(names[-3:], '.') ELSE array_to_string(names[-2:], '.') END AS domain FROM hosts),
 t AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS rate FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, rate FROM h CROSS JOIN t GROUP BY suffix, rate),
 s AS ({shrink('s0', 'rate', 'suffix_rate', 'suffix')}),

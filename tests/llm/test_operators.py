@@ -242,6 +242,13 @@ def test_host_reputation(spark, duck):
     assert host_reputation.judge(df, labels.limit(0)).count() == len(pages)
 
 
+def test_registered_domains(spark):
+    hosts = ["a.b.co.uk", "co.uk", "www.x.com.", "x.com:80", "10.0.0.7:8080", "[::1]:80", "", "localhost"]
+    suffix, domain = host_reputation.domains_of(F.col("h"))
+    found = [tuple(r) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select(suffix, domain).collect()]
+    assert found == [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("com", "x.com"), ("com", "x.com"), ("10.0.0.7", "10.0.0.7"), ("[::1]", "[::1]"), ("", ""), ("localhost", "localhost")]
+
+
 def test_bad_hosts_are_blocked(spark):
     pages = spark.createDataFrame([(i, f"http://{'bad' if i % 2 else 'good'}.site{i % 4}.io/x/{i}") for i in range(400)], "page_id long, url string")
     labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")

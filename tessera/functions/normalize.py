@@ -70,9 +70,13 @@ def space_cjk() -> Step:
     return Step(lambda c: F.regexp_replace(c, rf"([{CJK}]\p{{M}}*)", " $1 "))
 
 
-def strip_marks() -> Step:
+def without_marks(x: str) -> str:
     """Canonical decomposition without nonspacing marks."""
-    return Step(python=lambda x: x if x.isascii() else "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"))
+    return x if x.isascii() else "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn")
+
+
+def strip_marks() -> Step:
+    return Step(python=without_marks)
 
 
 def strip(left: bool = True, right: bool = True) -> Step:

@@ -63,6 +63,11 @@ def whitespace(c: Column) -> Column:
     return t.find_all(c, t.WORDS)
 
 
+def blanks(c: Column) -> Column:
+    """Runs of what is neither a space of any kind nor a tab; line feeds are part of them."""
+    return t.find_all(c, f"[^{t.BLANK}]+")
+
+
 def bert(c: Column) -> Column:
     """Words and single punctuation marks."""
     return t.find_all(c, t.BERT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 # Fixed values of the formats, in the form that Java, Python's regex and RE2 read alike.
 SPACE = r"\t\n\f\r\p{Z}"
+BLANK = r"\t\p{Zs}"
 WHITE_SPACE = r"\t\n\x0B\f\r\x{85}\p{Z}"
 PUNCTUATION = r"\p{P}!-/:-@\[-`{-~"
 BERT = rf"[^{SPACE}{PUNCTUATION}]+|[{PUNCTUATION}]"
@@ -25,6 +27,11 @@ UNDERLINE = "▁"
 MARK = "\ue000"
 
 
+def python_class(ranges: str) -> str:
+    """Ranges of \\x{...} as Python's regex module reads them."""
+    return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), ranges)
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself if it is printable in Latin-1, else the next free one from U+0100."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}

@@ -15,16 +15,25 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.normalize import without_marks
+from tessera.functions.text import BLANK, CJK, PUNCTUATION, python_class
+
 #: Pieces that a worker remembers.
 REMEMBERED = 200_000
 
 TOKENS = T.ArrayType(T.StringType())
 IDS = T.ArrayType(T.LongType())
 
+IDEOGRAPH = regex.compile(rf"([{python_class(CJK)}]\p{{M}}*)")
+BLANKS = regex.compile(rf"[{BLANK}]+")
+#: A punctuation mark with the marks on it, or what lies between.
+PARTS = regex.compile(rf"[{PUNCTUATION}]\p{{M}}*|[^{PUNCTUATION}]+")
+
 #: Before an added token, and where a section begins.
 RAW, CUT = "\ue001", "\ue002"
 
@@ -107,14 +116,43 @@ class Bpe(Model):
         return out
 
 
+#: Words that the basic stage leaves as they are (fixed values).
+NEVER_SPLIT = ("[UNK]", "[SEP]", "[PAD]", "[CLS]", "[MASK]")
+
+
+class Basic(Model):
+    """Words and single punctuation marks of a piece. Ideographs stand alone if `cjk`; with `lower`, without nonspacing marks and
+    in lower case. Spaces and tabs split, line feeds do not. A word that is one of NEVER_SPLIT stays."""
+
+    def __init__(self, lower: bool = True, cjk: bool = True):
+        super().__init__({})
+        self.lower, self.cjk = lower, cjk
+
+    def tokens(self, piece: str) -> list[str]:
+        if self.cjk and not piece.isascii():
+            piece = IDEOGRAPH.sub(r" \1 ", piece)
+        if self.lower:
+            piece = without_marks(piece)
+        out: list[str] = []
+        for word in BLANKS.split(piece):
+            out += [word] if word in NEVER_SPLIT else PARTS.findall(word.lower() if self.lower else word)
+        return out
+
+
 class WordPiece(Model):
-    """Greedy longest match with a prefix for continuations; a word that is too long or has no match is unknown as a whole."""
+    """Greedy longest match with a prefix for continuations; a word that is too long or has no match is unknown as a whole.
+    With `basic`, a piece's words come from that stage; else the piece is one word."""
 
-    def __init__(self, vocab: dict[str, int], unk: str = "[UNK]", prefix: str = "##", longest: int = 100, added: dict[str, int] | None = None):
+    def __init__(self, vocab: dict[str, int], unk: str = "[UNK]", prefix: str = "##", longest: int = 100, added: dict[str, int] | None = None, basic: Basic | None = None):
         super().__init__({**vocab, **(added or {})}, unk)
-        self.prefix, self.longest = prefix, longest
+        self.prefix, self.longest, self.basic = prefix, longest, basic
 
     def tokens(self, piece: str) -> list[str]:
+        if self.basic is None:
+            return self._word(piece)
+        return [t for word in self.basic.tokens(piece) for t in self._word(word)]
+
+    def _word(self, piece: str) -> list[str]:
         if len(piece) > self.longest:
             return [self.unk]
         out: list[str] = []
@@ -356,6 +394,16 @@ def joined_bytes(model: Model, byte_of: dict[str, int], skip: frozenset[int] = f
     return run
 
 
+def within(ids: Column, longest: int = 512) -> Column:
+    """The ids, or an error if there are more than a model's longest sequence; `too_long` tells such rows apart before."""
+    message = F.concat(F.lit("too_long: "), F.size(ids).cast("string"), F.lit(f" ids, more than {longest}"))
+    return F.when(too_long(ids, longest), F.raise_error(message)).otherwise(ids)
+
+
+def too_long(ids: Column, longest: int = 512) -> Column:
+    return F.size(ids) > longest
+
+
 def vocab_table(model: Model, spark) -> DataFrame:
     """(token, id), for lookups by join."""
     return spark.createDataFrame(list(model.vocab.items()), "token string, id long")

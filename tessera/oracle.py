@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.functions.text import BERT, BYTES, CJK, DIGIT_RUNS, DIGITS_APART, PUNCTUATION_RUNS, SPACE, UNDERLINE, WHITE_SPACE, WORDS
+from tessera.functions.text import BYTES
 from tessera.operators import vocabularies
 
+# Written out for this side, so that a wrong pattern of the engine shows.
+SPACE, WHITE_SPACE, UNDERLINE = r"\p{Z}\t\n\f\r", r"\p{Z}\t\n\v\f\r\x{85}", chr(0x2581)
+WORDS = r"[^\p{Z}\t\n\f\r]+"
+BERT = r"[!-/:-@\[-`{-~\p{P}]|[^\p{Z}\t\n\f\r!-/:-@\[-`{-~\p{P}]+"
+PUNCTUATION_RUNS = r"[!-/:-@\[-`{-~\p{P}]+|[^!-/:-@\[-`{-~\p{P}]+"
+DIGIT_RUNS, DIGITS_APART = r"\p{Nd}+|[^\p{Nd}]+", r"\p{Nd}|[^\p{Nd}]+"
+CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{2F800}-\x{2FA1F}"
+
 _BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}\x{{E000}}]+|[{SPACE}]+"
 
 
@@ -124,6 +132,13 @@ _WP_DOCS = _doc_tokens(_all(BERT, "lower(text)"), _wordpiece)
 _META = f"CASE WHEN starts_with(replace(lower(text), ' ', '{UNDERLINE}'), '{UNDERLINE}') THEN '' ELSE '{UNDERLINE}' END || replace(lower(text), ' ', '{UNDERLINE}')"
 _UNI_DOCS = _doc_tokens(_all(f"{UNDERLINE}?[^{UNDERLINE}]+|{UNDERLINE}", _META), _unigram)
 
+# The basic stage: patterns written out for this side
+_MARKS = r"!-/:-@\[-`{-~\p{P}"
+_NEVER = "('[UNK]', '[SEP]', '[PAD]', '[CLS]', '[MASK]')"
+_BLANK_WORDS = _all(r"[^\t\p{Zs}]+", f"strip_accents(regexp_replace(text, '([{CJK}]\\p{{M}}*)', ' \\1 ', 'g'))")
+_BASIC = f"flatten(list_transform({_BLANK_WORDS}, lambda w: CASE WHEN w IN {_NEVER} THEN [w] ELSE {_all(f'[{_MARKS}]|[^{_MARKS}]+', 'lower(w)')} END))"
+_BASIC_DOCS = _doc_tokens(_BASIC, _wordpiece)
+
 _PAIRS = f"""(SELECT conv_id, turn, {_all(WORDS)} AS a, {_all(WORDS, 'next_text')} AS b FROM (
   SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user' AND next_role = 'assistant')"""
@@ -210,6 +225,9 @@ SQL = {
     "bpe_hexa_encode": _rows("word", f"({_WORD_LIST})", "list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda h: '<0x' || h || '>')", "token"),
     "bpe_encode": f"WITH RECURSIVE {_BPE_DOCS}, {_vocab(vocabularies.bpe())}\nSELECT documents.doc_id, {_ENCODED} FROM documents LEFT JOIN t ON t.doc_id = documents.doc_id LEFT JOIN voc USING (token) GROUP BY documents.doc_id",
     "wp_encode": f"WITH RECURSIVE {_WP_DOCS}, {_vocab(vocabularies.wordpiece())}\nSELECT documents.doc_id, count(id) + 2 AS n_tokens, concat_ws(' ', '2', string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos, i), '3') AS ids FROM documents LEFT JOIN t ON t.doc_id = documents.doc_id LEFT JOIN voc USING (token) GROUP BY documents.doc_id",
+    "wp_basic": _rows("doc_id", "documents", _BASIC, "token"),
+    "wp_tokenize": f"WITH RECURSIVE {_BASIC_DOCS}\nSELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) - 1 AS pos, token FROM t",
+    "wp_ids": f"WITH RECURSIVE {_BASIC_DOCS}, {_vocab(vocabularies.wordpiece())}\nSELECT doc_id, n_tokens, n_tokens > 512 AS too_long, CASE WHEN n_tokens <= 512 THEN ids END AS ids FROM (SELECT documents.doc_id, {_ENCODED} FROM documents LEFT JOIN t ON t.doc_id = documents.doc_id LEFT JOIN voc USING (token) GROUP BY documents.doc_id)",
     "uni_encode": f"""WITH RECURSIVE {_UNI_DOCS},
 x AS (SELECT doc_id, pos, i, coalesce({_id_map(vocabularies.unigram())}[token], 0) AS id FROM t),
 y AS (SELECT *, lag(id) OVER (PARTITION BY doc_id ORDER BY pos, i) AS last FROM x)

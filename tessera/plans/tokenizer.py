@@ -25,6 +25,7 @@ from tessera.functions.post import on_ids as post_on_ids
 from tessera.functions.post import postprocessor
 from tessera.operators import subword
 from tessera.plans import chat
+from tessera.sources.files import read_model_folder
 
 
 class TokenizerError(ValueError):
@@ -62,7 +63,8 @@ def make_model(data: Config, config: Config, kind: str) -> subword.Model:
         return subword.Unigram([(x[0].string(), x[1].floating()) for x in vocab.array()], model.unkId.integer())
     table = {k: v.integer() for k, v in vocab.dictionary().items()}
     if kind == "WordPiece":
-        return subword.WordPiece(table, unk or "[UNK]", added=added)
+        basic = subword.Basic(config.doLowerCase.boolean(True), config.handleChineseChars.boolean(True))
+        return subword.WordPiece(table, unk or "[UNK]", added=added, basic=basic)
     merges = [tuple(x.string() for x in m.array()) if m.array() else m.string() for m in model.merges.array()]
     return subword.Bpe(table, merges, unk, (config.fuseUnk if not config.fuseUnk.is_null else model.fuseUnk).boolean(False), added)
 
@@ -121,6 +123,14 @@ class Tokenizer:
         specials = {a["content"].string(): a["id"].integer() for a in data.addedTokens.array() if a["special"].boolean(False)}
         return Tokenizer(data, config, model, llama and not config.legacy.boolean(True), sorted(tokens, key=lambda x: -len(x[0])), specials)
 
+    @staticmethod
+    def from_folder(folder: str, strict: bool = True, legacy_folder_dispatch: bool = False) -> Tokenizer:
+        """The tokenizer of a model folder: tokenizer.json, with tokenizer_config.json, config.json and a chat template if there are any."""
+        found = read_model_folder(folder)
+        if found["tokenizer_config"].is_null:
+            raise TokenizerError("missing_config", str(folder))
+        return Tokenizer.compile(found["tokenizer_data"], found["tokenizer_config"], strict, legacy_folder_dispatch=legacy_folder_dispatch)
+
     def sections(self, text: Column) -> Column:
         """The text split at added tokens, longest first; lstrip and rstrip take the white space beside them along. Without added tokens, one section."""
         if not self.added:
@@ -145,6 +155,9 @@ class Tokenizer:
         """Pieces of all sections, with marks where a section begins and before added tokens, and what is done to a piece first."""
         steps, (split, mapped) = normalizer(self.data.normalizer), pretokenizer.late(self.data.preTokenizer)
         piece = mapped or subword._same
+        if isinstance(self.model, subword.WordPiece) and self.model.basic and self.data.preTokenizer.is_null:
+            # the basic stage splits at these anyway, and words repeat where whole texts do not
+            split = lambda x, first: pretokenizer.blanks(x)
         if not self.added:
             for s in steps:
                 text = s.column(text)
@@ -171,6 +184,10 @@ class Tokenizer:
         tokens = postprocessor(self.data.postProcessor)(self.tokenize(text), None if pair is None else self.tokenize(pair), add_special_tokens)
         return subword.ids(self.model)(tokens)
 
+    def ids_within(self, text: Column, longest: int = 512) -> Column:
+        """Ids without special tokens; a text with more than `longest` is an error, whose message begins with too_long."""
+        return subword.within(self.encode(text, add_special_tokens=False), longest)
+
     def count(self, text: Column) -> Column:
         """The number of tokens of a text, without special ones."""
         if self.llama:

@@ -174,6 +174,31 @@ def wp_untokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", subword.wordpiece_text(tokens).alias("text"))
 
 
+# BERT's basic stage before WordPiece, for configurations without a pre-tokenizer
+
+
+@query
+def wp_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(_read(spark, sf_dir, "documents"), "doc_id", subword.tokenize(subword.Basic())(pretokenize.blanks(F.col("text"))), "token")
+
+
+def bert_tokenizer() -> Tokenizer:
+    return Tokenizer.compile({"model": {"vocab": vocabularies.wordpiece().vocab}}, {"tokenizer_class": "BertTokenizer", "unk_token": "[UNK]"})
+
+
+@query
+def wp_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(_read(spark, sf_dir, "documents"), "doc_id", bert_tokenizer().tokenize(F.col("text")), "token")
+
+
+@query
+def wp_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of texts that keep to 512 tokens, and a flag at those that do not."""
+    rows = _read(spark, sf_dir, "documents").select("doc_id", bert_tokenizer().encode(F.col("text")).alias("all"))
+    ids = F.when(~subword.too_long(F.col("all")), F.array_join(F.transform("all", lambda x: x.cast("string")), " "))
+    return rows.select("doc_id", F.size("all").cast("long").alias("n_tokens"), subword.too_long(F.col("all")).alias("too_long"), ids.alias("ids"))
+
+
 # Pipeline operators
 
 

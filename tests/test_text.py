@@ -231,3 +231,50 @@ def test_round_trip(spark, texts):
     tokenizer = bpe_tokenizer()
     df = spark.createDataFrame([(x,) for x in texts], "a string").select("a", tokenizer.decode(tokenizer.encode(F.col("a"))).alias("b"))
     assert all(r.a == r.b for r in df.collect())
+
+
+@pytest.mark.parametrize(
+    "lower, cjk, text, expected",
+    [
+        (True, True, "Héllo, wörld!\t[MASK] x[SEP]", ["hello", ",", "world", "!", "[MASK]", "x", "[", "sep", "]"]),
+        (False, True, "Héllo [UNK]A中文b", ["Héllo", "[", "UNK", "]", "A", "中", "文", "b"]),
+        (True, False, "a中文b\nc", ["a中文b\nc"]),
+        (True, True, "ガ\u3000\u00a0 x", ["カ", "x"]),
+        (True, True, " \t", []),
+        (True, True, "", []),
+    ],
+)
+def test_basic(spark, lower, cjk, text, expected):
+    model = subword.Basic(lower, cjk)
+    assert model.tokens(text) == expected
+    assert one(spark, subword.tokenize(model)(pretokenize.blanks(F.col("a"))), text) == expected
+
+
+def bert(vocab, **config):
+    data = {"model": {"vocab": {x: i for i, x in enumerate(vocab)}}, "added_tokens": [{"id": 0, "content": "[UNK]", "special": True}]}
+    return Tokenizer.compile(data, {"tokenizer_class": "BertTokenizer", **config})
+
+
+def test_bert_without_pretokenizer(spark):
+    vocab = ["[UNK]", "hello", "wor", "##ld", "中", "Hello", ","]
+    assert one(spark, bert(vocab).tokenize(F.col("a")), "Hello WORLD,中 q [UNK] hello") == ["hello", "wor", "##ld", ",", "中", "[UNK]", "[UNK]", "hello"]
+    assert one(spark, bert(vocab, do_lower_case=False).tokenize(F.col("a")), "Hello hello") == ["Hello", "hello"]
+    assert one(spark, bert(vocab, handle_chinese_chars=False).tokenize(F.col("a")), "x中") == ["[UNK]"]
+    assert one(spark, bert(vocab).tokenize(F.col("a")), None) is None
+
+
+def test_longest_sequence(spark):
+    tokenizer = bert(["[UNK]", "a"])
+    assert one(spark, tokenizer.ids_within(F.col("a")), "a " * 512) == [1] * 512
+    with pytest.raises(Exception, match="too_long: 513 ids"):
+        one(spark, tokenizer.ids_within(F.col("a")), "a " * 513)
+    assert one(spark, subword.too_long(tokenizer.encode(F.col("a")), 2), "a a a") is True
+
+
+def test_tokenizer_of_a_folder(spark, tmp_path):
+    (tmp_path / "tokenizer.json").write_text('{"model": {"vocab": {"[UNK]": 0, "a": 1}}}')
+    with pytest.raises(TokenizerError, match="missing_config"):
+        Tokenizer.from_folder(tmp_path)
+    (tmp_path / "config.json").write_text('{"model_type": "bert"}')
+    (tmp_path / "tokenizer_config.json").write_text('{"unk_token": "[UNK]"}')
+    assert one(spark, Tokenizer.from_folder(tmp_path).encode(F.col("a")), "A b") == [1, 0]

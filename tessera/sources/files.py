@@ -7,10 +7,13 @@ from __future__ import annotations
 import fnmatch
 import json
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.config import Config, loads, merge
 
@@ -149,10 +152,12 @@ def is_sha256(c: Column) -> Column:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(name, commit, etag, seconds) of .metadata files of three lines; those that cannot be read are left out."""
+    """(name, commit, etag, seconds) of .metadata files of three lines, names below the folder; those that cannot be read are left out."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.metadata")
     line = lambda i: F.get(F.split("value", "\n"), F.lit(i))
-    rows = files.select(F.regexp_replace("_metadata.file_name", r"\.metadata$", "").alias("name"), line(0).alias("commit"), line(1).alias("etag"), line(2).try_cast("double").alias("seconds"))
+    whole = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    name = F.substring_index(whole, path.rstrip("/").removeprefix("file://") + "/", -1)
+    rows = files.select(F.regexp_replace(name, r"\.metadata$", "").alias("name"), line(0).alias("commit"), line(1).alias("etag"), line(2).try_cast("double").alias("seconds"))
     return rows.where("commit IS NOT NULL AND etag IS NOT NULL AND seconds IS NOT NULL")
 
 
@@ -176,6 +181,59 @@ def hash_file(path: str | Path, chunk: int = 1 << 20) -> str:
     return h.hexdigest()
 
 
+def _opened(uri: str):
+    """A stream of a file by URI or local path."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+    return system.open_input_stream(path, compression=None)
+
+
+@F.pandas_udf(T.StringType())
+def hash_of(path: pd.Series) -> pd.Series:
+    """SHA-256 of the files at paths or URIs, of any size, a megabyte at a time."""
+    import hashlib
+
+    def one(uri: str) -> str:
+        h = hashlib.sha256()
+        with _opened(uri) as f:
+            while data := f.read(1 << 20):
+                h.update(data)
+        return h.hexdigest()
+
+    return path.map(one, na_action="ignore")
+
+
+def materialize(decided: DataFrame, source: str, target: str) -> DataFrame:
+    """Copies the files that `snapshot` decided to download from a mirror's folder to another, both shared, and writes their metadata below
+    .metadata there. (name, decision, bytes) of all files, as they are done; a file appears whole or not at all, so a task may run twice."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+        import shutil
+        import time
+        import uuid
+
+        for f in frames:
+            for r in f.itertuples():
+                to = Path(target) / r.name
+                if Path(target).resolve() not in to.resolve().parents:
+                    raise RepoError("unexpected", f"{r.name!r} leaves the folder")
+                size = 0
+                if r.decision == "download":
+                    to.parent.mkdir(parents=True, exist_ok=True)
+                    part = to.with_name(f"{to.name}.{uuid.uuid4().hex}.part")
+                    with _opened(f"{source.rstrip('/')}/{r.name}") as a, open(part, "wb") as b:
+                        shutil.copyfileobj(a, b, 1 << 20)
+                        size = b.tell()
+                    os.replace(part, to)
+                write_metadata(Path(target) / ".metadata" / f"{r.name}.metadata", r.commit, r.etag, time.time())
+                yield pd.DataFrame({"name": [r.name], "decision": [r.decision], "bytes": [size]})
+
+    columns = decided.select(F.col("name"), F.col("commit"), F.col("etag"), F.col("decision"))
+    return columns.mapInPandas(run, "name string, decision string, bytes long")
+
+
 def download_decision(local_commit: Column, commit: Column, local_etag: Column, etag: Column, local_hash: Column) -> Column:
     """keep_commit, keep_etag, keep_hash or download."""
     return (
@@ -206,7 +264,8 @@ def validate_offline(spark: SparkSession, folder: str, metadata: str) -> None:
         raise RepoError("offline_no_repo", folder)
     base = folder.rstrip("/").removeprefix("file://") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = raw.select(F.substring_index("path", base, -1).alias("name"), file_hash(F.col("content")).alias("sha256")).where(~F.col("name").endswith(".metadata"))
+    names = raw.select("path", F.substring_index("path", base, -1).alias("name")).where(~F.col("name").endswith(".metadata"))
+    files = names.select("name", hash_of(F.col("path")).alias("sha256"))
     if files.isEmpty():
         raise RepoError("offline_no_files", folder)
     bad = offline_violations(files, read_metadata(spark, metadata)).head()

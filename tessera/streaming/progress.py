@@ -59,6 +59,17 @@ def reports(samples: DataFrame, key: str = "key") -> DataFrame:
     return rows.where(F.col("__counts") & (~quiet | stall)).select(key, "ts", part.alias("fraction"), speed.alias("speed"))
 
 
+def with_cancels(samples: DataFrame, cancels: DataFrame, key: str = "key") -> DataFrame:
+    """Samples as they stand when transfers are cancelled, by cancels (key, ts), the first for each key: later samples do not count, and a last one is
+    added at that time, complete if all bytes had come. So a finished transfer reports its end, and any other none."""
+    first = cancels.groupBy(key).agg(F.min("ts").alias("__cancel"))
+    rows = samples.join(first, key, "left").where("__cancel IS NULL OR ts <= __cancel")
+    latest = F.max_by(F.struct("completed", "total"), F.struct("ts", "completed"))
+    ends = rows.where("__cancel IS NOT NULL").groupBy(key).agg(F.first("__cancel").alias("ts"), latest.alias("__l"), F.max("complete").alias("__done"))
+    ends = ends.where((fraction(F.col("__l.completed"), F.col("__l.total")) >= 1) & ~F.col("__done"))
+    return rows.select(key, "ts", "completed", "total", "complete").unionByName(ends.select(key, "ts", "__l.completed", "__l.total", F.lit(True).alias("complete")))
+
+
 @dataclass(frozen=True)
 class Transfer:
     """The same for one key, a sample at a time. `step` gives the next state and the report, if there is one."""

@@ -305,3 +305,57 @@ def test_tokens_as_a_stream(spark, tmp_path):
 def test_pad(spark):
     row = spark.createDataFrame([([5, 6],)], "ids array<long>").select(*generate.pad(F.col("ids"), 4)).head()
     assert [list(x) for x in row] == [[5, 6, 0, 0], [1, 1, 0, 0]]
+
+
+def test_language_model(spark, tmp_path):
+    from tessera.plans.language_model import LanguageModel, Padded
+    from tessera.plans.tokenizer import TokenizerError
+
+    (tmp_path / "tokenizer.json").write_text('{"model": {"vocab": {"[UNK]": 0, "a": 1, "b": 2, "c": 3}}}')
+    (tmp_path / "config.json").write_text('{"model_type": "bert", "bos_token_id": 5, "eos_token_id": 3, "task_specific_params": {"text-generation": {"do_sample": false}}}')
+    (tmp_path / "tokenizer_config.json").write_text('{"unk_token": "[UNK]", "eos_token": "c"}')
+    seen = []
+
+    def network(ids, mask):
+        seen.append((list(ids), list(mask)))
+        return np.eye(4)[np.minimum(ids + 1, 3)]
+
+    scores = Padded(network, 4, pad_id=9)
+    assert list(scores([0, 1])) == [0, 0, 1, 0] and seen == [([0, 1, 9, 9], [1, 1, 0, 0])]
+    for bad in ([], [0] * 5):
+        with pytest.raises(ValueError):
+            scores(bad)
+    model = LanguageModel.from_folder(tmp_path, Padded(lambda ids, mask: np.eye(4)[np.minimum(ids + 1, 3)], 8), "my-GPT")
+    assert (model.model_type, model.bos_token_id, model.eos_token_id, model.default_do_sample) == ("bert", 5, 3, False)
+    assert (model.default_generation_config.do_sample, model.default_generation_config.max_new_tokens) == (True, 2048)
+    assert model.tokenizer is model.tokenizer
+    config = logits.GenerationConfig()
+    assert model.generate(spark.createDataFrame([(1, [1])], "seq_id long, ids array<long>"), logits.GenerationConfig(eos_token_id=3)).head().ids == [1, 2]
+    assert model.generate_text(spark.createDataFrame([(1, "A")], "seq_id long, text string"), config, 1).head().text == "a b"
+    with pytest.raises(TokenizerError, match="missing_config"):
+        LanguageModel("x", scores, model.model_config, files.Config(), model.tokenizer_data).tokenizer
+
+
+def test_cancelled_transfers(spark):
+    schema = "key long, ts double, completed long, total long, complete boolean"
+    samples = [(1, 0.0, 5, 10, False), (1, 1.0, 10, 10, False), (2, 0.0, 5, 10, False), (2, 3.0, 10, 10, True), (3, 0.0, 10, 10, True), (4, 0.0, 10, 10, False)]
+    cancels = spark.createDataFrame([(1, 2.0), (1, 9.0), (2, 2.0), (3, 2.0)], "key long, ts double")
+    found = progress.reports(progress.with_cancels(spark.createDataFrame(samples, schema), cancels)).collect()
+    assert sorted((r.key, r.ts, r.fraction) for r in found) == [(1, 0.0, 0.5), (1, 2.0, 1.0), (2, 0.0, 0.5), (3, 0.0, 1.0)]
+
+
+def test_materialized_snapshot(spark, tmp_path):
+    a, b = tmp_path / "a", tmp_path / "b"
+    (a / "sub").mkdir(parents=True)
+    (a / "sub" / "x.bin").write_bytes(b"12345")
+    (a / "y.bin").write_bytes(b"")
+    h = hashlib.sha256(b"12345").hexdigest()
+    remote = spark.createDataFrame([("sub/x.bin", "c" * 40, h), ("y.bin", "c" * 40, "e")], "name string, commit string, etag string")
+    local = spark.createDataFrame([("y.bin", "c" * 40, "e", None)], "name string, commit string, etag string, sha256 string")
+    done = files.materialize(files.snapshot(local, remote), str(a), str(b)).collect()
+    assert {(r.name, r.decision, r.bytes) for r in done} == {("sub/x.bin", "download", 5), ("y.bin", "keep_commit", 0)}
+    assert (b / "sub" / "x.bin").read_bytes() == b"12345" and [p.name for p in (b / "sub").iterdir()] == ["x.bin"]
+    assert {r.name for r in files.read_metadata(spark, str(b / ".metadata")).collect()} == {"sub/x.bin", "y.bin"}
+    bad = spark.createDataFrame([("../z", "c" * 40, "e", "download")], "name string, commit string, etag string, decision string")
+    with pytest.raises(Exception, match="leaves the folder"):
+        files.materialize(bad, str(a), str(b)).collect()

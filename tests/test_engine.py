@@ -311,7 +311,7 @@ def test_language_model(spark, tmp_path):
     from tessera.plans.language_model import LanguageModel, Padded
     from tessera.plans.tokenizer import TokenizerError
 
-    (tmp_path / "tokenizer.json").write_text('{"model": {"vocab": {"[UNK]": 0, "a": 1, "b": 2, "c": 3}}}')
+    (tmp_path / "tokenizer.json").write_text('{"model": {"vocab": {"[UNK]": 0, "a": 1, "b": 2, "c": 3}}, "decoder": {"type": "WordPiece", "prefix": "##"}}')
     (tmp_path / "config.json").write_text('{"model_type": "bert", "bos_token_id": 5, "eos_token_id": 3, "task_specific_params": {"text-generation": {"do_sample": false}}}')
     (tmp_path / "tokenizer_config.json").write_text('{"unk_token": "[UNK]", "eos_token": "c"}')
     seen = []

@@ -29,6 +29,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The columns that costly functions of texts need, on all cores."""
+    return files.spread(_read(spark, sf_dir, name).select(*columns))
+
+
 def _pieces(df: DataFrame, key: str, pieces, name: str = "piece") -> DataFrame:
     return df.select(key, F.posexplode(pieces).alias("pos", name)).withColumn("pos", F.col("pos").cast("long"))
 
@@ -50,7 +55,7 @@ _PRE = {
     "pre_sequence": lambda c: pretokenize.pretokenizer({"type": "Sequence", "pretokenizers": [{"type": "Whitespace"}, {"type": "Digits", "individual_digits": True}]})(c, F.lit(True)),
 }
 for _name, _f in _PRE.items():
-    QUERIES[_name] = lambda spark, d, f=_f: _pieces(_read(spark, d, "documents"), "doc_id", f(F.col("text")))
+    QUERIES[_name] = lambda spark, d, f=_f: _pieces(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", f(F.col("text")))
 
 for _name in ("removed", "isolated", "merged_with_previous", "merged_with_next"):
     QUERIES[f"split_{_name}"] = lambda spark, d, b=_name: _pieces(_read(spark, d, "pages"), "page_id", pretokenize.split_behaviour(F.col("url"), "/", b))
@@ -75,7 +80,7 @@ _NORM = {
     "norm_sequence": {"type": "Sequence", "normalizers": [{"type": "Lowercase"}, {"type": "Replace", "pattern": {"String": "."}, "content": " ."}, {"type": "Prepend", "prepend": ">"}]},
 }
 for _name, _c in _NORM.items():
-    QUERIES[_name] = lambda spark, d, c=_c: _read(spark, d, "documents").select("doc_id", normalize.normalize(F.col("text"), normalize.normalizer(c)).alias("text"))
+    QUERIES[_name] = lambda spark, d, c=_c: _texts(spark, d, "documents", "doc_id", "text").select("doc_id", normalize.normalize(F.col("text"), normalize.normalizer(c)).alias("text"))
 
 
 # Subword models on distinct words: (word, pos, token)
@@ -83,7 +88,7 @@ for _name, _c in _NORM.items():
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
     words = pretokenize.whitespace(F.lower("text"))
-    return _read(spark, d, "documents").select(F.explode(words).alias("word")).distinct()
+    return _texts(spark, d, "documents", "text").select(F.explode(words).alias("word")).distinct()
 
 
 def _model(model: subword.Model, pieces=lambda w: F.array(w)) -> Callable[[SparkSession, str], DataFrame]:
@@ -130,7 +135,7 @@ _TOKENIZERS = {"bpe": bpe_tokenizer, "wp": wordpiece_tokenizer, "uni": unigram_t
 
 
 def _encoded(spark: SparkSession, d: str, make: Callable[[], Tokenizer]) -> DataFrame:
-    return _read(spark, d, "documents").select("doc_id", "lang", make().encode(F.col("text")).alias("ids"))
+    return _texts(spark, d, "documents", "doc_id", "text").select("doc_id", make().encode(F.col("text")).alias("ids"))
 
 
 for _name, _make in _TOKENIZERS.items():
@@ -139,7 +144,7 @@ for _name, _make in _TOKENIZERS.items():
 
 @query
 def tokens_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "documents").select("lang", bpe_tokenizer().count(F.col("text")).alias("n"))
+    rows = _texts(spark, sf_dir, "documents", "lang", "text").select("lang", bpe_tokenizer().count(F.col("text")).alias("n"))
     return rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
 
 
@@ -152,7 +157,7 @@ def decode_bytelevel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "documents").select("doc_id", pretokenize.whitespace(F.col("text")).alias("ts"))
+    return _texts(spark, d, "documents", "doc_id", "text").select("doc_id", pretokenize.whitespace(F.col("text")).alias("ts"))
 
 
 _DECODE = {
@@ -171,7 +176,7 @@ for _name, _f in _DECODE.items():
 @query
 def wp_untokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = subword.tokenize(vocabularies.wordpiece())(pretokenize.bert(F.lower("text")))
-    return _read(spark, sf_dir, "documents").select("doc_id", subword.wordpiece_text(tokens).alias("text"))
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", subword.wordpiece_text(tokens).alias("text"))
 
 
 # BERT's basic stage before WordPiece, for configurations without a pre-tokenizer
@@ -179,7 +184,7 @@ def wp_untokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def wp_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(_read(spark, sf_dir, "documents"), "doc_id", subword.tokenize(subword.Basic())(pretokenize.blanks(F.col("text"))), "token")
+    return _pieces(_texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", subword.tokenize(subword.Basic())(pretokenize.blanks(F.col("text"))), "token")
 
 
 def bert_tokenizer() -> Tokenizer:
@@ -188,13 +193,13 @@ def bert_tokenizer() -> Tokenizer:
 
 @query
 def wp_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(_read(spark, sf_dir, "documents"), "doc_id", bert_tokenizer().tokenize(F.col("text")), "token")
+    return _pieces(_texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", bert_tokenizer().tokenize(F.col("text")), "token")
 
 
 @query
 def wp_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of texts that keep to 512 tokens, and a flag at those that do not."""
-    rows = _read(spark, sf_dir, "documents").select("doc_id", bert_tokenizer().encode(F.col("text")).alias("all"))
+    rows = _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", bert_tokenizer().encode(F.col("text")).alias("all"))
     ids = F.when(~subword.too_long(F.col("all")), F.array_join(F.transform("all", lambda x: x.cast("string")), " "))
     return rows.select("doc_id", F.size("all").cast("long").alias("n_tokens"), subword.too_long(F.col("all")).alias("too_long"), ids.alias("ids"))
 
@@ -205,14 +210,14 @@ def wp_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tok_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spaced = F.array_join(pretokenize.bert(F.col("text")), " ")
-    return _read(spark, sf_dir, "documents").select("doc_id", decode.clean_up(spaced).alias("text"))
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", decode.clean_up(spaced).alias("text"))
 
 
 @query
 def tok_added_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = {"added_tokens": [{"id": 900, "content": "the", "lstrip": True}, {"id": 901, "content": "and", "rstrip": True}, {"id": 902, "content": "."}]}
     tokenizer = Tokenizer.compile(data, {}, model=vocabularies.bpe())
-    return _pieces(_read(spark, sf_dir, "documents"), "doc_id", tokenizer.sections(F.col("text")))
+    return _pieces(_texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", tokenizer.sections(F.col("text")))
 
 
 def _wordpiece_tokens():
@@ -221,7 +226,7 @@ def _wordpiece_tokens():
 
 @query
 def tok_fuse_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "documents").select("doc_id", _wordpiece_tokens().alias("ts")).select("doc_id", subword.fuse_unknown(F.col("ts"), "[UNK]").alias("ts"))
+    rows = _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", _wordpiece_tokens().alias("ts")).select("doc_id", subword.fuse_unknown(F.col("ts"), "[UNK]").alias("ts"))
     rows = rows.groupBy("doc_id").agg(F.sum(F.size("ts")).alias("n_tokens"), F.sum(F.size(F.filter("ts", lambda x: x == "[UNK]"))).alias("n_unk"))
     return rows.where("n_tokens > 0")
 
@@ -237,7 +242,7 @@ def tok_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tok_unk_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces, model = pretokenize.bert(F.lower("text")), vocabularies.wordpiece()
     n, unk = subword.count_tokens(model)(pieces), subword.count_tokens(model, only="[UNK]")(pieces)
-    rows = _read(spark, sf_dir, "documents").select("lang", n.alias("n"), unk.alias("u"))
+    rows = _texts(spark, sf_dir, "documents", "lang", "text").select("lang", n.alias("n"), unk.alias("u"))
     return rows.groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.sum("u").alias("n_unk")).where("n_tokens > 0")
 
 
@@ -288,7 +293,7 @@ def chat_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _logits(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.posexplode("embedding").alias("token_id", "score"))
+    rows = _texts(spark, d, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("row_id"), F.posexplode("embedding").alias("token_id", "score"))
     return rows.select("row_id", F.col("token_id").cast("long").alias("token_id"), (F.col("score").cast("double") * 10).alias("score"))
 
 

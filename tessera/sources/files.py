@@ -95,7 +95,14 @@ def read_model_folders(spark: SparkSession, folders: str) -> DataFrame:
     return files.withColumn("name", name).where(name.rlike(r"\.(json|jinja)$")).select("path", "name", "content")
 
 
-# Listing
+# Reading and listing
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of few files, dealt to all cores before costly work on its rows: no more than one task reads a file's row group. A table with a file
+    for each core stays as it is, so a large one is not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def glob_pattern(glob: str) -> str:

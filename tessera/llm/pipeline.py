@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, jaccard, passages, quality, shared
+from tessera.sources import files
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -74,6 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         place = shared.folder(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(place)
+        stage(spark, files.spread(docs), sf_dir).write.parquet(place)
         docs = spark.read.parquet(place)
     return docs

@@ -6,42 +6,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, decontaminate, host_reputation, jaccard, neighbours, passages, quality, token_files, wrappers
 from tessera.llm import pipeline as stages
+from tessera.sources import files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, on all cores even if it is one file."""
+    return files.spread(_table(spark, sf_dir, name))
+
+
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
 
 def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wrappers.extract(_table(spark, sf_dir, "pages"))
+    return wrappers.extract(_texts(spark, sf_dir, "pages"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.suffix_dedup(_table(spark, sf_dir, "documents"))
+    return passages.suffix_dedup(_texts(spark, sf_dir))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(_table(spark, sf_dir, "documents"))
+    return jaccard.join(_texts(spark, sf_dir))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.classify(_texts(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.substring_dedup(_table(spark, sf_dir, "documents"))
+    return passages.substring_dedup(_texts(spark, sf_dir))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.written(_table(spark, sf_dir, "documents"))
+    return token_files.written(_texts(spark, sf_dir))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +55,7 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(_table(spark, sf_dir, "documents"))
+    return bpe.round_trip(_texts(spark, sf_dir))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,8 +111,7 @@ def split_string(c: Column, separator: str, keep: bool) -> Column:
     """Non-empty pieces between separators, with the separators as pieces if kept."""
     e = t.escape(separator)
     if keep:
-        marked = F.regexp_replace(c, f"({e})", f"{t.MARK}$1{t.MARK}")
-        return F.filter(F.split(marked, t.MARK, -1), lambda x: x != "")
+        return t.between(c, e)
     return F.filter(F.split(c, e, -1), lambda x: x != "")
 
 
@@ -120,10 +119,9 @@ def split_regex(c: Column, pattern: str) -> Column:
     """Non-empty pieces and the separators between them, which always stay. Patterns that match nothing are rejected."""
     import regex
 
-    if regex.compile(pattern.replace("\\x{", "\\x{")).match("") is not None:
+    if regex.compile(pattern).match("") is not None:
         raise ValueError("the pattern matches the empty string")
-    marked = F.regexp_replace(c, f"({pattern})", f"{t.MARK}$1{t.MARK}")
-    return F.filter(F.split(marked, t.MARK, -1), lambda x: x != "")
+    return t.between(c, pattern)
 
 
 def split_behaviour(c: Column, separator: str, behaviour: str) -> Column:

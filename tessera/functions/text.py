@@ -23,8 +23,6 @@ DIGIT_RUNS, DIGITS_APART = r"[^\p{Nd}]+|\p{Nd}+", r"[^\p{Nd}]+|\p{Nd}"
 BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
 UNDERLINE = "▁"
-#: A private-use character that marks places to split at; texts must not hold it, nor the two after it.
-MARK = "\ue000"
 
 
 def python_class(ranges: str) -> str:
@@ -103,6 +101,14 @@ def find_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def between(text: Column, pattern: str, kept: Callable[[Column], Column] = lambda x: x) -> Column:
+    """The non-empty pieces between a pattern's matches, and what is kept of these, in order. A pattern of which the same match can be empty in one
+    place (by look-around) and not in another is not for this."""
+    gaps, matches = F.split(text, pattern, -1), find_all(text, pattern)
+    both = F.zip_with(gaps, matches, lambda gap, match: F.array(gap, kept(match)))
+    return F.filter(F.flatten(both), lambda x: x != "")
+
+
 def escape(literal: str) -> str:
     """A pattern for exactly this string, for Java and RE2."""
     return "".join(c if c.isalnum() or ord(c) > 127 else f"\\x{ord(c):02x}" for c in literal)

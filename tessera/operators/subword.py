@@ -34,8 +34,8 @@ BLANKS = regex.compile(rf"[{BLANK}]+")
 #: A punctuation mark with the marks on it, or what lies between.
 PARTS = regex.compile(rf"[{PUNCTUATION}]\p{{M}}*|[^{PUNCTUATION}]+")
 
-#: Before an added token, and where a section begins.
-RAW, CUT = "\ue001", "\ue002"
+#: Before an added token, where a section begins, and before a piece that begins with one of these itself.
+RAW, CUT, ESCAPE = "\ue001", "\ue002", "\ue003"
 
 
 class Model:
@@ -261,16 +261,28 @@ def _flat(rows: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return rows.flatten(), pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def escaped(text: Column, pieces: Column) -> Column:
+    """The pieces of a text, where those that begin like a mark get one more."""
+    marks = f"[{RAW}-{ESCAPE}]"
+    one = lambda x: F.when(x.rlike("^" + marks), F.concat(F.lit(ESCAPE), x)).otherwise(x)
+    return F.when(text.rlike(marks), F.transform(pieces, one)).otherwise(pieces)
+
+
 class _Batch:
     """Tokens of a batch's pieces: positions in the tokens of its distinct pieces, and how many each row has."""
 
-    def __init__(self, rows: pa.Array, model: Model, known: Callable[[str], tuple[str, ...]], piece: Callable[[str], str], fuse: bool):
+    def __init__(self, rows: pa.Array, model: Model, known: Callable[[str], tuple[str, ...]], piece: Callable[[str], str], fuse: bool, marked: bool):
         flat, sizes = _flat(rows)
         coded = flat.dictionary_encode()
         found = []
         for x in coded.dictionary.to_pylist():
             # a section's begin, and an added token, end a run of unknowns: None stands for that
-            found.append((None,) if x == CUT else (None, x[1:], None) if x.startswith(RAW) else known(piece(x)))
+            if marked and x == CUT:
+                found.append((None,))
+            elif marked and x.startswith(RAW):
+                found.append((None, x[1:], None))
+            else:
+                found.append(known(piece(x.removeprefix(ESCAPE) if marked else x)))
         self.tokens = [t for ts in found for t in ts]
         n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         place = coded.indices.to_numpy(zero_copy_only=False)
@@ -289,26 +301,26 @@ def _same(x: str) -> str:
     return x
 
 
-def tokenize(model: Model, piece: Callable[[str], str] = _same, fuse: bool = False) -> Callable[[Column], Column]:
-    """Array of pieces to array of tokens; `piece` changes a piece first. Marks of sections and added tokens are minded; with `fuse` only the
-    first of unknowns in a row within a section stays."""
+def tokenize(model: Model, piece: Callable[[str], str] = _same, fuse: bool = False, marked: bool = False) -> Callable[[Column], Column]:
+    """Array of pieces to array of tokens; `piece` changes a piece first. If pieces are marked, sections and added tokens are minded; with `fuse`
+    only the first of unknowns in a row within a section stays."""
     known = _Lazy(model)
 
     @F.arrow_udf(TOKENS)
     def run(rows: pa.Array) -> pa.Array:
-        b = _Batch(rows, model, known.get(), piece, fuse)
+        b = _Batch(rows, model, known.get(), piece, fuse, marked)
         return _lists(rows, pa.array(b.tokens, pa.string()).take(pa.array(b.at)), b.sizes)
 
     return run
 
 
-def encode(model: Model, piece: Callable[[str], str] = _same) -> Callable[[Column], Column]:
+def encode(model: Model, piece: Callable[[str], str] = _same, marked: bool = False) -> Callable[[Column], Column]:
     """Array of pieces to array of ids, as `ids` of `tokenize` gives them, with unknowns fused where the model says so."""
     known = _Lazy(model)
 
     @F.arrow_udf(IDS)
     def run(rows: pa.Array) -> pa.Array:
-        b = _Batch(rows, model, known.get(), piece, model.fuse)
+        b = _Batch(rows, model, known.get(), piece, model.fuse, marked)
         of = [model.vocab.get(t, model.unk_id) if t is not None else -1 for t in b.tokens]
         if None in of:
             raise ValueError(f"no id for the token {b.tokens[of.index(None)]!r}, and no unknown token")
@@ -317,13 +329,13 @@ def encode(model: Model, piece: Callable[[str], str] = _same) -> Callable[[Colum
     return run
 
 
-def count_tokens(model: Model, piece: Callable[[str], str] = _same, only: str | None = None) -> Callable[[Column], Column]:
+def count_tokens(model: Model, piece: Callable[[str], str] = _same, only: str | None = None, marked: bool = False) -> Callable[[Column], Column]:
     """The number of tokens of an array of pieces, or of those that are the one given."""
     known = _Lazy(model)
 
     @F.arrow_udf(T.LongType())
     def run(rows: pa.Array) -> pa.Array:
-        b = _Batch(rows, model, known.get(), piece, model.fuse)
+        b = _Batch(rows, model, known.get(), piece, model.fuse, marked)
         if only is None:
             return pa.array(b.sizes, pa.int64(), mask=rows.is_null().to_numpy(zero_copy_only=False))
         hit = np.array([t == only for t in b.tokens], dtype=bool)[b.at]

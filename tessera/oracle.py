@@ -288,4 +288,27 @@ array_to_string(list_transform(range(1, greatest(512, n) + 1), lambda i: CASE WH
 FROM (SELECT doc_id, doc_id % 5 AS k, sha256(text) AS h, substr(sha256(text), 1, 40) AS c FROM documents)""",
     "progress_emit": """WITH x AS (SELECT user_id, event_id, ts, CAST(floor(sum(floor(greatest(coalesce(value, 0), 0))) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 50) AS BIGINT) AS completed FROM events),
 y AS (SELECT *, completed - coalesce(lag(completed) OVER (PARTITION BY user_id ORDER BY ts, completed), 0) AS delta FROM x) SELECT user_id, event_id, completed, delta FROM y WHERE delta <> 0""",
+    "uni_lookup": f"WITH w AS ({_WORD_LIST}), {_vocab(vocabularies.unigram())}\nSELECT word AS token, coalesce(id, 0) AS id FROM w LEFT JOIN voc ON token = word",
+    # a state machine, a sample at a time, where the query has windows
+    "progress_reports": """WITH RECURSIVE c AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS ts, CAST(floor(sum(floor(greatest(coalesce(value, 0), 0))) OVER w / 50) AS BIGINT) AS completed,
+  lead(event_id) OVER w IS NULL AS complete FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT user_id, ts, completed, complete, CASE WHEN total > 0 THEN least(greatest(completed / total, 0), 1) ELSE 0 END AS share, row_number() OVER (PARTITION BY user_id ORDER BY ts, completed, complete) AS n
+  FROM (SELECT *, max(completed) OVER (PARTITION BY user_id) AS total FROM c)),
+g(user_id, n, ts, high, since, beat, last, share, speed, report) AS (
+  SELECT user_id, 0::BIGINT, 0::DOUBLE, 0::BIGINT, min(ts), 0::BIGINT, 0::DOUBLE, 0::DOUBLE, NULL::DOUBLE, false FROM r GROUP BY user_id
+  UNION ALL
+  SELECT user_id, n, ts, CASE kind WHEN 'growth' THEN completed ELSE high END, CASE kind WHEN 'growth' THEN ts ELSE since END,
+    CASE kind WHEN 'growth' THEN 0 WHEN 'quiet' THEN greatest(beat, now) ELSE beat END, CASE kind WHEN 'held' THEN last ELSE share END, share,
+    CASE WHEN kind = 'growth' THEN CASE WHEN ts > since THEN (completed - high) / (ts - since) ELSE 0 END END,
+    kind IN ('growth', 'news') OR (kind = 'quiet' AND high > 0 AND now > beat)
+  FROM (SELECT g.user_id, r.n, r.ts, r.completed, r.share, g.high, g.since, g.beat, g.last, CAST(floor(r.ts - g.since) AS BIGINT) AS now,
+    CASE WHEN r.share >= 1 AND NOT r.complete THEN 'held' WHEN r.completed > g.high THEN 'growth' WHEN NOT r.complete AND r.completed = g.high AND abs(r.share - g.last) < 0.001 THEN 'quiet' ELSE 'news' END AS kind
+    FROM g JOIN r ON r.user_id = g.user_id AND r.n = g.n + 1))
+SELECT user_id, ts, round(share, 6) AS fraction, round(speed, 6) AS speed FROM g WHERE report""",
+    "str_binary": "SELECT page_id, replace(url, 'e', chr(233)) = replace(url, 'e', 'e' || chr(769)) AS equal, replace(url, 'e', chr(233)) < replace(url, 'e', 'e' || chr(769)) AS less, starts_with('e' || chr(769) || url, 'e') AS starts, ends_with(url || 'e' || chr(769), chr(233)) AS ends, chr(233) || lower(url) AS lowered, array_to_string(list_transform(range(3, 7), lambda i: substr(replace(url, 't', 'e' || chr(769)), i, 1)), '') AS sliced FROM pages",
+    "file_local_path": "SELECT doc_id, '/models/' || CASE doc_id % 3 WHEN 0 THEN 'models' WHEN 1 THEN 'datasets' ELSE 'spaces' END || '/' || concat_ws('/', source, lang) AS path FROM documents",
+    "file_resolve_url": "SELECT doc_id, 'https://example.com/' || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'datasets/' ELSE 'spaces/' END || concat_ws('/', source, lang) || '/resolve/refs%2Fpr%2F' || doc_id || '/config.json' AS url FROM documents",
+    "file_clean_etag": "SELECT doc_id, sha256(text) AS etag FROM documents",
+    "split_ranges": """SELECT page_id, b AS start, b + length(regexp_extract(substr(url, b + 1), '^/+')) AS "end"
+FROM (SELECT page_id, url, unnest(list_filter(range(0, length(url)), lambda i: substr(url, i + 1, 1) = '/' AND (i = 0 OR substr(url, i, 1) <> '/'))) AS b FROM pages)""",
 }

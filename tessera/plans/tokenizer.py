@@ -138,8 +138,7 @@ class Tokenizer:
         one = lambda c, left, right: ("\\s*" if left else "") + f"({re.escape(c)})" + ("\\s*" if right else "")
         java = "|".join(one(*a) for a in self.added)
         group = "".join(f"${i + 1}" for i in range(len(self.added)))
-        marked = F.regexp_replace(text, java, f"{t.MARK}{group}{t.MARK}")
-        return F.filter(F.split(marked, t.MARK, -1), lambda x: x != "")
+        return t.between(text, java, lambda x: F.regexp_replace(x, java, group))
 
     def tokenize(self, text: Column) -> Column:
         if self.llama:
@@ -168,18 +167,18 @@ class Tokenizer:
             normal = s.array(normal)
         is_added = lambda x: x.isin(*(a[0] for a in self.added))
         # a section's pieces, or the added token itself behind a mark that the model passes on
-        one = lambda raw, n: F.when(is_added(raw), F.array(F.concat(F.lit(subword.RAW), raw))).otherwise(F.concat(F.array(F.lit(subword.CUT)), split(n["x"], n["i"] == 0)))
+        one = lambda raw, n: F.when(is_added(raw), F.array(F.concat(F.lit(subword.RAW), raw))).otherwise(F.concat(F.array(F.lit(subword.CUT)), subword.escaped(n["x"], split(n["x"], n["i"] == 0))))
         return F.flatten(F.zip_with(sections, F.transform(normal, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), one)), piece
 
     def _tokenize(self, text: Column) -> Column:
         pieces, piece = self._pieces(text)
-        return subword.tokenize(self.model, piece, self.model.fuse)(pieces)
+        return subword.tokenize(self.model, piece, self.model.fuse, bool(self.added))(pieces)
 
     def encode(self, text: Column, pair: Column | None = None, add_special_tokens: bool = True) -> Column:
         """Ids: from pieces in one step, unless tokens must be seen before (roberta's trimming, llama's first token)."""
         post = None if self.llama else post_on_ids(self.data.postProcessor, self.model.id)
         if post is not None:
-            one = lambda c: (lambda pieces, piece: subword.encode(self.model, piece)(pieces))(*self._pieces(c))
+            one = lambda c: (lambda pieces, piece: subword.encode(self.model, piece, bool(self.added))(pieces))(*self._pieces(c))
             return post(one(text), None if pair is None else one(pair), add_special_tokens)
         tokens = postprocessor(self.data.postProcessor)(self.tokenize(text), None if pair is None else self.tokenize(pair), add_special_tokens)
         return subword.ids(self.model)(tokens)
@@ -193,7 +192,7 @@ class Tokenizer:
         if self.llama:
             return F.size(self.tokenize(text)).cast("long")
         pieces, piece = self._pieces(text)
-        return subword.count_tokens(self.model, piece)(pieces)
+        return subword.count_tokens(self.model, piece, marked=bool(self.added))(pieces)
 
     def decode(self, ids: Column, skip_special_tokens: bool = False) -> Column:
         skip = frozenset(self.specials.values()) if skip_special_tokens else frozenset()

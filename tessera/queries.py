@@ -238,6 +238,13 @@ def tok_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("token", "id")
 
 
+@query
+def uni_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabularies.unigram()
+    rows = subword.lookup(_words(spark, sf_dir).withColumnRenamed("word", "token"), subword.vocab_table(model, spark), model.unk_id)
+    return rows.select("token", "id")
+
+
 @query
 def tok_unk_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces, model = pretokenize.bert(F.lower("text")), vocabularies.wordpiece()
@@ -412,3 +419,63 @@ def progress_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     found = progress.changes(rows, "user_id", "at", "completed")
     return found.select("user_id", "event_id", "completed", F.col("delta").cast("long").alias("delta"))
+
+
+@query
+def progress_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as samples of a transfer that is complete at the last of them."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    some = F.floor(F.sum(F.floor(F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0)))).over(w) / 50).cast("long")
+    rows = _read(spark, sf_dir, "events").where("user_id IS NOT NULL AND ts IS NOT NULL").withColumns({"completed": some, "complete": F.lead("event_id").over(w).isNull()})
+    total = F.max("completed").over(Window.partitionBy("user_id"))
+    samples = rows.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "completed", total.alias("total"), "complete")
+    return progress.reports(samples, "user_id").select("user_id", "ts", F.round("fraction", 6).alias("fraction"), F.round("speed", 6).alias("speed"))
+
+
+# Strings by code points, and addresses of files
+
+
+@query
+def str_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons that tell a composed letter from the same letter and its accent apart, and slices by code points."""
+    url, e, parts = F.col("url"), F.lit("\u00e9"), F.lit("e\u0301")
+    return _read(spark, sf_dir, "pages").select(
+        "page_id",
+        (F.replace(url, F.lit("e"), e) == F.replace(url, F.lit("e"), parts)).alias("equal"),
+        (F.replace(url, F.lit("e"), e) < F.replace(url, F.lit("e"), parts)).alias("less"),
+        F.startswith(F.concat(parts, url), F.lit("e")).alias("starts"),
+        F.endswith(F.concat(url, parts), e).alias("ends"),
+        F.lower(F.concat(F.lit("\u00c9"), url)).alias("lowered"),
+        F.substring(F.replace(url, F.lit("t"), parts), 3, 4).alias("sliced"),
+    )
+
+
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(F.lit("models"), F.lit("datasets"), F.lit("spaces")), (F.col("doc_id") % 3 + 1).cast("int"))
+    repo, revision = F.concat_ws("/", "source", "lang"), F.concat(F.lit("refs/pr/"), F.col("doc_id").cast("string"))
+    return _read(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), repo.alias("repo"), revision.alias("revision"))
+
+
+@query
+def file_local_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _addresses(spark, sf_dir).select("doc_id", files.local_path("/models", F.col("kind"), F.col("repo")).alias("path"))
+
+
+@query
+def file_resolve_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = files.resolve_url("https://example.com", F.col("kind"), F.col("repo"), F.col("revision"), F.lit("config.json"))
+    return _addresses(spark, sf_dir).select("doc_id", url.alias("url"))
+
+
+@query
+def file_clean_etag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.sha2("text", 256)
+    tag = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('W/"'), h, F.lit('"'))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('"'), h, F.lit('"'))).otherwise(h)
+    return _read(spark, sf_dir, "documents").select("doc_id", files.clean_etag(tag).alias("etag"))
+
+
+@query
+def split_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the slashes of each url are."""
+    found = F.explode(pretokenize.ranges(F.col("url"), "/+")).alias("r")
+    return _read(spark, sf_dir, "pages").select("page_id", found).select("page_id", *(F.col(f"r.{c}").cast("long").alias(c) for c in ("start", "end")))

@@ -188,11 +188,16 @@ def hash_file(path: str | Path, chunk: int = 1 << 20) -> str:
     return h.hexdigest()
 
 
-def _opened(uri: str):
-    """A stream of a file by URI or local path."""
+def placed(uri: str):
+    """The file system and path of a URI or local path."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+
+
+def _opened(uri: str):
+    """A stream of a file by URI or local path."""
+    system, path = placed(uri)
     return system.open_input_stream(path, compression=None)
 
 

@@ -1,20 +1,27 @@
-"""Tensor files: spark.read.format("safetensors").load(path) gives a row for each tensor.
+"""Tensor files: spark.read.format("safetensors").load(path) gives the values of each tensor, in rows of at most 2^20.
 
 A file begins with the size of its header (8 bytes), then the header, JSON with a dtype, shape and byte range for each tensor, then
-their bytes. Headers are read to plan, one task reads one tensor's bytes. 32-bit integers, 16- and 32-bit and 64-bit floats are known;
-U64 is an error here rather than being read as floats. Entries without byte range are skipped."""
+their bytes. Headers are read to plan; tasks read byte ranges of at most 64 MB, so a tensor may be of any size. `start` is the place of a row's
+first value in the tensor; an empty tensor has one row. Paths are files, folders or globs, local or URIs that Arrow's file systems open. 32-bit
+integers, 16- and 32-bit and 64-bit floats are known; U64 is an error here rather than being read as floats. Entries without byte range
+are skipped."""
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tessera.sources.files import placed
+
+#: Values in a row and in a task.
+ROW, TASK = 1 << 20, 1 << 23
 DTYPES = {"I32": "<i4", "U32": "<u4", "F16": "<f2", "F32": "<f4", "F64": "<f8"}
 _OTHER = {b"GGUF": "gguf", b"\x93NUMPY": "numpy"}
 
@@ -27,7 +34,8 @@ def read_header(path: str) -> tuple[dict, int]:
     """Entries by name, and where the bytes begin."""
     if os.path.splitext(path)[1] not in (".safetensors", ".gguf", ".mlx"):
         raise TensorError(f"not supported: {path}")
-    with open(path, "rb") as f:
+    system, place = placed(path)
+    with system.open_input_file(place) as f:
         head = f.read(8)
         for magic, name in _OTHER.items():
             if head.startswith(magic):
@@ -35,19 +43,29 @@ def read_header(path: str) -> tuple[dict, int]:
         if len(head) < 8:
             raise TensorError("the file is too short")
         size = int.from_bytes(head, "little")
-        if size > os.path.getsize(path) - 8:
+        if size > f.size() - 8:
             raise TensorError("the header is longer than the file")
         entries = json.loads(f.read(size))
     return {k: v for k, v in entries.items() if isinstance(v, dict) and "data_offsets" in v}, 8 + size
 
 
-def read_tensor(path: str, name: str, entry: dict, begin: int) -> np.ndarray:
+def _type(name: str, entry: dict) -> np.dtype:
     if entry["dtype"] not in DTYPES:
         raise TensorError(f"unsupported type {entry['dtype']} of {name}")
-    a, b = entry["data_offsets"]
-    with open(path, "rb") as f:
-        f.seek(begin + a)
-        return np.frombuffer(f.read(b - a), dtype=DTYPES[entry["dtype"]]).reshape(entry["shape"])
+    return np.dtype(DTYPES[entry["dtype"]])
+
+
+def read_values(path: str, name: str, entry: dict, begin: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """A tensor's values from start to stop, flat."""
+    kind, (a, b) = _type(name, entry), entry["data_offsets"]
+    end = b if stop is None else min(b, a + stop * kind.itemsize)
+    system, place = placed(path)
+    with system.open_input_file(place) as f:
+        return np.frombuffer(f.read_at(end - a - start * kind.itemsize, begin + a + start * kind.itemsize), dtype=kind)
+
+
+def read_tensor(path: str, name: str, entry: dict, begin: int) -> np.ndarray:
+    return read_values(path, name, entry, begin).reshape(entry["shape"])
 
 
 def write_tensors(path: str, tensors: dict[str, np.ndarray]) -> None:
@@ -63,27 +81,51 @@ def write_tensors(path: str, tensors: dict[str, np.ndarray]) -> None:
         f.write(len(text).to_bytes(8, "little") + text + b"".join(blobs))
 
 
-class _Tensor(InputPartition):
-    def __init__(self, path: str, name: str, entry: dict, begin: int):
-        self.path, self.name, self.entry, self.begin = path, name, entry, begin
+class _Range(InputPartition):
+    """Values of a tensor, from start to stop."""
+
+    def __init__(self, path: str, name: str, entry: dict, begin: int, start: int, stop: int):
+        self.path, self.name, self.entry, self.begin, self.start, self.stop = path, name, entry, begin, start, stop
+
+
+def _files(path: str) -> list[str]:
+    """The tensor files of a folder, those that fit a glob in a folder, or one file; as URIs where the path is one."""
+    from pyarrow import fs
+
+    system, place = placed(path)
+    whole = path[: len(path) - len(place)] if path.endswith(place) else ""
+    if "*" in place:
+        folder, pattern = place.rsplit("/", 1)
+    elif system.get_file_info(place).type == fs.FileType.Directory:
+        folder, pattern = place, "*.safetensors"
+    else:
+        return [path]
+    found = system.get_file_info(fs.FileSelector(folder))
+    return sorted(whole + f.path for f in found if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, pattern))
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"].rstrip("/")
 
     def partitions(self) -> list[InputPartition]:
-        paths = sorted(glob.glob(os.path.join(self.path, "*.safetensors"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
         out = []
-        for p in paths:
-            entries, begin = read_header(p)
-            out += [_Tensor(p, k, v, begin) for k, v in entries.items()]
+        for path in _files(self.path):
+            entries, begin = read_header(path)
+            for name, entry in entries.items():
+                a, b = entry["data_offsets"]
+                n = (b - a) // _type(name, entry).itemsize
+                out += [_Range(path, name, entry, begin, i, min(i + TASK, n)) for i in range(0, max(n, 1), TASK)]
         return out
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         p = partition
-        x = read_tensor(p.path, p.name, p.entry, p.begin)
-        yield p.path, p.name, p.entry["dtype"], [int(n) for n in x.shape], [float(v) for v in x.ravel()]
+        for i in range(p.start, max(p.stop, p.start + 1), ROW):
+            x = read_values(p.path, p.name, p.entry, p.begin, i, min(i + ROW, p.stop)).astype(np.float64)
+            values = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+            shape = pa.array([p.entry["shape"]], pa.list_(pa.int64()))
+            columns = [pa.array([p.path]), pa.array([p.name]), pa.array([p.entry["dtype"]]), shape, pa.array([i], pa.int64()), values]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "name", "dtype", "shape", "start", "values"])
 
 
 class SafetensorsSource(DataSource):
@@ -92,7 +134,7 @@ class SafetensorsSource(DataSource):
         return "safetensors"
 
     def schema(self) -> str:
-        return "path string, name string, dtype string, shape array<bigint>, values array<double>"
+        return "path string, name string, dtype string, shape array<bigint>, start bigint, values array<double>"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)

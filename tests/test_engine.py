@@ -102,6 +102,14 @@ def test_tensors(spark, tmp_path):
     tensors.register(spark)
     rows = {r.name: r for r in spark.read.format("safetensors").load(str(tmp_path)).collect()}
     assert {k: (r.dtype, list(r.shape), list(r["values"])) for k, r in rows.items()} == {k: ({"<i4": "I32", "<f8": "F64", "<f4": "F32", "<f2": "F16"}[x.dtype.str], list(x.shape), [float(v) for v in x.ravel()]) for k, x in made.items()}
+    empty = {"e": np.zeros((0, 3), dtype="<f4"), "big": np.arange(tensors.TASK + tensors.ROW + 5, dtype="<i4")}
+    (tmp_path / "more").mkdir()
+    tensors.write_tensors(str(tmp_path / "more" / "c.safetensors"), empty)
+    for path in (f"{tmp_path}/more", f"file://{tmp_path}/more/*.safetensors", f"{tmp_path}/more/c.safetensors"):
+        found = spark.read.format("safetensors").load(path).selectExpr("name", "start", "size(values) AS n", "get(values, 0) AS first", "shape").collect()
+        assert sorted(r.start for r in found if r.name == "big") == list(range(0, tensors.TASK + tensors.ROW + 5, tensors.ROW))
+        assert all(r.first == r.start for r in found if r.name == "big") and sum(r.n for r in found) == len(empty["big"])
+        assert [(r.start, r.n, r["shape"]) for r in found if r.name == "e"] == [(0, 0, [0, 3])]
     (tmp_path / "b.safetensors").write_bytes(b"GGUFxxxxxxxx")
     with pytest.raises(tensors.TensorError):
         tensors.read_header(str(tmp_path / "b.safetensors"))

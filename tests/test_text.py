@@ -278,3 +278,18 @@ def test_tokenizer_of_a_folder(spark, tmp_path):
     (tmp_path / "config.json").write_text('{"model_type": "bert"}')
     (tmp_path / "tokenizer_config.json").write_text('{"unk_token": "[UNK]"}')
     assert one(spark, Tokenizer.from_folder(tmp_path).encode(F.col("a")), "A b") == [1, 0]
+
+
+def test_private_use_characters(spark):
+    """Characters that serve as marks inside are characters like others in texts."""
+    text = "a\ue000b \ue001c \ue002 \ue003\ue002d the \ue002"
+    assert one(spark, pretokenize.split_string(F.col("a"), " ", True), text)[:3] == ["a\ue000b", " ", "\ue001c"]
+    assert one(spark, pretokenize.split_regex(F.col("a"), "b"), text)[:2] == ["a\ue000", "b"]
+    words = text.split()
+    for added in ([], [{"id": 100, "content": "the"}]):
+        vocab = {w: i for i, w in enumerate(["[UNK]", *dict.fromkeys(words)])}
+        data = {"pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": added}
+        made = Tokenizer.compile(data, {}, model=subword.WordPiece(vocab, "[UNK]", added={"the": vocab["the"]}))
+        assert one(spark, made.tokenize(F.col("a")), text) == words
+        assert one(spark, made.encode(F.col("a")), text) == [vocab[w] for w in words]
+        assert one(spark, made.count(F.col("a")), text) == len(words)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, host_reputation, jaccard, neighbours, passages, quality, token_files, wrappers
+from tessera.llm import audit, bpe, decontaminate, host_reputation, jaccard, licenses, neighbours, passages, periodic, quality, token_files, wrappers
 from tessera.llm import pipeline as stages
 from tessera.sources import files
 
@@ -58,10 +58,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_texts(spark, sf_dir))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_texts(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(_texts(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(_texts(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_html_wrappers, op3_suffix_dedup, op4_jaccard_join, op5_quality_classifier, op6_substring_dedup, op7_token_files, op8_decontamination, op9_host_reputation, op10_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_html_wrappers, op3_suffix_dedup, op4_jaccard_join, op5_quality_classifier, op6_substring_dedup, op7_token_files, op8_decontamination, op9_host_reputation, op10_byte_bpe, op11_license_scan, op12_periodic_runs, op13_filter_audit, pipeline)}
 
-ORACLE_SQL = {"op3_suffix_dedup": passages.oracle(), "op6_substring_dedup": passages.oracle(), "op8_decontamination": decontaminate.oracle(), "op9_host_reputation": host_reputation.oracle()}
+ORACLE_SQL = {"op3_suffix_dedup": passages.oracle(), "op6_substring_dedup": passages.oracle(), "op8_decontamination": decontaminate.oracle(), "op9_host_reputation": host_reputation.oracle(), "op11_license_scan": licenses.oracle(), "op13_filter_audit": audit.oracle()}

@@ -26,8 +26,8 @@ class Config:
     def __getitem__(self, key: str | int) -> Config:
         v = self.value
         if isinstance(v, dict) and isinstance(key, str):
-            return Config(v.get(key))
-        if isinstance(v, (list, tuple)) and isinstance(key, int) and -len(v) <= key < len(v):
+            return Config(v[key] if key in v else v.get(uncamel(key)))
+        if isinstance(v, (list, tuple)) and isinstance(key, int) and 0 <= key < len(v):
             return Config(v[key])
         return Config()
 
@@ -35,8 +35,7 @@ class Config:
         """The key itself, else its snake_case form."""
         if key.startswith("__"):
             raise AttributeError(key)
-        found = self[key]
-        return found if not found.is_null else self[uncamel(key)]
+        return self[key]
 
     def string(self, default: str | None = None) -> str | None:
         return self.value if isinstance(self.value, str) else default
@@ -67,19 +66,27 @@ class Config:
         return {k: Config(v) for k, v in self.value.items()} if isinstance(self.value, dict) else default or {}
 
     def token(self, default: tuple[int, str] | None = None) -> tuple[int, str] | None:
-        """(id, string) of a pair of both, or of an array [string, id]."""
+        """(id, string) of a pair of both, or of an array [string, id] or [id, string]."""
         v = self.value
         if isinstance(v, tuple) and len(v) == 2:
             return v
-        if isinstance(v, list) and len(v) == 2 and isinstance(v[0], str) and isinstance(v[1], int):
-            return v[1], v[0]
+        if isinstance(v, list) and len(v) == 2:
+            a, b = Config(v[0]), Config(v[1])
+            if a.string() is not None and b.integer() is not None:
+                return v[1], v[0]
+            if (a.integer() if a.integer() is not None else -1) >= 0 and b.string() is not None:
+                return v[0], v[1]
         return default
 
     def __eq__(self, other: object) -> bool:
-        """Equal values; also if one side's kind can be read as the other's."""
+        """Equal values; also if one side's kind can be read as the other's, within dictionaries and arrays too."""
         a, b = self, Config.of(other)
+        if isinstance(a.value, dict) and isinstance(b.value, dict):
+            return a.value.keys() == b.value.keys() and all(a[k] == b[k] for k in a.value)
+        if isinstance(a.value, list) and isinstance(b.value, list):
+            return len(a.value) == len(b.value) and all(Config(x) == Config(y) for x, y in zip(a.value, b.value, strict=True))
         if type(a.value) is type(b.value):
-            return a.value == b.value
+            return a.floating() == b.floating() if isinstance(a.value, float) else a.value == b.value
         for x, y in ((a, b), (b, a)):
             if isinstance(y.value, bool) and x.boolean() is not None:
                 return x.boolean() == y.value
@@ -106,7 +113,7 @@ class Config:
 
 def uncamel(key: str) -> str:
     """snake_case of camelCase; of consecutive capitals only the first gets an underscore."""
-    return re.sub(r"([^A-Z])([A-Z])", r"\1_\2", key).lower()
+    return "".join(("_" if i and c.isupper() and not key[i - 1].isupper() else "") + c.lower() for i, c in enumerate(key))
 
 
 def loads(text: str | bytes) -> Config:

@@ -192,6 +192,12 @@ def _joined(e: str) -> str:
     return f"SELECT doc_id, array_to_string({e}, '') AS text FROM {_SPLIT}"
 
 
+# DuckDB's JSON functions in place of VARIANTs; numbers keep their text
+_SETTINGS = """k AS (SELECT o_orderkey, [CAST(o_custkey AS VARCHAR), CAST(floor(o_totalprice) AS BIGINT) || '.25', '"' || o_orderpriority || '"', 'true', 'null', '"T"',
+  '["<s>",' || o_custkey || ']', '[' || o_custkey || ',"<s>"]', '{"a":1,"b":[1,2.5,"x,]"]}', '"0"', '1'] AS kinds, o_orderstatus, o_custkey FROM orders),
+s AS (SELECT o_orderkey, o_orderstatus, o_custkey, kinds[o_orderkey % 11 + 1] AS a, kinds[o_orderkey // 11 % 11 + 1] AS b, o_orderkey % 11 AS i, o_orderkey // 11 % 11 AS j FROM k)"""
+
+
 SQL = {
     "pre_whitespace": _docs(_all(WORDS)),
     "pre_bert": _docs(_all(BERT)),
@@ -305,6 +311,24 @@ g(user_id, n, ts, high, since, beat, last, share, speed, report) AS (
     CASE WHEN r.share >= 1 AND NOT r.complete THEN 'held' WHEN r.completed > g.high THEN 'growth' WHEN NOT r.complete AND r.completed = g.high AND abs(r.share - g.last) < 0.001 THEN 'quiet' ELSE 'news' END AS kind
     FROM g JOIN r ON r.user_id = g.user_id AND r.n = g.n + 1))
 SELECT user_id, ts, round(share, 6) AS fraction, round(speed, 6) AS speed FROM g WHERE report""",
+    "cfg_get": f"""WITH {_SETTINGS} SELECT o_orderkey, '"' || o_orderstatus || '"' AS own, a AS snake, b AS camel, b AS placed, CAST(NULL AS VARCHAR) AS beyond, CAST(NULL AS VARCHAR) AS no_camel,
+  CAST(json_extract(CAST(a AS JSON), '$.b[2]') AS VARCHAR) AS deep, true AS none, true AS missing FROM s""",
+    "cfg_coerce": f"""WITH {_SETTINGS}, t AS (SELECT *, json_type(CAST(a AS JSON)) AS type, json_extract_string(CAST(a AS JSON), '$') AS x FROM s)
+SELECT o_orderkey, CASE WHEN type = 'NULL' THEN 'null' WHEN type = 'VARCHAR' THEN 'string' WHEN type IN ('UBIGINT', 'BIGINT') THEN 'integer' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'ARRAY' THEN 'array' WHEN type = 'OBJECT' THEN 'dictionary' ELSE 'floating' END AS kind,
+  CASE type WHEN 'VARCHAR' THEN x END AS string, CASE WHEN type IN ('UBIGINT', 'BIGINT') THEN CAST(x AS BIGINT) ELSE -1 END AS integer,
+  CASE WHEN type = 'BOOLEAN' THEN x = 'true' WHEN type IN ('UBIGINT', 'BIGINT') THEN CAST(x AS BIGINT) = 1 WHEN type = 'VARCHAR' AND lower(x) IN ('true', 't', '1') THEN true WHEN type = 'VARCHAR' AND lower(x) IN ('false', 'f', '0') THEN false END AS boolean,
+  CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST(CAST(x AS DOUBLE) AS FLOAT) AS DOUBLE) END AS floating,
+  CASE type WHEN 'ARRAY' THEN CAST(json_array_length(CAST(a AS JSON)) AS BIGINT) END AS items, CASE type WHEN 'OBJECT' THEN array_to_string(json_keys(CAST(a AS JSON)), ',') END AS keys FROM t""",
+    # the eleven kinds of entry, by pairs: which are equal whatever the order is
+    "cfg_equals": f"""WITH {_SETTINGS}, e AS (SELECT *, CASE WHEN i = j THEN true
+  WHEN least(i, j) = 0 AND greatest(i, j) = 3 THEN o_custkey = 1 WHEN least(i, j) = 0 AND greatest(i, j) = 10 THEN o_custkey = 1
+  WHEN least(i, j) = 0 AND greatest(i, j) = 1 THEN CAST(o_custkey AS FLOAT) = CAST(json_extract_string(CAST(CASE i WHEN 1 THEN a ELSE b END AS JSON), '$') AS FLOAT)
+  WHEN least(i, j) = 1 AND greatest(i, j) = 10 THEN CAST(json_extract_string(CAST(CASE i WHEN 1 THEN a ELSE b END AS JSON), '$') AS FLOAT) = 1
+  WHEN least(i, j) = 3 AND greatest(i, j) IN (5, 10) THEN true ELSE false END AS equal FROM s)
+SELECT o_orderkey, equal, equal AS turned, a = b AS same_hash FROM e""",
+    "cfg_token": f"WITH {_SETTINGS} SELECT o_orderkey, CASE WHEN i IN (6, 7) THEN o_custkey END AS id, CASE WHEN i IN (6, 7) THEN '<s>' END AS token FROM s",
+    "cfg_entries": """SELECT event_id, 'event_type' AS key, '"' || event_type || '"' AS value FROM events WHERE props IS NOT NULL OR event_type IS NOT NULL
+UNION ALL SELECT event_id, 'k' AS key, coalesce(CAST(json_extract(CAST(props AS JSON), '$.k') AS VARCHAR), '"old"') AS value FROM events""",
     "str_binary": "SELECT page_id, replace(url, 'e', chr(233)) = replace(url, 'e', 'e' || chr(769)) AS equal, replace(url, 'e', chr(233)) < replace(url, 'e', 'e' || chr(769)) AS less, starts_with('e' || chr(769) || url, 'e') AS starts, ends_with(url || 'e' || chr(769), chr(233)) AS ends, chr(233) || lower(url) AS lowered, array_to_string(list_transform(range(3, 7), lambda i: substr(replace(url, 't', 'e' || chr(769)), i, 1)), '') AS sliced FROM pages",
     "file_local_path": "SELECT doc_id, '/models/' || CASE doc_id % 3 WHEN 0 THEN 'models' WHEN 1 THEN 'datasets' ELSE 'spaces' END || '/' || concat_ws('/', source, lang) AS path FROM documents",
     "file_resolve_url": "SELECT doc_id, 'https://example.com/' || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'datasets/' ELSE 'spaces/' END || concat_ws('/', source, lang) || '/resolve/refs%2Fpr%2F' || doc_id || '/config.json' AS url FROM documents",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera import oracle
 from tessera.functions import decode, normalize, post, pretokenize
 from tessera.functions import text as t
+from tessera.functions import variants
 from tessera.operators import generate, logits, subword, vocabularies
 from tessera.plans import chat
 from tessera.plans.tokenizer import Tokenizer
@@ -432,6 +433,60 @@ def progress_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.reports(samples, "user_id").select("user_id", "ts", F.round("fraction", 6).alias("fraction"), F.round("speed", 6).alias("speed"))
 
 
+# Configurations as data: JSON made from orders
+
+
+def _settings(spark: SparkSession, d: str) -> DataFrame:
+    """(o_orderkey, v): a configuration of each order, whose entries are of a kind that goes by its key."""
+    key = F.col("o_orderkey")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    kinds = [F.col("o_custkey").cast("string"), F.concat(F.floor("o_totalprice"), F.lit(".25")), quoted("o_orderpriority"), F.lit("true"), F.lit("null"), F.lit('"T"'), F.concat(F.lit('["<s>", '), F.col("o_custkey"), F.lit("]"))]
+    kinds += [F.concat(F.lit("["), F.col("o_custkey"), F.lit(', "<s>"]')), F.lit('{"a": 1, "b": [1, 2.5, "x,]"]}'), F.lit('"0"'), F.lit("1")]
+    value = F.element_at(F.array(*kinds), (key % 11 + 1).cast("int"))
+    other = F.element_at(F.array(*kinds), (F.floor(key / 11) % 11 + 1).cast("int"))
+    text = F.concat(F.lit('\ufeff{"orderStatus": '), quoted("o_orderstatus"), F.lit(', "model_max": '), value, F.lit(', "modelMin": '), other, F.lit(', "list": ['), value, F.lit(", "), other, F.lit(', 7, ], "none": null,}'))
+    return _read(spark, d, "orders").select("o_orderkey", variants.parse(text).alias("v"))
+
+
+@query
+def cfg_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries by key, by another spelling, by place; missing ones are null."""
+    at = lambda *path: variants.encode(variants.get(F.col("v"), *path))
+    return _settings(spark, sf_dir).select(
+        "o_orderkey", at("orderStatus").alias("own"), at("modelMax").alias("snake"), at("modelMin").alias("camel"), at("list", 1).alias("placed"), at("list", 3).alias("beyond"),
+        at("model_min").alias("no_camel"), at("modelMax", "b", 2).alias("deep"), variants.is_null(variants.get(F.col("v"), "none")).alias("none"), variants.is_null(variants.get(F.col("v"), "missing")).alias("missing"),
+    )
+
+
+@query
+def cfg_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = variants.get(F.col("v"), "modelMax")
+    return _settings(spark, sf_dir).select(
+        "o_orderkey", variants.kind(v).alias("kind"), variants.string(v).alias("string"), variants.integer(v, -1).alias("integer"), variants.boolean(v).alias("boolean"), variants.floating(v).cast("double").alias("floating"),
+        F.size(variants.array(v)).cast("long").alias("items"), F.array_join(F.map_keys(variants.dictionary(v)), ",").alias("keys"),
+    )
+
+
+@query
+def cfg_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (variants.get(F.col("v"), k) for k in ("modelMax", "modelMin"))
+    return _settings(spark, sf_dir).select("o_orderkey", variants.equals(a, b).alias("equal"), variants.equals(b, a).alias("turned"), (variants.hashed(a) == variants.hashed(b)).alias("same_hash"))
+
+
+@query
+def cfg_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = variants.token(variants.get(F.col("v"), "modelMax"))
+    return _settings(spark, sf_dir).select("o_orderkey", found["id"].alias("id"), found["token"].alias("token"))
+
+
+@query
+def cfg_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of each event's properties merged with its type."""
+    own = F.to_variant_object(F.create_map(F.lit("eventType"), F.col("event_type"), F.lit("k"), F.lit("old")))
+    rows = _read(spark, sf_dir, "events").select("event_id", variants.merged(own, variants.parse(F.col("props"))).alias("v"))
+    return variants.entries(rows, "v").select("event_id", variants.uncamel(F.col("key")).alias("key"), variants.encode(F.col("value")).alias("value"))
+
+
 # Strings by code points, and addresses of files
 
 

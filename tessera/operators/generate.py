@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.logits import GenerationConfig
+from tessera.sources.scratch import cut
 
 Scores = Callable[[list[int]], np.ndarray]
 
@@ -45,21 +46,24 @@ def process(scores: np.ndarray, ids: list[int], config: GenerationConfig) -> np.
     return x
 
 
+def choose(scores: np.ndarray, ids: list[int], config: GenerationConfig, prompt: int, uniform: Callable[[], float] | None = None) -> int | None:
+    """The next token after ids, the first `prompt` of which were given; None at max_length (or so many new tokens) and for the end token."""
+    limit = config.max_length if config.max_new_tokens is None else min(config.max_length, prompt + config.max_new_tokens)
+    if len(ids) >= limit:
+        return None
+    x = process(scores, ids, config)
+    new = int(np.argmax(x if config.mode == "greedy" else np.cumsum(_softmax(x)) >= uniform()))
+    return None if new == config.eos_token_id else new
+
+
 def steps(model: Scores, ids: list[int], config: GenerationConfig, uniform: Callable[[], float] | None = None) -> Iterator[list[int]]:
     """The sequence after each new token. Ends at max_length (or so many new tokens) and before an end token."""
     if config.mode not in ("greedy", "sample"):
         raise ValueError(f"the mode {config.mode} is not supported")
     ids = list(ids)
-    limit = config.max_length if config.max_new_tokens is None else min(config.max_length, len(ids) + config.max_new_tokens)
-    while len(ids) < limit:
-        x = process(model(ids), ids, config)
-        if config.mode == "greedy":
-            new = int(np.argmax(x))
-        else:
-            reached = np.cumsum(_softmax(x)) >= uniform()
-            new = int(np.argmax(reached))
-        if new == config.eos_token_id:
-            return
+    prompt = len(ids)
+    limit = config.max_length if config.max_new_tokens is None else min(config.max_length, prompt + config.max_new_tokens)
+    while len(ids) < limit and (new := choose(model(ids), ids, config, prompt, uniform)) is not None:
         ids.append(new)
         yield list(ids)
 
@@ -94,14 +98,27 @@ def generate_text(prompts: DataFrame, tokenizer, model: Scores, config: Generati
     return done.select(key, tokenizer.decode(F.col("ids")).alias("text"))
 
 
-def follow(prompts: DataFrame, transitions: DataFrame, n_steps: int, key: str = "seq_id", token: str = "token_id") -> DataFrame:
-    """Greedy generation with a table (token_id, next_id) as model: a join for each step, rows for all steps."""
-    now = prompts.select(key, F.lit(0).alias("step"), token)
-    out = now
-    for i in range(1, n_steps + 1):
-        now = now.join(transitions, token).select(key, F.lit(i).alias("step"), F.col("next_id").alias(token))
-        out = out.unionByName(now)
-    return out
+def paths(transitions: DataFrame, n_steps: int, token: str = "token_id", eos_token_id: int | None = None) -> DataFrame:
+    """(token, path): the tokens that follow each token of a table (token, next_id), at most n_steps, up to the end token or one without a row. The
+    table of 2 k steps is that of k joined with itself at the last token, so there are log2(n_steps) joins, each of a table that is written."""
+    if n_steps < 1:
+        raise ValueError("at least one step")
+    now = transitions.where(F.col("next_id").isNotNull() & (F.lit(True) if eos_token_id is None else F.col("next_id") != eos_token_id))
+    now, k = cut(now.select(F.col(token), F.array(F.col("next_id").cast("long")).alias("path"))), 1
+    while k < n_steps:
+        on = now.select(F.col(token).alias("__last"), F.col("path").alias("__more"))
+        # a path that is shorter than k has ended, and ends here too
+        last = F.when(F.size("path") == k, F.element_at("path", -1))
+        longer = now.join(on, last == F.col("__last"), "left").select(token, F.slice(F.concat("path", F.coalesce("__more", F.array().cast("array<long>"))), 1, n_steps).alias("path"))
+        now, k = cut(longer), 2 * k
+    return now
+
+
+def follow(prompts: DataFrame, transitions: DataFrame, n_steps: int, key: str = "seq_id", token: str = "token_id", eos_token_id: int | None = None) -> DataFrame:
+    """Greedy generation with a table (token_id, next_id) as model: rows (key, step, token) for all steps from 0, the prompt's own token."""
+    found = prompts.select(key, token).join(paths(transitions, n_steps, token, eos_token_id), token, "left")
+    steps_ = F.posexplode(F.concat(F.array(F.col(token).cast("long")), F.coalesce("path", F.array().cast("array<long>"))))
+    return found.select(key, steps_.alias("step", token))
 
 
 def pad(ids: Column, length: int, pad_id: int | None = None) -> tuple[Column, Column]:

@@ -281,6 +281,8 @@ WHEN beams >= 2 AND beam_groups = 1 AND NOT sample THEN 'beam' WHEN beams >= 2 A
 FROM (SELECT unnest([1, 2])::INT AS beams), (SELECT unnest([1, 2])::INT AS beam_groups), (SELECT unnest([true, false]) AS sample), (SELECT unnest([1, 50])::INT AS k), (SELECT unnest([NULL, 0.0, 0.5])::DOUBLE AS alpha)""",
     "gen_loop_table": f"""WITH RECURSIVE {_LOGITS}, best AS (SELECT row_id AS token_id, arg_max(token_id, {{'s': score, 't': -token_id}}) AS next_id FROM logits WHERE row_id < 64 GROUP BY row_id),
 g(seq_id, step, token_id) AS (SELECT vec_id, 0::BIGINT, vec_id % 64 FROM embeddings UNION ALL SELECT seq_id, step + 1, next_id FROM g JOIN best USING (token_id) WHERE step < 8) SELECT * FROM g""",
+    "gen_loop_end": f"""WITH RECURSIVE {_LOGITS}, best AS (SELECT row_id AS token_id, arg_max(token_id, {{'s': score, 't': -token_id}}) AS next_id FROM logits GROUP BY row_id),
+g(seq_id, step, token_id) AS (SELECT vec_id, 0::BIGINT, vec_id % 64 FROM embeddings UNION ALL SELECT seq_id, step + 1, next_id FROM g JOIN best USING (token_id) WHERE step < 50 AND next_id <> 7) SELECT * FROM g""",
     "lm_pad": """SELECT item_id, array_to_string(list_transform(range(1, greatest(512, n) + 1), lambda i: CASE WHEN i <= n THEN unicode(cs[i]) ELSE 0 END), ' ') AS ids,
 array_to_string(list_transform(range(1, greatest(512, n) + 1), lambda i: CASE WHEN i <= n THEN 1 ELSE 0 END), ' ') AS mask FROM (SELECT item_id, string_split(text, '') AS cs, length(text) AS n FROM benchmark)""",
     "lm_default_gen": "SELECT name, 2048::BIGINT AS max_new_tokens, contains(lower(name), 'gpt') AS do_sample, 50::BIGINT AS top_k FROM (VALUES ('GPT-neo'), ('my-gpt2'), ('llama')) v(name)",
@@ -295,20 +297,21 @@ FROM (SELECT doc_id, doc_id % 5 AS k, sha256(text) AS h, substr(sha256(text), 1,
     "progress_emit": """WITH x AS (SELECT user_id, event_id, ts, CAST(floor(sum(floor(greatest(coalesce(value, 0), 0))) OVER (PARTITION BY user_id ORDER BY ts, event_id) / 50) AS BIGINT) AS completed FROM events),
 y AS (SELECT *, completed - coalesce(lag(completed) OVER (PARTITION BY user_id ORDER BY ts, completed), 0) AS delta FROM x) SELECT user_id, event_id, completed, delta FROM y WHERE delta <> 0""",
     "uni_lookup": f"WITH w AS ({_WORD_LIST}), {_vocab(vocabularies.unigram())}\nSELECT word AS token, coalesce(id, 0) AS id FROM w LEFT JOIN voc ON token = word",
-    # a state machine, a sample at a time, where the query has windows
+    # the transfers' states as rows of a recursion
     "progress_reports": """WITH RECURSIVE c AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS ts, CAST(floor(sum(floor(greatest(coalesce(value, 0), 0))) OVER w / 50) AS BIGINT) AS completed,
-  lead(event_id) OVER w IS NULL AS complete FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-r AS (SELECT user_id, ts, completed, complete, CASE WHEN total > 0 THEN least(greatest(completed / total, 0), 1) ELSE 0 END AS share, row_number() OVER (PARTITION BY user_id ORDER BY ts, completed, complete) AS n
-  FROM (SELECT *, max(completed) OVER (PARTITION BY user_id) AS total FROM c)),
-g(user_id, n, ts, high, since, beat, last, share, speed, report) AS (
-  SELECT user_id, 0::BIGINT, 0::DOUBLE, 0::BIGINT, min(ts), 0::BIGINT, 0::DOUBLE, 0::DOUBLE, NULL::DOUBLE, false FROM r GROUP BY user_id
+  lead(event_id) OVER w IS NULL AS complete, row_number() OVER w AS place FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT user_id, ts, completed, complete, CASE WHEN total > 0 THEN least(greatest(completed / total, 0), 1) WHEN complete THEN 1 ELSE 0 END AS share, row_number() OVER (PARTITION BY user_id ORDER BY ts, completed, complete) AS n
+  FROM (SELECT *, max(completed) OVER (PARTITION BY user_id) + place AS total FROM c)),
+g(user_id, n, ts, high, since, stalled, last, share, speed, report, ended) AS (
+  SELECT user_id, 0::BIGINT, 0::DOUBLE, 0::BIGINT, min(ts), NULL::DOUBLE, 0::DOUBLE, 0::DOUBLE, NULL::DOUBLE, false, false FROM r GROUP BY user_id
   UNION ALL
   SELECT user_id, n, ts, CASE kind WHEN 'growth' THEN completed ELSE high END, CASE kind WHEN 'growth' THEN ts ELSE since END,
-    CASE kind WHEN 'growth' THEN 0 WHEN 'quiet' THEN greatest(beat, now) ELSE beat END, CASE kind WHEN 'held' THEN last ELSE share END, share,
+    CASE kind WHEN 'growth' THEN NULL WHEN 'stall' THEN ts ELSE stalled END, CASE WHEN kind IN ('growth', 'news', 'stall') THEN share ELSE last END, share,
     CASE WHEN kind = 'growth' THEN CASE WHEN ts > since THEN (completed - high) / (ts - since) ELSE 0 END END,
-    kind IN ('growth', 'news') OR (kind = 'quiet' AND high > 0 AND now > beat)
-  FROM (SELECT g.user_id, r.n, r.ts, r.completed, r.share, g.high, g.since, g.beat, g.last, CAST(floor(r.ts - g.since) AS BIGINT) AS now,
-    CASE WHEN r.share >= 1 AND NOT r.complete THEN 'held' WHEN r.completed > g.high THEN 'growth' WHEN NOT r.complete AND r.completed = g.high AND abs(r.share - g.last) < 0.001 THEN 'quiet' ELSE 'news' END AS kind
+    kind IN ('growth', 'news', 'stall'), ended
+  FROM (SELECT g.user_id, r.n, r.ts, r.completed, r.share, g.high, g.since, g.stalled, g.last, g.ended OR r.complete AS ended,
+    CASE WHEN g.ended OR (r.share >= 1 AND NOT r.complete) THEN 'held' WHEN r.completed > g.high THEN 'growth' WHEN r.complete OR r.completed < g.high OR abs(r.share - g.last) >= 0.001 THEN 'news'
+      WHEN g.high > 0 AND r.ts - coalesce(g.stalled, g.since) >= 1 THEN 'stall' ELSE 'quiet' END AS kind
     FROM g JOIN r ON r.user_id = g.user_id AND r.n = g.n + 1))
 SELECT user_id, ts, round(share, 6) AS fraction, round(speed, 6) AS speed FROM g WHERE report""",
     "cfg_get": f"""WITH {_SETTINGS} SELECT o_orderkey, '"' || o_orderstatus || '"' AS own, a AS snake, b AS camel, b AS placed, CAST(NULL AS VARCHAR) AS beyond, CAST(NULL AS VARCHAR) AS no_camel,

@@ -8,12 +8,14 @@ from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
 from tessera.config import Config
 from tessera.operators import generate
 from tessera.operators.logits import GenerationConfig
 from tessera.plans.tokenizer import Tokenizer, TokenizerError
 from tessera.sources.files import read_model_folder
+from tessera.streaming import tokens
 
 #: Padded ids and their mask (None if the network takes none) to scores, a row for each place.
 Network = Callable[[np.ndarray, "np.ndarray | None"], np.ndarray]
@@ -89,6 +91,11 @@ class LanguageModel:
         """(key, step, ids) of prompts (key, ids); options are those of generate.generate."""
         return generate.generate(prompts, self.scores, config or self.default_generation_config, **options)
 
+    def stream(self, prompts: DataFrame, sink: Callable[[DataFrame, int], None], config: GenerationConfig | None = None, **options) -> StreamingQuery:
+        """Starts a query over a stream of prompts (seq_id, ids), whose sink gets the next token of every open sequence in each micro-batch; options are
+        those of tokens.stream_tokens."""
+        return tokens.stream_tokens(prompts, self.scores, config or self.default_generation_config, sink, **options)
+
     def generate_text(self, prompts: DataFrame, config: GenerationConfig | None = None, max_new_tokens: int | None = None, **options) -> DataFrame:
         """(key, text) of prompts (key, text)."""
         config = config or self.default_generation_config

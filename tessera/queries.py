@@ -343,11 +343,21 @@ def gen_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("mode", logits.mode(*(F.col(c) for c in df.columns)))
 
 
-@query
-def gen_loop_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _loop(spark: SparkSession, sf_dir: str, n_steps: int, eos_token_id: int | None = None) -> DataFrame:
     best = logits.greedy(_logits(spark, sf_dir)).select(F.col("row_id").alias("token_id"), F.col("token_id").alias("next_id"))
     prompts = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq_id"), (F.col("vec_id") % 64).alias("token_id"))
-    return generate.follow(prompts, best, 8).withColumn("step", F.col("step").cast("long"))
+    return generate.follow(prompts, best, n_steps, eos_token_id=eos_token_id).withColumn("step", F.col("step").cast("long"))
+
+
+@query
+def gen_loop_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loop(spark, sf_dir, 8)
+
+
+@query
+def gen_loop_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To the end token, or 50 steps where none comes."""
+    return _loop(spark, sf_dir, 50, eos_token_id=7)
 
 
 @query
@@ -424,11 +434,11 @@ def progress_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def progress_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as samples of a transfer that is complete at the last of them."""
+    """Each user's events as samples of a transfer that is complete at the last of them, and whose total grows a little with each."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     some = F.floor(F.sum(F.floor(F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0)))).over(w) / 50).cast("long")
     rows = _read(spark, sf_dir, "events").where("user_id IS NOT NULL AND ts IS NOT NULL").withColumns({"completed": some, "complete": F.lead("event_id").over(w).isNull()})
-    total = F.max("completed").over(Window.partitionBy("user_id"))
+    total = F.max("completed").over(Window.partitionBy("user_id")) + F.row_number().over(w)
     samples = rows.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "completed", total.alias("total"), "complete")
     return progress.reports(samples, "user_id").select("user_id", "ts", F.round("fraction", 6).alias("fraction"), F.round("speed", 6).alias("speed"))
 

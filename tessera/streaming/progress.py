@@ -1,27 +1,35 @@
-"""Progress of transfers: which samples to report, with what speed, in batch and as a stream.
+"""Progress of transfers: which samples to report, with what speed, in batch and as a stream; cancelled transfers.
 
-A sample is (key, ts in seconds, completed, total, complete). Its fraction is completed / total, within 0 and 1; one with the fraction 1 that is
-not complete is held back, as if it had not come. Of the others these are reported:
+A sample is (key, ts in seconds, completed, total, complete). Its fraction is completed / total, within 0 and 1 (1 if complete without a total); one with the
+fraction 1 that is not complete is held back, as if it had not come. Of the others these are reported:
 
 * growth: completed is more than ever before; with bytes per second since the growth before (or the key's first sample);
-* news: complete, or fewer bytes than before, or a fraction that differs by 0.001 or more from the sample before;
-* a stall: once bytes have been seen, the first quiet sample of each whole second since they last grew.
+* news: complete, or fewer bytes than before, or a fraction that differs by 0.001 or more from the one last reported;
+* a stall: once bytes have been seen, the first sample that comes a second or more after they last grew, and then each that comes a second or more after the
+  stall's report before.
 
-In batch this is a few windows of each key in order of time; as a stream, a machine for each key that is idle, moving or
-stalled, with a timer where no sample comes."""
+What comes after a complete sample does not count. A cancel ends a transfer: if all its bytes had come, it reports its end, else nothing; later samples
+do not count.
+
+One machine for each key does both. In batch it runs down the sorted rows of a partition; in a stream its fields are the key's state, with one timer
+where no sample comes. An ended transfer leaves only a mark, which goes after a time, like the state of a transfer that is not heard of any more."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, replace
+from dataclasses import astuple, dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MOVED, HEARTBEAT = 0.001, 1.0
+#: Milliseconds after which a stream forgets a transfer of which nothing is heard, and the mark of one that has ended.
+FORGET = 24 * 3600 * 1000
+
+Report = tuple[float, float, "float | None"]
 
 
 def changes(samples: DataFrame, key: str = "key", ts: str = "ts", completed: str = "completed") -> DataFrame:
@@ -33,115 +41,124 @@ def changes(samples: DataFrame, key: str = "key", ts: str = "ts", completed: str
     return rows.withColumns({"delta": delta, "speed": speed}).where("delta <> 0").drop("__b", "__t")
 
 
-def reports(samples: DataFrame, key: str = "key") -> DataFrame:
-    """All reports (key, ts, fraction, speed) of samples (key, ts, completed, total, complete), in batch."""
-    order = Window.partitionBy(key).orderBy("ts", "completed", "complete")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    part, done = F.col("__fraction"), F.col("complete")
-    rows = samples.withColumn("__fraction", fraction(F.col("completed"), F.col("total")))
-    rows = rows.withColumns({"__counts": (part < 1) | done, "__start": F.first("ts").over(order)})
-    counting = lambda c: F.when(F.col("__counts"), c)
-    rows = rows.withColumns({
-        "__high": F.greatest(F.coalesce(F.max(counting(F.col("completed"))).over(before), F.lit(0)), F.lit(0)),
-        "__last": F.coalesce(F.last(counting(part), ignorenulls=True).over(before), F.lit(0.0)),
-    })
-    grew = F.col("__counts") & (F.col("completed") > F.col("__high"))
-    rows = rows.withColumn("__since", F.coalesce(F.max(F.when(grew, F.col("ts"))).over(before), F.col("__start")))
-    quiet = F.col("__counts") & ~done & (F.col("completed") == F.col("__high")) & (F.abs(part - F.col("__last")) < MOVED)
-    # the whole seconds since bytes grew, and those at the last quiet sample of the same stall
-    beat = F.floor((F.col("ts") - F.col("__since")) / HEARTBEAT)
-    seen = F.struct(F.col("__since").alias("since"), beat.alias("beat"))
-    rows = rows.withColumn("__beat", F.max(F.when(quiet, seen)).over(before))
-    old = F.when(F.col("__beat.since") == F.col("__since"), F.col("__beat.beat")).otherwise(0)
-    stall = (F.col("__high") > 0) & (beat > F.coalesce(old, F.lit(0)))
-    took = F.col("ts") - F.col("__since")
-    speed = F.when(grew, F.when(took > 0, (F.col("completed") - F.col("__high")) / took).otherwise(0.0))
-    return rows.where(F.col("__counts") & (~quiet | stall)).select(key, "ts", part.alias("fraction"), speed.alias("speed"))
-
-
-def with_cancels(samples: DataFrame, cancels: DataFrame, key: str = "key") -> DataFrame:
-    """Samples as they stand when transfers are cancelled, by cancels (key, ts), the first for each key: later samples do not count, and a last one is
-    added at that time, complete if all bytes had come. So a finished transfer reports its end, and any other none."""
-    first = cancels.groupBy(key).agg(F.min("ts").alias("__cancel"))
-    rows = samples.join(first, key, "left").where("__cancel IS NULL OR ts <= __cancel")
-    latest = F.max_by(F.struct("completed", "total"), F.struct("ts", "completed"))
-    ends = rows.where("__cancel IS NOT NULL").groupBy(key).agg(F.first("__cancel").alias("ts"), latest.alias("__l"), F.max("complete").alias("__done"))
-    ends = ends.where((fraction(F.col("__l.completed"), F.col("__l.total")) >= 1) & ~F.col("__done"))
-    return rows.select(key, "ts", "completed", "total", "complete").unionByName(ends.select(key, "ts", "__l.completed", "__l.total", F.lit(True).alias("complete")))
-
-
 @dataclass(frozen=True)
 class Transfer:
-    """The same for one key, a sample at a time. `step` gives the next state and the report, if there is one."""
+    """A transfer after some samples. `sample`, `cancel` and `look` (no sample, but the clock) give the next state and the report, if there is one."""
 
-    phase: str = "idle"
     high: int = 0
     since: float | None = None
-    beat: int = 0
     last: float = 0.0
-
-    def step(self, ts: float, completed: int, total: int, complete: bool = False) -> tuple[Transfer, tuple[float, float | None] | None]:
-        now = self if self.since is not None else replace(self, since=ts)
-        share = min(max(completed / total, 0.0), 1.0) if total > 0 else 0.0
-        match now._kind(completed, share, complete):
-            case "held":
-                return now, None
-            case "growth":
-                took = ts - now.since
-                speed = (completed - now.high) / took if took > 0 else 0.0
-                return Transfer("moving", completed, ts, 0, share), (share, speed)
-            case "news":
-                return replace(now, last=share), (share, None)
-        beat = math.floor((ts - now.since) / HEARTBEAT)
-        if now.phase == "idle" or beat <= now.beat:
-            return replace(now, last=share, beat=max(beat, now.beat)), None
-        return replace(now, phase="stalled", beat=beat, last=share), (share, None)
-
-    def _kind(self, completed: int, share: float, complete: bool) -> str:
+    stalled: float | None = None
+    completed: int = 0
+    total: int = 0
+    ended: bool = False
+
+    def sample(self, ts: float, completed: int, total: int, complete: bool = False) -> tuple[Transfer, Report | None]:
+        if self.ended:
+            return self, None
+        now = replace(self, since=ts if self.since is None else self.since, completed=completed, total=total, ended=complete)
+        share = min(max(completed / total, 0.0), 1.0) if total > 0 else float(complete)
         if share >= 1 and not complete:
-            return "held"
+            return now, None
         if completed > self.high:
-            return "growth"
-        return "quiet" if not complete and completed == self.high and abs(share - self.last) < MOVED else "news"
+            took = ts - now.since
+            return replace(now, high=completed, since=ts, last=share, stalled=None), (ts, share, (completed - self.high) / took if took > 0 else 0.0)
+        if complete or completed < self.high or abs(share - self.last) >= MOVED:
+            return replace(now, last=share), (ts, share, None)
+        quiet_since = now.since if self.stalled is None else self.stalled
+        if self.high > 0 and ts - quiet_since >= HEARTBEAT:
+            return replace(now, stalled=ts, last=share), (ts, share, None)
+        return now, None
+
+    def look(self, ts: float) -> tuple[Transfer, Report | None]:
+        return (self, None) if self.since is None else self.sample(ts, self.completed, self.total)
+
+    def cancel(self, ts: float) -> tuple[Transfer, Report | None]:
+        if not self.ended and self.total > 0 and self.completed >= self.total:
+            return self.sample(ts, self.completed, self.total, True)
+        return replace(self, ended=True), None
+
+
+def _events(samples: DataFrame, cancels: DataFrame | None, key: str) -> DataFrame:
+    """(key, ts, completed, total, complete, cancel); a cancel comes after the samples of its time."""
+    rows = samples.select(key, "ts", "completed", "total", F.coalesce("complete", F.lit(False)).alias("complete"), (F.col("cancel") if "cancel" in samples.columns else F.lit(False)).alias("cancel"))
+    if cancels is None:
+        return rows
+    none = F.lit(None).cast("long")
+    return rows.unionByName(cancels.select(key, "ts", none.alias("completed"), none.alias("total"), F.lit(False).alias("complete"), F.lit(True).alias("cancel")))
+
+
+def reports(samples: DataFrame, key: str = "key", cancels: DataFrame | None = None) -> DataFrame:
+    """All reports (key, ts, fraction, speed) of samples (key, ts, completed, total, complete) and cancels (key, ts), in batch. Memory is that of one Arrow
+    batch, however many samples a key has. Samples may have their cancels among them, in a boolean column `cancel`."""
+    rows = _events(samples, cancels, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, of = Transfer(), object()
+        for batch in batches:
+            out = []
+            for k, ts, completed, total, complete, cancel in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != of:
+                    machine, of = Transfer(), k
+                machine, report = machine.cancel(ts) if cancel else machine.sample(ts, completed, total, complete)
+                if report:
+                    out.append((k, *report))
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((batch.schema.field(0).type, *[pa.float64()] * 3))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "ts", "fraction", "speed"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    ordered = rows.repartition(key).sortWithinPartitions(key, "ts", "cancel", "completed", "complete")
+    return ordered.mapInArrow(run, f"{key} {kind}, ts double, fraction double, speed double")
 
 
 class _Processor(StatefulProcessor):
-    """Keeps a key's machine, and lets it look at the clock from a timer when no sample comes."""
+    """Keeps a key's machine, and lets it look at the clock from one timer when no sample comes."""
+
+    def __init__(self, forget: int, clock: bool):
+        self.forget, self.clock = forget, clock
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("transfer", "phase string, high bigint, since double, beat bigint, last double, total bigint")
+        kept = "high bigint, since double, last double, stalled double, completed bigint, total bigint, ended boolean, timer bigint"
+        self.kept = handle.getValueState("transfer", kept, self.forget)
 
-    def _follow(self, key, timer, samples: list[tuple[float, int | None, int | None, bool]]) -> pd.DataFrame:
-        found = self.kept.get()
-        machine, total = (Transfer(*found[:5]), found[5]) if found is not None else (Transfer(), 0)
+    def _follow(self, key, timer, steps) -> Iterator[pd.DataFrame]:
+        found = self.kept.get() if self.kept.exists() else None
+        machine, due = (Transfer(*found[:7]), found[7]) if found is not None else (Transfer(), None)
         out = []
-        for ts, completed, new_total, complete in samples:
-            total = total if new_total is None else new_total
-            machine, report = machine.step(ts, machine.high if completed is None else completed, total, complete)
+        for step in steps:
+            machine, report = step(machine)
             if report:
-                out.append((key[0], ts, *report))
-        self.kept.update((*asdict(machine).values(), total))
-        if machine.last < 1:
-            self.handle.registerTimer(timer.getCurrentProcessingTimeInMs() + int(1000 * HEARTBEAT))
-        return pd.DataFrame(out, columns=["key", "ts", "fraction", "speed"])
+                out.append((key[0], *report))
+        if due is not None:
+            self.handle.deleteTimer(due)
+        due = None
+        if self.clock and not machine.ended:
+            due = timer.getCurrentProcessingTimeInMs() + int(1000 * HEARTBEAT)
+            self.handle.registerTimer(due)
+        self.kept.update((*astuple(Transfer(ended=True) if machine.ended else machine), due))
+        yield pd.DataFrame(out, columns=["key", "ts", "fraction", "speed"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        samples = pd.concat(list(rows)).sort_values(["ts", "completed", "complete"], kind="stable")
-        yield self._follow(key, timerValues, [(float(r.ts), int(r.completed), int(r.total), bool(r.complete)) for r in samples.itertuples()])
+        events = pd.concat(list(rows)).sort_values(["ts", "cancel", "completed", "complete"], kind="stable")
+        cancel = lambda ts: lambda m: m.cancel(ts)
+        sample = lambda *x: lambda m: m.sample(*x)
+        steps = [cancel(float(r.ts)) if r.cancel else sample(float(r.ts), int(r.completed), int(r.total), bool(r.complete)) for r in events.itertuples()]
+        return self._follow(key, timerValues, steps)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._follow(key, timerValues, [(timerValues.getCurrentProcessingTimeInMs() / 1000, None, None, False)])
+        now = timerValues.getCurrentProcessingTimeInMs() / 1000
+        return self._follow(key, timerValues, [lambda m: m.look(now)])
 
     def close(self) -> None:
         pass
 
 
-def stream_reports(samples: DataFrame) -> DataFrame:
-    """The same for a stream of samples (key, ts, completed, total, complete); a query stops like any other. What is held back is never
-    reported by stopping: a transfer that was cancelled reports its end only if a complete sample had come."""
-    return samples.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Processor(), outputStructType="key long, ts double, fraction double, speed double", outputMode="Append", timeMode="ProcessingTime"
+def stream_reports(samples: DataFrame, cancels: DataFrame | None = None, forget_ms: int = FORGET, clock: bool = True) -> DataFrame:
+    """The same for a stream of samples (key, ts, completed, total, complete) with, or beside, a stream of cancels. Without `clock` stalls are
+    only reported by samples, as in batch. Within a micro-batch rows go by ts; later ones go on from where the key is."""
+    return _events(samples, cancels, "key").groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_Processor(forget_ms, clock), outputStructType="key long, ts double, fraction double, speed double", outputMode="Append", timeMode="ProcessingTime"
     )
 
 

@@ -11,7 +11,6 @@ from tessera.config import Config
 from tessera.operators import generate, logits
 from tessera.plans import chat
 from tessera.sources import files, tensors
-from tessera.streaming import progress, tokens
 
 
 def test_config():
@@ -212,6 +211,27 @@ def test_generation(spark):
     assert again[0] == again[1] and all(0 <= i < 10 for ids in again[0] for i in ids)
 
 
+def test_generation_by_a_table(spark):
+    """Paths by doubling are the walk, to an end token, a token without a row, or any number of steps."""
+    rng = np.random.default_rng(2)
+    table = {t: int(rng.integers(0, 40)) for t in range(36)}
+    transitions = spark.createDataFrame(list(table.items()), "token_id long, next_id long")
+    prompts = spark.createDataFrame([(i, i % 41) for i in range(90)], "seq_id long, token_id long")
+    for n, eos in ((1, None), (5, None), (8, table[3]), (37, table[0])):
+        expected = []
+        for i in range(90):
+            now, step = i % 41, 0
+            expected.append((i, 0, now))
+            while step < n and table.get(now) is not None and table[now] != eos:
+                now, step = table[now], step + 1
+                expected.append((i, step, now))
+        rows = generate.follow(prompts, transitions, n, eos_token_id=eos)
+        assert sorted(map(tuple, rows.select("seq_id", "step", "token_id").collect())) == expected
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    with pytest.raises(ValueError):
+        generate.paths(transitions, 0)
+
+
 def test_stateful_model():
     calls = []
 
@@ -237,79 +257,6 @@ def test_text_generation(spark):
     assert generate.generate_text(prompts, tokenizer, always, logits.GenerationConfig(), 3).head().text == "the baaa"
 
 
-def followed(samples):
-    machine, out = progress.Transfer(), []
-    for x in samples:
-        machine, report = machine.step(*x)
-        out.append(report)
-    return out
-
-
-def test_progress():
-    samples = [(0.0, 0, 100), (1.0, 10, 100), (1.5, 10, 100), (2.0, 10, 100), (2.5, 10, 100), (3.0, 10, 100), (4.0, 60, 100), (5.0, 100, 100), (5.0, 100, 100, True)]
-    assert followed(samples) == [None, (0.1, 10.0), None, (0.1, None), None, (0.1, None), (0.6, 50 / 3), None, (1.0, 40.0)]
-    assert followed([(0.0, 0, 0), (9.0, 0, 0), (10.0, 0, 0)]) == [None] * 3  # idle: no bytes yet, no stall
-
-
-def test_progress_windows_are_the_machine(spark):
-    rng = np.random.default_rng(9)
-    rows = []
-    for key in range(60):
-        ts, done = 0.0, 0
-        total = int(rng.integers(1, 400))
-        for _ in range(int(rng.integers(1, 25))):
-            ts = round(ts + float(rng.choice([0.1, 0.4, 0.7, 2.5])), 1)
-            done = int(max(0, done + rng.choice([0, 0, 0, 1, 40, -5])))
-            rows.append((key, ts, done, total, bool(rng.random() < 0.1)))
-    found = sorted(map(tuple, progress.reports(spark.createDataFrame(rows, SCHEMA)).collect()))
-    expected = []
-    for key in range(60):
-        own = sorted(r[1:] for r in rows if r[0] == key)
-        expected += [(key, x[0], *report) for x, report in zip(own, followed(own), strict=True) if report]
-    assert [r[:2] for r in found] == [r[:2] for r in expected]
-    assert [r[2:] for r in found] == [pytest.approx(r[2:]) for r in expected]
-
-
-SAMPLES = [(1, 0.0, 0, 100, False), (1, 1.0, 10, 100, False), (1, 1.5, 10, 100, False), (2, 0.0, 5, 10, False), (2, 1.0, 10, 10, True)]
-SCHEMA = "key long, ts double, completed long, total long, complete boolean"
-EXPECTED = [(1, 1.0, 0.1, 10.0), (2, 0.0, 0.5, 0.0), (2, 1.0, 1.0, 5.0)]
-
-
-def test_progress_in_batch(spark):
-    df = spark.createDataFrame(SAMPLES, SCHEMA)
-    assert sorted(tuple(r) for r in progress.reports(df).collect()) == EXPECTED
-    assert sorted((r.key, r.delta, r.speed) for r in progress.changes(df).collect()) == [(1, 10, 10.0), (2, 5, 0.0), (2, 5, 5.0)]
-
-
-def test_progress_as_a_stream(spark, tmp_path):
-    spark.createDataFrame(SAMPLES, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = progress.stream_reports(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("reports").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        # timers keep the query busy, so this waits for the rows, not for the end of input
-        for _ in range(60):
-            found = {tuple(r) for r in spark.sql("SELECT * FROM reports").collect()}
-            if set(EXPECTED) <= found or q.exception():
-                break
-            q.awaitTermination(1)
-        assert set(EXPECTED) <= found, q.exception()
-    finally:
-        q.stop()
-
-
-def test_tokens_as_a_stream(spark, tmp_path):
-    spark.createDataFrame([(1, [0])], "seq_id long, ids array<long>").write.parquet(str(tmp_path / "in"))
-    found = []
-    prompts = spark.readStream.schema("seq_id long, ids array<long>").parquet(str(tmp_path / "in"))
-    q = tokens.stream_tokens(prompts, mock, logits.GenerationConfig(max_length=4), lambda df, n: found.extend(df.collect()), checkpoint=str(tmp_path / "c"))
-    try:
-        q.processAllAvailable()
-        assert [list(r.ids) for r in sorted(found, key=lambda r: r.step)] == [[0, 5], [0, 5, 3], [0, 5, 3, 5]]
-    finally:
-        q.stop()
-
-
 def test_pad(spark):
     row = spark.createDataFrame([([5, 6],)], "ids array<long>").select(*generate.pad(F.col("ids"), 4)).head()
     assert [list(x) for x in row] == [[5, 6, 0, 0], [1, 1, 0, 0]]
@@ -344,14 +291,6 @@ def test_language_model(spark, tmp_path):
         LanguageModel("x", scores, model.model_config, files.Config(), model.tokenizer_data).tokenizer
 
 
-def test_cancelled_transfers(spark):
-    schema = "key long, ts double, completed long, total long, complete boolean"
-    samples = [(1, 0.0, 5, 10, False), (1, 1.0, 10, 10, False), (2, 0.0, 5, 10, False), (2, 3.0, 10, 10, True), (3, 0.0, 10, 10, True), (4, 0.0, 10, 10, False)]
-    cancels = spark.createDataFrame([(1, 2.0), (1, 9.0), (2, 2.0), (3, 2.0)], "key long, ts double")
-    found = progress.reports(progress.with_cancels(spark.createDataFrame(samples, schema), cancels)).collect()
-    assert sorted((r.key, r.ts, r.fraction) for r in found) == [(1, 0.0, 0.5), (1, 2.0, 1.0), (2, 0.0, 0.5), (3, 0.0, 1.0)]
-
-
 def test_materialized_snapshot(spark, tmp_path):
     a, b = tmp_path / "a", tmp_path / "b"
     (a / "sub").mkdir(parents=True)

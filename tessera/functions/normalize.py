@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.functions.text import CJK, WHITE_SPACE, Step
+from tessera.functions.unicode_forms import normal
 
 _REGISTRY: dict[str, Callable[[Config], list[Step]]] = {}
 
@@ -57,7 +58,7 @@ def lowercase() -> Step:
 
 def form(name: str) -> Step:
     """NFC, NFD, NFKC or NFKD."""
-    return Step(python=lambda x: unicodedata.normalize(name, x))
+    return Step(lambda c: normal(c, name))
 
 
 def clean() -> Step:
@@ -93,12 +94,11 @@ def charsmap() -> list[Step]:
     spaces = r"[\x09\x0A\x0C\x0D\x{1680}\x{200B}-\x{200F}\x{2028}\x{2029}\x{2581}\x{FEFF}\x{FFFD}]"
     tilde = "～"
 
-    def compatible(x: str) -> str:
-        if tilde not in x:
-            return unicodedata.normalize("NFKC", x)
-        return tilde.join(unicodedata.normalize("NFKC", p) for p in x.split(tilde) if p)
+    def compatible(c):
+        parts = F.transform(F.filter(F.split(c, tilde), lambda p: p != ""), lambda p: normal(p, "NFKC"))
+        return F.when(c.contains(tilde), F.array_join(parts, tilde)).otherwise(normal(c, "NFKC"))
 
-    return [Step(lambda c: F.regexp_replace(F.regexp_replace(c, dropped, ""), spaces, " ")), Step(python=compatible)]
+    return [Step(lambda c: F.regexp_replace(F.regexp_replace(c, dropped, ""), spaces, " ")), Step(compatible)]
 
 
 @register("Sequence")

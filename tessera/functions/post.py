@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.config import Config
+from tessera.functions.text import BLANK, WHITE_SPACE
 
 Post = Callable[[Column, Column | None, bool], Column]
 _REGISTRY: dict[str, Callable[[Config], Post]] = {}
@@ -85,14 +86,14 @@ def bert(cls: str, sep: str, one: Callable[[str], Column] = _one) -> Post:
 
 
 def roberta(cls: str, sep: str, trim: bool = True, prefix_space: bool = True) -> Post:
-    """Special tokens are added whatever the flag says. Trimming leaves one space on each side with `prefix_space`, else none."""
+    """Special tokens are added whatever the flag says. Trimming leaves one white space on each side with `prefix_space`; else none, but keeps line feeds."""
 
     def trimmed(tokens: Column) -> Column:
         if not trim:
             return tokens
         if prefix_space:
-            return F.transform(tokens, lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s*(\s)", "$1"), r"(\s)\s*$", "$1"))
-        return F.transform(tokens, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+            return F.transform(tokens, lambda x: F.regexp_replace(F.regexp_replace(x, rf"^[{WHITE_SPACE}]*([{WHITE_SPACE}])", "$1"), rf"([{WHITE_SPACE}])[{WHITE_SPACE}]*\z", "$1"))
+        return F.transform(tokens, lambda x: F.regexp_replace(x, rf"^[{BLANK}]+|[{BLANK}]+\z", ""))
 
     def post(tokens: Column, other: Column | None = None, add_special: bool = True) -> Column:
         out = F.concat(_one(cls), trimmed(tokens), _one(sep))

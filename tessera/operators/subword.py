@@ -9,8 +9,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import pickle
+import sys
 from collections.abc import Callable, Iterable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 from tessera.functions.normalize import without_marks
 from tessera.functions.text import BLANK, CJK, PUNCTUATION, python_class
 
-#: Pieces that a worker remembers.
-REMEMBERED = 200_000
+#: Bytes, by estimate, of the pieces that a worker remembers of a model, and characters beyond which it does not remember one.
+REMEMBERED, LONGEST = 64 << 20, 200
+#: Bytes of pieces that are worked on at once.
+HELD = 8 << 20
 
 TOKENS = T.ArrayType(T.StringType())
 IDS = T.ArrayType(T.LongType())
@@ -112,7 +114,8 @@ class Bpe(Model):
         out: list[str] = []
         for p in self.merge(piece):
             known = self.vocab.get(p)
-            out += [p] if known is not None and known != self.unk_id else [f"<0x{b:02X}>" for b in p.encode()]
+            # one string for all its places, so that a long piece does not hold one for each
+            out += [sys.intern(p)] if known is not None and known != self.unk_id else [f"<0x{b:02X}>" for b in p.encode()]
         return out
 
 
@@ -227,8 +230,22 @@ class Unigram(Model):
         return out[::-1]
 
 
-def _remembered(f: Callable[[str], list[str]]) -> Callable[[str], tuple[str, ...]]:
-    return lru_cache(REMEMBERED)(lambda x: tuple(f(x)))
+class _Kept:
+    """What a function gave for short pieces; all is forgotten when it gets too much. Texts that are one long piece are not kept."""
+
+    def __init__(self, f: Callable[[str], list[str]]):
+        self.f, self.kept, self.size = f, {}, 0
+
+    def __call__(self, piece: str) -> tuple[str, ...]:
+        found = self.kept.get(piece)
+        if found is None:
+            found = tuple(self.f(piece))
+            if len(piece) <= LONGEST:
+                self.size += 200 + len(piece) + 70 * len(found)
+                if self.size > REMEMBERED:
+                    self.kept, self.size = {}, 0
+                self.kept[piece] = found
+        return found
 
 
 #: What this worker remembers of a few models, by their digest.
@@ -245,7 +262,7 @@ class _Lazy:
         if self.key not in _MADE:
             while len(_MADE) >= 3:
                 _MADE.pop(next(iter(_MADE)))
-            _MADE[self.key] = _remembered(self.model.tokens)
+            _MADE[self.key] = _Kept(self.model.tokens)
         return _MADE[self.key]
 
 
@@ -268,6 +285,21 @@ def escaped(text: Column, pieces: Column) -> Column:
     return F.when(text.rlike(marks), F.transform(pieces, one)).otherwise(pieces)
 
 
+def _in_parts(rows: pa.Array, run: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """What a function gives for lists of pieces, some MB of pieces at a time; a longer row is alone."""
+    flat, sizes = _flat(rows)
+    bytes_at = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    ends = bytes_at[np.cumsum(sizes)]
+    if not len(ends) or ends[-1] <= HELD:
+        return run(rows)
+    out, at = [], 0
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, "right")))
+        out.append(run(rows.slice(at, end - at)))
+        at = end
+    return pa.concat_arrays(out)
+
+
 class _Batch:
     """Tokens of a batch's pieces: positions in the tokens of its distinct pieces, and how many each row has."""
 
@@ -306,11 +338,14 @@ def tokenize(model: Model, piece: Callable[[str], str] = _same, fuse: bool = Fal
     only the first of unknowns in a row within a section stays."""
     known = _Lazy(model)
 
-    @F.arrow_udf(TOKENS)
-    def run(rows: pa.Array) -> pa.Array:
+    def part(rows: pa.Array) -> pa.Array:
         b = _Batch(rows, model, known.get(), piece, fuse, marked)
         return _lists(rows, pa.array(b.tokens, pa.string()).take(pa.array(b.at)), b.sizes)
 
+    @F.arrow_udf(TOKENS)
+    def run(rows: pa.Array) -> pa.Array:
+        return _in_parts(rows, part)
+
     return run
 
 
@@ -318,14 +353,17 @@ def encode(model: Model, piece: Callable[[str], str] = _same, marked: bool = Fal
     """Array of pieces to array of ids, as `ids` of `tokenize` gives them, with unknowns fused where the model says so."""
     known = _Lazy(model)
 
-    @F.arrow_udf(IDS)
-    def run(rows: pa.Array) -> pa.Array:
+    def part(rows: pa.Array) -> pa.Array:
         b = _Batch(rows, model, known.get(), piece, model.fuse, marked)
         of = [model.vocab.get(t, model.unk_id) if t is not None else -1 for t in b.tokens]
         if None in of:
             raise ValueError(f"no id for the token {b.tokens[of.index(None)]!r}, and no unknown token")
         return _lists(rows, pa.array(np.array(of, dtype=np.int64)[b.at]), b.sizes)
 
+    @F.arrow_udf(IDS)
+    def run(rows: pa.Array) -> pa.Array:
+        return _in_parts(rows, part)
+
     return run
 
 
@@ -333,8 +371,7 @@ def count_tokens(model: Model, piece: Callable[[str], str] = _same, only: str |
     """The number of tokens of an array of pieces, or of those that are the one given."""
     known = _Lazy(model)
 
-    @F.arrow_udf(T.LongType())
-    def run(rows: pa.Array) -> pa.Array:
+    def part(rows: pa.Array) -> pa.Array:
         b = _Batch(rows, model, known.get(), piece, model.fuse, marked)
         if only is None:
             return pa.array(b.sizes, pa.int64(), mask=rows.is_null().to_numpy(zero_copy_only=False))
@@ -342,6 +379,10 @@ def count_tokens(model: Model, piece: Callable[[str], str] = _same, only: str |
         row = np.repeat(np.arange(len(b.sizes)), b.sizes)
         return pa.array(np.bincount(row[hit], minlength=len(b.sizes)), pa.int64(), mask=rows.is_null().to_numpy(zero_copy_only=False))
 
+    @F.arrow_udf(T.LongType())
+    def run(rows: pa.Array) -> pa.Array:
+        return _in_parts(rows, part)
+
     return run
 
 

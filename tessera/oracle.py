@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from tessera.functions.text import BYTES
 from tessera.operators import vocabularies
 
@@ -192,6 +194,25 @@ def _joined(e: str) -> str:
     return f"SELECT doc_id, array_to_string({e}, '') AS text FROM {_SPLIT}"
 
 
+_CHARSMAP = "regexp_replace(regexp_replace(text, '[\\x01-\\x08\\x0B\\x0E-\\x1F\\x7F\\x{8F}\\x{9F}]', '', 'g'), '[\\x09\\x0A\\x0C\\x0D\\x{1680}\\x{200B}-\\x{200F}\\x{2028}\\x{2029}\\x{2581}\\x{FEFF}\\x{FFFD}]', ' ', 'g')"
+
+
+def _decomposed(name: str) -> str:
+    """Texts by characters, each joined with its decomposition, and marks ordered by class within what begins with a class of 0."""
+    changed = [(c, unicodedata.normalize(name, c)) for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x2FA1E)))]
+    table = ", ".join(f"({ord(c)}, {_s(d)})" for c, d in changed if c != d and not 0xAC00 <= ord(c) < 0xD7A4)
+    marks = ", ".join(f"({c}, {k})" for c in range(0x300, 0x1E94B) if (k := unicodedata.combining(chr(c))))
+    return f"""dec(c, d) AS (VALUES {table}), ccc(c, k) AS (VALUES {marks}),
+ch AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(string_split(text, '')) AS x, unnest(range(length(text))) AS i FROM documents) WHERE x <> ''),
+de AS (SELECT doc_id, i, j, y FROM (SELECT doc_id, i, unnest(string_split(coalesce(d, x), '')) AS y, unnest(range(length(coalesce(d, x)))) AS j FROM ch LEFT JOIN dec ON c = unicode(x))),
+gr AS (SELECT doc_id, i, j, y, coalesce(k, 0) AS k, sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i, j) AS g FROM de LEFT JOIN ccc ON c = unicode(y)),
+form AS (SELECT doc_id, string_agg(y, '' ORDER BY g, k, i, j) AS form FROM gr GROUP BY doc_id)"""
+
+
+def _form(name: str, form: str = "form") -> str:
+    return f"WITH {_decomposed(name)} SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce({form}, '') END AS text FROM documents LEFT JOIN form USING (doc_id)"
+
+
 # DuckDB's JSON functions in place of VARIANTs; numbers keep their text
 _SETTINGS = """k AS (SELECT o_orderkey, [CAST(o_custkey AS VARCHAR), CAST(floor(o_totalprice) AS BIGINT) || '.25', '"' || o_orderpriority || '"', 'true', 'null', '"T"',
   '["<s>",' || o_custkey || ']', '[' || o_custkey || ',"<s>"]', '{"a":1,"b":[1,2.5,"x,]"]}', '"0"', '1'] AS kinds, o_orderstatus, o_custkey FROM orders),
@@ -223,6 +244,12 @@ SQL = {
     "norm_bert": _text(f"lower(strip_accents({_BERT_NORM}))"),
     "norm_bert_cased": _text(_BERT_NORM),
     "norm_nfc": _text("nfc_normalize(text)"),
+    "norm_nfd": _form("NFD"),
+    "norm_nfkd": _form("NFKD"),
+    "norm_nfkc": _form("NFKD", "nfc_normalize(form)"),
+    "norm_strip_accents": _form("NFKD", "nfc_normalize(form)"),
+    # no text holds a fullwidth tilde
+    "norm_precompiled": _form("NFKD", "nfc_normalize(form)").replace("FROM documents) WHERE x", f"FROM (SELECT doc_id, {_CHARSMAP} AS text FROM documents)) WHERE x"),
     "norm_sequence": _text("'>' || replace(lower(text), '.', ' .')"),
     "bpe_merge": _word_tokens(_bpe(f"SELECT {_bytes('word')} AS piece FROM w")).replace("SELECT word, ts FROM w JOIN tokens ON piece = word", f"SELECT word, ts FROM w JOIN tokens ON piece = {_bytes('word')}"),
     "wp_wordpiece": _word_tokens(_wordpiece("SELECT word AS piece FROM w")),

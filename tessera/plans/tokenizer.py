@@ -135,7 +135,8 @@ class Tokenizer:
         """The text split at added tokens, longest first; lstrip and rstrip take the white space beside them along. Without added tokens, one section."""
         if not self.added:
             return F.array(text)
-        one = lambda c, left, right: ("\\s*" if left else "") + f"({re.escape(c)})" + ("\\s*" if right else "")
+        space = f"[{t.WHITE_SPACE}]*"
+        one = lambda c, left, right: (space if left else "") + f"({re.escape(c)})" + (space if right else "")
         java = "|".join(one(*a) for a in self.added)
         group = "".join(f"${i + 1}" for i in range(len(self.added)))
         return t.between(text, java, lambda x: F.regexp_replace(x, java, group))

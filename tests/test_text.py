@@ -120,6 +120,10 @@ def test_postprocessors(spark):
     cls = {"cls": ["<s>", 0], "sep": ["</s>", 2]}
     roberta = post.postprocessor({"type": "RobertaProcessing", **cls})
     assert one(spark, roberta(F.col("a"), F.col("b"), False), a, b) == ["<s>", " x ", "y", "</s>", "</s>", "z", "</s>"]
+    odd = ["\u00a0\u3000x\u2003\u00a0", "\n\u00a0 y\n", "\u3000", "\u200bz\u200b"]
+    assert one(spark, roberta(F.col("a"), None, True), odd, []) == ["<s>", "\u3000x\u2003", " y\n", "\u3000", "\u200bz\u200b", "</s>"]
+    bare = post.postprocessor({"type": "RobertaProcessing", **cls, "add_prefix_space": False})
+    assert one(spark, bare(F.col("a"), None, True), odd, []) == ["<s>", "x", "\n\u00a0 y\n", "", "\u200bz\u200b", "</s>"]
     assert one(spark, post.postprocessor({"type": "RobertaProcessing", "add_prefix_space": False, **cls})(F.col("a"), None, True), a) == ["<s>", "x", "y", "</s>"]
     bert = post.postprocessor({"type": "BertProcessing", **cls})
     assert one(spark, bert(F.col("a"), F.col("b"), True), a, b) == ["<s>", *a, "</s>", "z", "</s>"]

@@ -10,7 +10,9 @@ import hashlib
 import heapq
 import pickle
 import sys
-from collections.abc import Callable, Iterable
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,10 @@ class Model:
     def tokens(self, piece: str) -> list[str]:
         raise NotImplementedError
 
+    def many(self, pieces: list[str]) -> list[tuple[str, ...]]:
+        """The tokens of each piece."""
+        return [tuple(self.tokens(p)) for p in pieces]
+
     def id(self, token: str) -> int | None:
         return self.vocab.get(token, self.unk_id)
 
@@ -197,6 +203,62 @@ class Trie:
                 yield text[at : i + 1]
 
 
+class FlatTrie:
+    """Entries as a double array: from state s a character with the number c leads to base[s] + c, if check[base[s] + c] is s. `value` is the place of
+    the entry that ends in a state, or -1. The root is state 0; characters that occur in no entry have the number 0."""
+
+    def __init__(self, entries: list[str]):
+        trie, at = Trie(entries), {e: i for i, e in enumerate(entries)}
+        alphabet = sorted({c for e in entries for c in e})
+        numbers = {c: i for i, c in enumerate(alphabet, 1)}
+        self.number = np.zeros(ord(alphabet[-1]) + 2 if alphabet else 1, dtype=np.int32)
+        self.number[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        # room for all states, and for the children of any beyond them
+        size = sum(map(len, entries)) + len(alphabet) + 2
+        base, check, value = np.zeros(2 * size, dtype=np.int32), np.full(2 * size, -1, dtype=np.int32), np.full(2 * size, -1, dtype=np.int32)
+        taken = bytearray(2 * size)
+        taken[0], free = 1, 1
+        queue = deque([(trie.root, 0, "")])
+        while queue:
+            node, state, prefix = queue.popleft()
+            if "" in node:
+                value[state] = at[prefix]
+            children = sorted((numbers[c], c) for c in node if c)
+            if not children:
+                continue
+            free = taken.index(0, free)
+            first, slot = children[0][0], free
+            while slot < first or any(taken[slot - first + k] for k, _ in children):
+                slot = taken.index(0, slot + 1)
+            base[state] = slot - first
+            for k, c in children:
+                to = slot - first + k
+                taken[to], check[to] = 1, state
+                queue.append((node[c], to, prefix + c))
+        used = taken.rindex(1) + len(alphabet) + 1
+        self.base, self.check, self.value = base[:used], check[:used], value[:used]
+
+    def codes(self, text: str) -> np.ndarray:
+        """The numbers of a text's characters."""
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        return self.number[np.minimum(code, len(self.number) - 1)]
+
+    def step(self, states: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after one more character, and whether there is one."""
+        to = self.base[states] + codes
+        return to, (self.check[to] == states) & (codes > 0)
+
+    def prefixes(self, text: str, at: int = 0) -> Iterator[str]:
+        """Entries that the text has at a place, shortest first."""
+        state = 0
+        for i, c in enumerate(self.codes(text[at:]).tolist(), at + 1):
+            state, parent = int(self.base[state]) + c, state
+            if not c or self.check[state] != parent:
+                return
+            if self.value[state] >= 0:
+                yield text[at:i]
+
+
 class Unigram(Model):
     """The path of pieces with the greatest sum of scores, in 32-bit floats. At a character without a piece of its own, an unknown
     of length 1 with the least score less 10. Of equal paths the one whose last piece is longest, at each place."""
@@ -207,15 +269,73 @@ class Unigram(Model):
         super().__init__({p: i for i, (p, _) in enumerate(pieces)}, pieces[unk_id][0], fuse=True)
         self.scores = {p: np.float32(s) for p, s in pieces}
         self.unk_score = np.float32(min(s for _, s in pieces)) - np.float32(10)
-        self.trie = Trie(p for p, _ in pieces)
+        self.trie = FlatTrie([p for p, _ in pieces])
+        self.score_of = np.array([s for _, s in pieces], dtype=np.float32)
+
+    def many(self, pieces: list[str]) -> list[tuple[str, ...]]:
+        """Short pieces side by side, by one character of all of them at a time; long ones alone."""
+        out: list[tuple[str, ...] | None] = [None if len(p) <= LONGEST else tuple(self.tokens(p)) for p in pieces]
+        short = sorted((i for i, p in enumerate(pieces) if out[i] is None), key=lambda i: -len(pieces[i]))
+        for i, tokens in zip(short, self._side_by_side([pieces[i] for i in short]), strict=True):
+            out[i] = tokens
+        return out
+
+    def _side_by_side(self, pieces: list[str]) -> Iterator[tuple[str, ...]]:
+        """Of pieces from long to short."""
+        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        codes, begins = self.trie.codes("".join(pieces)), np.cumsum(sizes) - sizes
+        # one more place than characters in each piece
+        places = begins + np.arange(len(pieces))
+        best = np.full(len(codes) + len(pieces), -np.inf, dtype=np.float32)
+        back = np.zeros(len(best), dtype=np.int32)
+        best[places] = 0
+
+        def offer(to: np.ndarray, total: np.ndarray, at: int) -> None:
+            # starts ascend, so at equal scores the earlier start, the longer piece, stays
+            more = total > best[to]
+            best[to[more]], back[to[more]] = total[more], at
+
+        for at in range(int(sizes[0]) if len(sizes) else 0):
+            open_ = np.arange(np.searchsorted(-sizes, -at, "left"))
+            here, states, alone = best[places[open_] + at], np.zeros(len(open_), dtype=np.int32), np.ones(len(open_), dtype=bool)
+            length = 0
+            while len(open_):
+                states, found = self.trie.step(states, codes[begins[open_] + at + length])
+                open_, states = open_[found], states[found]
+                length += 1
+                entry = self.trie.value[states]
+                ends = open_[entry >= 0]
+                if length == 1:
+                    alone[ends] = False
+                offer(places[ends] + at + length, here[ends] + self.score_of[entry[entry >= 0]], at)
+                inside = at + length < sizes[open_]
+                open_, states = open_[inside], states[inside]
+            unknown = np.flatnonzero(alone)
+            offer(places[unknown] + at + 1, here[unknown] + self.unk_score, at)
+        back_of = back.tolist()
+        for piece, place in zip(pieces, places.tolist(), strict=True):
+            tokens, end = [], len(piece)
+            while end:
+                begin = back_of[place + end]
+                tokens.append(piece[begin:end])
+                end = begin
+            yield tuple(tokens[::-1])
 
     def tokens(self, piece: str) -> list[str]:
-        n = len(piece)
+        n, trie = len(piece), self.trie
+        codes, base, check, value = trie.codes(piece).tolist(), trie.base, trie.check, trie.value
         best: list[np.float32 | None] = [None] * (n + 1)
         back: list[int] = [0] * (n + 1)
         best[0] = np.float32(0)
         for at in range(n):
-            found = {len(p): self.scores[p] for p in self.trie.prefixes(piece, at)}
+            found, state = {}, 0
+            for end in range(at, n):
+                to = base.item(state) + codes[end]
+                if not codes[end] or check.item(to) != state:
+                    break
+                state = to
+                if (entry := value.item(state)) >= 0:
+                    found[end + 1 - at] = self.score_of[entry]
             if 1 not in found:
                 found[1] = self.unk_score
             for size, s in found.items():
@@ -231,25 +351,26 @@ class Unigram(Model):
 
 
 class _Kept:
-    """What a function gave for short pieces; all is forgotten when it gets too much. Texts that are one long piece are not kept."""
+    """What a model gave for short pieces; all is forgotten when it gets too much. Texts that are one long piece are not kept."""
 
-    def __init__(self, f: Callable[[str], list[str]]):
-        self.f, self.kept, self.size = f, {}, 0
-
-    def __call__(self, piece: str) -> tuple[str, ...]:
-        found = self.kept.get(piece)
-        if found is None:
-            found = tuple(self.f(piece))
-            if len(piece) <= LONGEST:
-                self.size += 200 + len(piece) + 70 * len(found)
+    def __init__(self, model: Model):
+        self.model, self.kept, self.size = model, {}, 0
+
+    def many(self, pieces: list[str]) -> list[tuple[str, ...]]:
+        found = [self.kept.get(p) for p in pieces]
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(missing, self.model.many([pieces[i] for i in missing]), strict=True):
+            found[i] = x
+            if len(pieces[i]) <= LONGEST:
+                self.size += 200 + len(pieces[i]) + 70 * len(x)
                 if self.size > REMEMBERED:
                     self.kept, self.size = {}, 0
-                self.kept[piece] = found
+                self.kept[pieces[i]] = x
         return found
 
 
 #: What this worker remembers of a few models, by their digest.
-_MADE: dict[str, Callable[[str], tuple[str, ...]]] = {}
+_MADE: dict[str, _Kept] = {}
 
 
 class _Lazy:
@@ -258,11 +379,11 @@ class _Lazy:
     def __init__(self, model: Model):
         self.model, self.key = model, hashlib.blake2b(pickle.dumps(model), digest_size=16).hexdigest()
 
-    def get(self) -> Callable[[str], tuple[str, ...]]:
+    def get(self) -> _Kept:
         if self.key not in _MADE:
             while len(_MADE) >= 3:
                 _MADE.pop(next(iter(_MADE)))
-            _MADE[self.key] = _Kept(self.model.tokens)
+            _MADE[self.key] = _Kept(self.model)
         return _MADE[self.key]
 
 
@@ -303,28 +424,31 @@ def _in_parts(rows: pa.Array, run: Callable[[pa.Array], pa.Array]) -> pa.Array:
 class _Batch:
     """Tokens of a batch's pieces: positions in the tokens of its distinct pieces, and how many each row has."""
 
-    def __init__(self, rows: pa.Array, model: Model, known: Callable[[str], tuple[str, ...]], piece: Callable[[str], str], fuse: bool, marked: bool):
+    def __init__(self, rows: pa.Array, model: Model, known: _Kept, piece: Callable[[str], str], fuse: bool, marked: bool):
         flat, sizes = _flat(rows)
         coded = flat.dictionary_encode()
-        found = []
-        for x in coded.dictionary.to_pylist():
+        distinct = coded.dictionary.to_pylist()
+        if marked:
             # a section's begin, and an added token, end a run of unknowns: None stands for that
-            if marked and x == CUT:
-                found.append((None,))
-            elif marked and x.startswith(RAW):
-                found.append((None, x[1:], None))
-            else:
-                found.append(known(piece(x.removeprefix(ESCAPE) if marked else x)))
-        self.tokens = [t for ts in found for t in ts]
+            marks = {i: (None,) if x == CUT else (None, x[1:], None) for i, x in enumerate(distinct) if x == CUT or x.startswith(RAW)}
+            rest = known.many([piece(x.removeprefix(ESCAPE)) for i, x in enumerate(distinct) if i not in marks])
+            others = iter(rest)
+            found = [marks[i] if i in marks else next(others) for i in range(len(distinct))]
+        else:
+            found = known.many(distinct if piece is _same else [piece(x) for x in distinct])
+        self.tokens = list(chain.from_iterable(found))
         n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         place = coded.indices.to_numpy(zero_copy_only=False)
         own = n[place]
         ends = np.cumsum(own)
         at = np.repeat((np.cumsum(n) - n)[place] - ends + own, own) + np.arange(int(ends[-1]) if len(ends) else 0)
         row = np.repeat(np.repeat(np.arange(len(sizes)), sizes), own)
-        keep = np.array([t is not None for t in self.tokens], dtype=bool)[at]
+        keep = np.array([t is not None for t in self.tokens], dtype=bool)[at] if marked else np.ones(len(at), dtype=bool)
         if fuse:
-            unknown = np.array([t is not None and model.vocab.get(t, model.unk_id) == model.unk_id for t in self.tokens], dtype=bool)[at]
+            ids = np.array(list(map(model.vocab.get, self.tokens, repeat(model.unk_id))), dtype=object if model.unk_id is None else np.int64)
+            unknown = (ids == model.unk_id)[at]
+            if marked:
+                unknown &= keep
             keep[1:] &= ~(unknown[1:] & unknown[:-1] & (row[1:] == row[:-1]))
         self.at, self.sizes = at[keep], np.bincount(row[keep], minlength=len(sizes))
 
@@ -355,7 +479,7 @@ def encode(model: Model, piece: Callable[[str], str] = _same, marked: bool = Fal
 
     def part(rows: pa.Array) -> pa.Array:
         b = _Batch(rows, model, known.get(), piece, model.fuse, marked)
-        of = [model.vocab.get(t, model.unk_id) if t is not None else -1 for t in b.tokens]
+        of = [-1 if t is None else i for t, i in zip(b.tokens, map(model.vocab.get, b.tokens, repeat(model.unk_id)), strict=True)] if marked else list(map(model.vocab.get, b.tokens, repeat(model.unk_id)))
         if None in of:
             raise ValueError(f"no id for the token {b.tokens[of.index(None)]!r}, and no unknown token")
         return _lists(rows, pa.array(np.array(of, dtype=np.int64)[b.at]), b.sizes)

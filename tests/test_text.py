@@ -297,3 +297,28 @@ def test_private_use_characters(spark):
         assert one(spark, made.tokenize(F.col("a")), text) == words
         assert one(spark, made.encode(F.col("a")), text) == [vocab[w] for w in words]
         assert one(spark, made.count(F.col("a")), text) == len(words)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abé中😀", min_size=1, max_size=5), min_size=1, max_size=20, unique=True), st.lists(st.text("abé中😀z\U0010ffff", max_size=260), max_size=8))
+def test_unigram_side_by_side(entries, pieces):
+    """Pieces of a batch together are the pieces alone; the flat trie is the plain one; long pieces among them."""
+    model = subword.Unigram([("<unk>", 0.0), *((e, -(1 + i % 7) / 2) for i, e in enumerate(entries))], 0)
+    assert model.many([*pieces, "ab" * 300]) == [tuple(model.tokens(p)) for p in [*pieces, "ab" * 300]]
+    plain = subword.Trie(["<unk>", *entries])
+    for p in pieces:
+        assert list(model.trie.prefixes(p, len(p) // 2)) == list(plain.prefixes(p, len(p) // 2))
+
+
+def test_white_space_beside_added_tokens(spark):
+    data = {"added_tokens": [{"id": 2, "content": "<m>", "lstrip": True, "rstrip": True}], "model": {"type": "BPE", "vocab": {"a": 0, "b": 1, "​": 3}, "merges": []}}
+    tokenizer = Tokenizer.compile(data, {"tokenizer_class": "GPT2Tokenizer"})
+    assert one(spark, tokenizer.tokenize(F.col("a")), "a 　<m> \nb​<m>") == ["a", "<m>", "b", "​", "<m>"]
+
+
+def test_remembered_pieces_are_bounded():
+    kept = subword._Kept(subword.Bpe({"a": 0, "b": 1, "ab": 2}, ["a b"]))
+    long = "ab" * 500
+    assert kept.many(["ab", long, "ab"]) == [("ab",), ("ab",) * 500, ("ab",)] and list(kept.kept) == ["ab"]
+    kept.size = subword.REMEMBERED
+    assert kept.many(["ba"]) == [("b", "a")] and list(kept.kept) == ["ba"]

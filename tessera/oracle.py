@@ -305,14 +305,15 @@ SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (token = '[UNK]') AS n_unk
     "logit_sample_u": f"WITH {_LOGITS}, {_p('logits', 'x')}, y AS (SELECT row_id, token_id, sum(p) OVER (PARTITION BY row_id ORDER BY token_id ROWS UNBOUNDED PRECEDING) AS c FROM x) SELECT row_id, coalesce(min(token_id) FILTER (c >= (row_id * 37 % 101 + 0.5) / 101), min(token_id)) AS token_id FROM y GROUP BY row_id",
     "gen_mode": """SELECT *, CASE WHEN k > 1 AND NOT sample AND coalesce(alpha, 0) > 0 THEN 'contrastive_search' WHEN beams = 1 AND beam_groups = 1 THEN CASE WHEN sample THEN 'sample' ELSE 'greedy' END
 WHEN beams >= 2 AND beam_groups = 1 AND NOT sample THEN 'beam' WHEN beams >= 2 AND beam_groups >= 2 THEN 'group_beam' ELSE 'unsupported' END AS mode
-FROM (SELECT unnest([1, 2])::INT AS beams), (SELECT unnest([1, 2])::INT AS beam_groups), (SELECT unnest([true, false]) AS sample), (SELECT unnest([1, 50])::INT AS k), (SELECT unnest([NULL, 0.0, 0.5])::DOUBLE AS alpha)""",
+FROM (SELECT o_orderkey, CAST(1 + o_orderkey % 2 AS INT) AS beams, CAST(1 + o_orderkey // 2 % 2 AS INT) AS beam_groups, o_orderkey // 4 % 2 = 1 AS sample, CASE WHEN o_orderkey // 8 % 2 = 1 THEN 50 ELSE 1 END AS k,
+  CASE o_orderkey // 16 % 3 WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN o_totalprice / 1e6 END AS alpha FROM orders)""",
     "gen_loop_table": f"""WITH RECURSIVE {_LOGITS}, best AS (SELECT row_id AS token_id, arg_max(token_id, {{'s': score, 't': -token_id}}) AS next_id FROM logits WHERE row_id < 64 GROUP BY row_id),
 g(seq_id, step, token_id) AS (SELECT vec_id, 0::BIGINT, vec_id % 64 FROM embeddings UNION ALL SELECT seq_id, step + 1, next_id FROM g JOIN best USING (token_id) WHERE step < 8) SELECT * FROM g""",
     "gen_loop_end": f"""WITH RECURSIVE {_LOGITS}, best AS (SELECT row_id AS token_id, arg_max(token_id, {{'s': score, 't': -token_id}}) AS next_id FROM logits GROUP BY row_id),
 g(seq_id, step, token_id) AS (SELECT vec_id, 0::BIGINT, vec_id % 64 FROM embeddings UNION ALL SELECT seq_id, step + 1, next_id FROM g JOIN best USING (token_id) WHERE step < 50 AND next_id <> 7) SELECT * FROM g""",
     "lm_pad": """SELECT item_id, array_to_string(list_transform(range(1, greatest(512, n) + 1), lambda i: CASE WHEN i <= n THEN unicode(cs[i]) ELSE 0 END), ' ') AS ids,
 array_to_string(list_transform(range(1, greatest(512, n) + 1), lambda i: CASE WHEN i <= n THEN 1 ELSE 0 END), ' ') AS mask FROM (SELECT item_id, string_split(text, '') AS cs, length(text) AS n FROM benchmark)""",
-    "lm_default_gen": "SELECT name, 2048::BIGINT AS max_new_tokens, contains(lower(name), 'gpt') AS do_sample, 50::BIGINT AS top_k FROM (VALUES ('GPT-neo'), ('my-gpt2'), ('llama')) v(name)",
+    "lm_default_gen": "SELECT doc_id, name, 2048::BIGINT AS max_new_tokens, contains(lower(name), 'gpt') AS do_sample, 50::BIGINT AS top_k FROM (SELECT doc_id, source || ['-GPT-neo', '/my-gpt2', '-llama'][doc_id % 3 + 1] AS name FROM documents)",
     "cli_format": "SELECT item_id, replace(text, '.', chr(10)) AS text FROM benchmark",
     "trie_prefix_join": f"SELECT word, entry FROM ({_WORD_LIST}) JOIN (VALUES " + ", ".join(f"({_s(g)})" for g in vocabularies.GROUPS) + ") v(entry) ON starts_with(word, entry)",
     "map_merge": "SELECT coalesce(CAST(r_regionkey AS BIGINT), CAST(n_nationkey AS BIGINT)) AS key, coalesce(r_name, n_name) AS value FROM nation FULL JOIN region ON n_nationkey = r_regionkey",

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,12 +94,38 @@ _FILTERS: dict[str, Callable] = {
 }
 
 
+_WORDS = (
+    (r"\bis\s+not\s+(defined|none|string|mapping|iterable)\b", r" % (not_\1)"), (r"\bis\s+(defined|none|string|mapping|iterable)\b", r" % (is_\1)"),
+    (r"\btrue\b", "True"), (r"\bfalse\b", "False"), (r"\bnone\b", "None"), (r"~", "<<"), (r"\|", "**"),
+)
+
+
+def _words(expression: str) -> str:
+    """The expression in Python's words, outside of its strings: operators of as low or high precedence stand for ~ (<<, below sums) and | (**, above
+    all but calls), tests are remainders by a name. Strings may hold line feeds."""
+    parts = re.split(r"('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")", expression)
+    for pattern, to in _WORDS:
+        parts[::2] = [re.sub(pattern, to, p) for p in parts[::2]]
+    parts[1::2] = [p.replace("\n", "\\n") for p in parts[1::2]]
+    return "".join(parts)
+
+
+def _condition(expression: str) -> tuple[ast.expr, ast.expr | None]:
+    """What a loop is over, and the condition of its items, if it has one (a condition with else is a value)."""
+    try:
+        return _python(expression), None
+    except TemplateError:
+        for m in reversed(list(re.finditer(r"\sif\s", expression))):
+            try:
+                return _python(expression[: m.start()]), _python(expression[m.end() :])
+            except TemplateError:
+                continue
+        raise
+
+
 def _python(expression: str) -> ast.expr:
     """The expression as Python syntax: filters become calls, ~ concatenation, tests become calls."""
-    e = re.sub(r"\bis\s+not\s+(defined|none|string|mapping|iterable)\b", r" % (not_\1)", expression)
-    e = re.sub(r"\bis\s+(defined|none|string|mapping|iterable)\b", r" % (is_\1)", e)
-    e = re.sub(r"\btrue\b", "True", re.sub(r"\bfalse\b", "False", re.sub(r"\bnone\b", "None", e)))
-    e = re.sub(r"(?<![~<>=!])~", "@", e)
+    e = _words(expression)
     try:
         return ast.parse(e.strip(), mode="eval").body
     except SyntaxError as x:
@@ -106,10 +133,27 @@ def _python(expression: str) -> ast.expr:
 
 
 _COMPARE = {ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b, ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.In: lambda a, b: a in b, ast.NotIn: lambda a, b: a not in b}
-_ARITHMETIC = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.FloorDiv: lambda a, b: a // b, ast.MatMult: lambda a, b: f"{'' if a is None else a}{'' if b is None else b}"}
+_ARITHMETIC = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.FloorDiv: lambda a, b: a // b, ast.LShift: lambda a, b: f"{'' if a is None else a}{'' if b is None else b}"}
 _TESTS = {"defined": lambda x: x is not None, "none": lambda x: x is None, "string": lambda x: isinstance(x, str), "mapping": lambda x: isinstance(x, dict), "iterable": lambda x: isinstance(x, (list, str, dict))}
 
 
+def filters(e: ast.BinOp) -> tuple[ast.expr, list[tuple[str, list[ast.expr], dict[str, ast.expr]]]]:
+    """What filters are applied to, and these in order: name, arguments, named ones."""
+    chain, rest = [], e
+    while isinstance(rest, ast.BinOp) and isinstance(rest.op, ast.Pow):
+        chain.append(rest.left)
+        rest = rest.right
+    first, *steps = [*chain, rest]
+    found = []
+    for x in steps:
+        call = isinstance(x, ast.Call)
+        name = x.func if call else x
+        if not isinstance(name, ast.Name):
+            raise TemplateError("a filter has no name")
+        found.append((name.id, list(x.args) if call else [], {k.arg: k.value for k in x.keywords} if call else {}))
+    return first, found
+
+
 def _value(e: ast.expr, scope: dict[str, Any]) -> Any:
     match e:
         case ast.Constant():
@@ -152,18 +196,22 @@ def _value(e: ast.expr, scope: dict[str, Any]) -> Any:
             return _TESTS[name.partition("_")[2]](_value(e.left, scope)) == name.startswith("is")
         case ast.BinOp(op=ast.Mod()):
             return _value(e.left, scope) % _value(e.right, scope)
-        case ast.BinOp(op=ast.BitOr()):
-            if isinstance(e.right, ast.Call):
-                name, extra, named = e.right.func.id, [_value(x, scope) for x in e.right.args], {k.arg: _value(k.value, scope) for k in e.right.keywords}
-            else:
-                name, extra, named = e.right.id, [], {}
-            if name not in _FILTERS:
-                raise TemplateError(f"unknown filter {name!r}")
-            return _FILTERS[name](_value(e.left, scope), *extra, **named)
+        case ast.BinOp(op=ast.Pow()):
+            out, steps = filters(e)
+            out = _value(out, scope)
+            for name, extra, named in steps:
+                if name not in _FILTERS:
+                    raise TemplateError(f"unknown filter {name!r}")
+                out = _FILTERS[name](out, *(_value(x, scope) for x in extra), **{k: _value(x, scope) for k, x in named.items()})
+            return out
         case ast.BinOp() if type(e.op) in _ARITHMETIC:
             return _ARITHMETIC[type(e.op)](_value(e.left, scope), _value(e.right, scope))
         case ast.Call(func=ast.Name(id="raise_exception")):
             raise TemplateError(str(_value(e.args[0], scope)))
+        case ast.Call(func=ast.Name(id="namespace")):
+            return {k.arg: _value(k.value, scope) for k in e.keywords}
+        case ast.Call(func=ast.Name(id=name)) if isinstance(scope.get(name), Macro):
+            return scope[name]([_value(x, scope) for x in e.args], {k.arg: _value(k.value, scope) for k in e.keywords})
         case ast.Call(func=ast.Name(id="range")):
             return list(range(*(_value(x, scope) for x in e.args)))
         case ast.Call(func=ast.Attribute(attr=name)) if name in ("strip", "lstrip", "rstrip", "upper", "lower", "startswith", "endswith", "split", "replace", "title", "items", "get"):
@@ -172,6 +220,21 @@ def _value(e: ast.expr, scope: dict[str, Any]) -> Any:
     raise TemplateError(f"unsupported expression {ast.dump(e)[:60]}")
 
 
+class Macro:
+    """A part of a template with parameters; it sees what the template's scope holds when it is called."""
+
+    def __init__(self, template: Template, names: list[str], defaults: dict[str, ast.expr], body: list, scope: dict[str, Any]):
+        self.template, self.names, self.defaults, self.body, self.scope = template, names, defaults, body, scope
+
+    def arguments(self, given: list, named: dict[str, Any], value: Callable) -> dict[str, Any]:
+        return {n: given[i] if i < len(given) else named[n] if n in named else value(self.defaults[n]) if n in self.defaults else None for i, n in enumerate(self.names)}
+
+    def __call__(self, given: list, named: dict[str, Any]) -> str:
+        out: list[str] = []
+        self.template._run(self.body, {**self.scope, **self.arguments(given, named, lambda d: _value(d, self.scope))}, out)
+        return "".join(out)
+
+
 class Template:
     """A compiled template."""
 
@@ -201,9 +264,21 @@ class Template:
                 m = re.fullmatch(r"for\s+(\w+(?:\s*,\s*\w+)*)\s+in\s+(.*)", value, re.S)
                 if not m:
                     raise TemplateError(f"cannot read {value!r}")
-                body = self._block(("endfor",))
-                self._end("endfor")
-                out.append(("for", [x.strip() for x in m[1].split(",")], _python(m[2]), body))
+                over, only = _condition(m[2])
+                body, empty = self._block(("endfor", "else")), []
+                if self._next() == "else":
+                    empty = self._block(("endfor",))
+                    self._end("endfor")
+                out.append(("for", [x.strip() for x in m[1].split(",")], over, body, only, empty))
+            elif word == "macro":
+                try:
+                    made = ast.parse(f"def {_words(value[5:].strip())}: pass").body[0]
+                except SyntaxError as x:
+                    raise TemplateError(f"cannot read {value!r}") from x
+                body = self._block(("endmacro",))
+                self._next()
+                names = [a.arg for a in made.args.args]
+                out.append(("macro", made.name, names, dict(zip(names[len(names) - len(made.args.defaults) :], made.args.defaults, strict=True)), body))
             elif word == "if":
                 arms, test = [], _python(value[2:])
                 while True:
@@ -247,19 +322,26 @@ class Template:
                     scope[of][key] = _value(node[2], scope)
                 else:
                     scope[node[1]] = _value(node[2], scope)
+            elif node[0] == "macro":
+                scope[node[1]] = Macro(self, *node[2:], scope)
             elif node[0] == "if":
                 for test, arm in node[1]:
                     if _value(test, scope):
                         self._run(arm, scope, out)
                         break
             else:
-                items = _value(node[2], scope) or []
-                items = list(items)
+                _, names, over, body, only, empty = node
+                of = lambda item: dict(zip(names, item, strict=True)) if len(names) > 1 else {names[0]: item}
+                items = [x for x in _value(over, scope) or [] if only is None or _value(only, {**scope, **of(x)})]
                 for i, item in enumerate(items):
-                    names = node[1]
-                    inner = {**scope, **(dict(zip(names, item, strict=True)) if len(names) > 1 else {names[0]: item})}
-                    inner["loop"] = {"index0": i, "index": i + 1, "first": i == 0, "last": i == len(items) - 1, "length": len(items)}
-                    self._run(node[3], inner, out)
+                    inner = {**scope, **of(item)}
+                    inner["loop"] = {
+                        "index0": i, "index": i + 1, "first": i == 0, "last": i == len(items) - 1, "length": len(items),
+                        "previtem": items[i - 1] if i else None, "nextitem": items[i + 1] if i + 1 < len(items) else None,
+                    }
+                    self._run(body, inner, out)
+                if not items:
+                    self._run(empty, scope, out)
 
 
 @lru_cache(64)
@@ -267,16 +349,34 @@ def compiled(source: str) -> Template:
     return Template(source)
 
 
-def render(source: str, context: dict[str, Any]) -> Callable[[Column], Column]:
-    """Array of messages (structs with role and content) to text."""
-    Template(source)
+def _plain(x: Any) -> Any:
+    """Lists and dictionaries of what pandas gives for arrays and structs."""
+    if isinstance(x, dict):
+        return {k: _plain(v) for k, v in x.items()}
+    return _plain(x.asDict()) if hasattr(x, "asDict") else [_plain(y) for y in x] if isinstance(x, (list, tuple, np.ndarray)) else x
+
+
+def render(source: str, context: dict[str, Any], fields: tuple[str, ...] | None = None) -> Callable[[Column], Column]:
+    """Array of messages to text: as an expression in the JVM where the template can be one (chat_columns), else by a function in Python. Messages are structs
+    with the texts role and content; `fields` names all their fields if these are texts, and is () if their contents are no texts."""
+    from tessera.plans import chat_columns
+
+    template = Template(source)
 
     @F.pandas_udf(T.StringType())
     def run(rows: pd.Series) -> pd.Series:
         template = compiled(source)
-        return rows.map(lambda ms: template.render({"messages": [dict(m) if not hasattr(m, "asDict") else m.asDict(True) for m in ms], **context}), na_action="ignore")
+        return rows.map(lambda ms: template.render({"messages": _plain(ms), **context}), na_action="ignore")
+
+    def rendered(ms: Column) -> Column:
+        try:
+            if fields == ():
+                raise chat_columns.Unsupported
+            return chat_columns.render(template, ms, fields, context)
+        except chat_columns.Unsupported:
+            return run(ms)
 
-    return run
+    return rendered
 
 
 def messages(turns: DataFrame, by: str = "conv_id", order: str = "turn", role: str = "role", content: str = "text") -> DataFrame:

@@ -213,14 +213,15 @@ class Tokenizer:
     def has_chat_template(self) -> bool:
         return not self.config.chatTemplate.is_null
 
-    def chat_text(self, messages: Column, template: chat.Choice | None = None, add_generation_prompt: bool = False, tools: list | None = None, extra: dict | None = None) -> Column:
+    def chat_text(self, messages: Column, template: chat.Choice | None = None, add_generation_prompt: bool = False, tools: list | None = None, extra: dict | None = None, fields: tuple[str, ...] | None = None) -> Column:
+        """The rendered conversation; `fields` are those of messages, as chat.render takes them."""
         source = chat.select(self.config.chatTemplate, template, tools)
         context = {"add_generation_prompt": add_generation_prompt, **({"tools": tools} if tools is not None else {}), **(extra or {})}
         for name in SPECIALS:
             value = self.config[name]
             if not value.is_null:
                 context[name] = added_token_string(value) if added_token_string(value) is not None else value.native()
-        return chat.render(source, context)(messages)
+        return chat.render(source, context, fields)(messages)
 
     def apply_chat_template(self, messages: Column, template: chat.Choice | None = None, add_generation_prompt: bool = True, tools: list | None = None, extra: dict | None = None, truncation: bool = False, max_length: int | None = None) -> Column:
         """Ids of the rendered conversation, without special tokens of the post-processor."""

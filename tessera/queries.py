@@ -338,9 +338,14 @@ def logit_sample_u(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gen_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = [(b, g, s, k, a) for b in (1, 2) for g in (1, 2) for s in (True, False) for k in (1, 50) for a in (None, 0.0, 0.5)]
-    df = spark.createDataFrame(values, "beams int, beam_groups int, sample boolean, k int, alpha double")
-    return df.withColumn("mode", logits.mode(*(F.col(c) for c in df.columns)))
+    """Modes of configurations made of orders' numbers."""
+    key = F.col("o_orderkey")
+    bit = lambda n: F.floor(key / n) % 2
+    df = _read(spark, sf_dir, "orders").select(
+        "o_orderkey", (1 + bit(1)).cast("int").alias("beams"), (1 + bit(2)).cast("int").alias("beam_groups"), (bit(4) == 1).alias("sample"), F.when(bit(8) == 1, 50).otherwise(1).alias("k"),
+        F.when(F.floor(key / 16) % 3 == 1, 0.0).when(F.floor(key / 16) % 3 == 2, F.col("o_totalprice") / 1e6).alias("alpha"),
+    )
+    return df.withColumn("mode", logits.mode(*(F.col(c) for c in df.columns[1:])))
 
 
 def _loop(spark: SparkSession, sf_dir: str, n_steps: int, eos_token_id: int | None = None) -> DataFrame:
@@ -370,8 +375,10 @@ def lm_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lm_default_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([("GPT-neo",), ("my-gpt2",), ("llama",)], "name string")
-    return names.select("name", generate.default_config(F.col("name")).alias("c")).select("name", "c.*").withColumns({c: F.col(c).cast("long") for c in ("max_new_tokens", "top_k")})
+    """Settings of models that are named after documents' sources, some with gpt."""
+    name = F.concat("source", F.element_at(F.array(F.lit("-GPT-neo"), F.lit("/my-gpt2"), F.lit("-llama")), (F.col("doc_id") % 3 + 1).cast("int")))
+    names = _read(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
+    return names.select("doc_id", "name", generate.default_config(F.col("name")).alias("c")).select("doc_id", "name", "c.*").withColumns({c: F.col(c).cast("long") for c in ("max_new_tokens", "top_k")})
 
 
 @query

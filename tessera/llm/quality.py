@@ -143,11 +143,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Model:
-    """Fits on at most so many labelled documents, and bytes of texts, that are not held out. docs may be a part of all documents."""
+    """Fits on at most so many labelled documents, and bytes of texts, that are not held out; texts of more than a sixteenth of these bytes are not
+    among them, so that no few texts take the place of all others. docs may be a part of all documents."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("quality").cast("int").alias("__y"))
     order = F.xxhash64("__id")
     chosen = F.broadcast(known.orderBy(order, "__id").limit(rows))
-    found = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(chosen, "__id").orderBy(order, "__id", "text").limit(rows)
+    found = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most // 16).select(F.col("doc_id").cast("long").alias("__id"), "text").join(chosen, "__id").orderBy(order, "__id", "text").limit(rows)
     # a window over at most `rows` rows
     sums = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(order, "__id", "text").rowsBetween(Window.unboundedPreceding, 0))
     found = found.withColumn("__sum", sums).where(F.col("__sum") <= most)

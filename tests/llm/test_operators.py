@@ -9,7 +9,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, host_reputation, jaccard, neighbours, passages, quality, queries, shared, token_files, wrappers
+from tessera.llm import bpe, decontaminate, host_reputation, jaccard, neighbours, passages, quality, queries, shared, token_files, words, wrappers
 
 LONG = " ".join(f"w{i % 5000}" for i in range(40_000))
 PASSAGE = " ".join(f"p{i}" for i in range(60))
@@ -216,6 +216,28 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_of_a_fit_with_a_text_beyond_its_bytes(spark):
+    """One labelled text that is longer than all that a fit may read does not keep others out, wherever it sorts."""
+    good, bad = "the river ran past the old mill", "BUY now $$$ click here"
+    rows = [(i, " ".join([good if i % 2 else bad] * 3) + f" w{i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    for long in (0, 3, 9):
+        docs = spark.createDataFrame([(i, "x" * 20_000 if i == long else t) for i, t in rows], SCHEMA)
+        found = quality.score(docs, quality.train(docs, labels, most=9_000)).collect()
+        assert np.mean([(r.score >= 0.5) == bool(r.doc_id % 2) for r in found if r.doc_id != long]) > 0.9
+
+
+def test_quality_by_a_plain_score(spark):
+    """A document's score from the model by hand: the table's values at its features' buckets, averaged, through the logistic function."""
+    docs = spark.createDataFrame([(1, "Some words, some words."), (2, ""), (3, None), (4, "x"), (5, "é " * 50)], SCHEMA)
+    model = quality.fit([("good words here", 1), ("bad $$$", 0)] * 20)
+    for r in quality.score(docs, model).collect():
+        w = words.split([(r.text or "").encode()])
+        buckets = [int(b) for bs, _ in quality.features(w, len(model.table)) for b in bs]
+        expected = 1 / (1 + np.exp(-(model.offset + np.mean([model.table[b] for b in buckets])))) if buckets else model.prior
+        assert r.score == pytest.approx(float(expected))
+
+
 def test_quality_on_held_out_rows(spark):
     read = lambda t: spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{t}.parquet")
     labels = read("labels")

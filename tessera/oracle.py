@@ -299,6 +299,8 @@ SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (token = '[UNK]') AS n_unk
     "logit_topp": f"WITH {_LOGITS}, {_p('logits', 'x')} {_KEPT} ({_top_p('x', 0.9)})",
     "logit_minp": f"WITH {_LOGITS}, {_p('logits', 'x')} {_KEPT} ({_min_p('x', 0.1)})",
     "logit_repetition": f"WITH {_LOGITS}, {_INPUTS} SELECT row_id, token_id, round(score, 6) AS score FROM ({_repetition('logits', 1.3)})",
+    "logit_custom": f"WITH {_LOGITS}, {_p('logits', 'x')} SELECT row_id, token_id, p >= 0.02 OR row_number() OVER (PARTITION BY row_id ORDER BY score DESC, token_id) = 1 AS kept FROM x",
+    "wp_table_function": "WITH RECURSIVE documents AS (SELECT p_partkey AS doc_id, concat_ws(' ', p_name, p_type) AS text FROM part), " + _doc_tokens(_all(WORDS, "lower(text)"), _wordpiece) + "\nSELECT doc_id AS p_partkey, row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) - 1 AS pos, token FROM t",
     "logit_softmax": f"WITH {_LOGITS}, {_p('logits', 'x')} SELECT row_id, token_id, round(p, 6) AS p FROM x",
     "logit_greedy": f"WITH {_LOGITS} SELECT row_id, arg_max(token_id, {{'s': score, 't': -token_id}}) AS token_id FROM logits GROUP BY row_id",
     "logit_plan": f"WITH {_LOGITS}, {_INPUTS}, a AS ({_repetition('logits', 1.3)}), b AS (SELECT row_id, token_id, score / 0.7 AS score FROM a), c AS ({_top_k('b', 20)}), {_p('c', 'd')}, e AS ({_top_p('d', 0.9)}), {_p('e', 'f')} {_KEPT} ({_min_p('f', 0.02)})",

@@ -11,7 +11,7 @@ from tessera import oracle
 from tessera.functions import decode, normalize, post, pretokenize
 from tessera.functions import text as t
 from tessera.functions import variants
-from tessera.operators import generate, logits, subword, vocabularies
+from tessera.operators import generate, logits, subword, tables, vocabularies
 from tessera.plans import chat
 from tessera.plans.tokenizer import Tokenizer
 from tessera.sources import files
@@ -333,6 +333,21 @@ def logit_sample_u(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logits.sample(_logits(spark, sf_dir), (F.col("row_id") * 37 % 101 + 0.5) / 101)
 
 
+@query
+def logit_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A processor of the registry as a table function in SQL, each row a part of its own."""
+    tables.register_functions(spark, processors={"tessera_epsilon": tables.processor("epsilon_cutoff", epsilon=0.02)})
+    return spark.sql("SELECT row_id, token_id, score > double('-infinity') AS kept FROM tessera_epsilon(TABLE({logits}) PARTITION BY row_id)", logits=_logits(spark, sf_dir))
+
+
+@query
+def wp_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each part's name and type, by a table function in SQL."""
+    tables.register_functions(spark, models={"tessera_wordpiece": vocabularies.wordpiece()})
+    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), pretokenize.whitespace(F.lower(F.concat_ws(" ", "p_name", "p_type"))).alias("pieces"))
+    return spark.sql("SELECT row_id AS p_partkey, pos, token FROM tessera_wordpiece(TABLE({rows}))", rows=rows)
+
+
 # Generation
 
 

@@ -1,22 +1,30 @@
-"""Tensor files: spark.read.format("safetensors").load(path) gives the values of each tensor, in rows of at most 2^20.
+"""Tensor files: spark.read.format("safetensors").load(path) gives the values of each tensor, in rows of at most 2^20; `write` makes files of such rows.
 
 A file begins with the size of its header (8 bytes), then the header, JSON with a dtype, shape and byte range for each tensor, then
 their bytes. Headers are read to plan; tasks read byte ranges of at most 64 MB, so a tensor may be of any size. `start` is the place of a row's
 first value in the tensor; an empty tensor has one row. Paths are files, folders or globs, local or URIs that Arrow's file systems open. 32-bit
 integers, 16- and 32-bit and 64-bit floats are known; U64 is an error here rather than being read as floats. Entries without byte range
-are skipped."""
+are skipped.
+
+`read` takes globs of paths and names, which are applied when a read is planned: headers of other files are not read, and ranges of other tensors
+neither. (They are options, not conditions pushed down: what Spark 4.1.2 has pushed into a Python source for one plan of a DataFrame stays for its other plans.)
+A write puts each task's files into a folder of its own below the target; they move to the target together when all tasks are done, and
+go if one fails for good. What a lost task left behind goes with that folder."""
 
 from __future__ import annotations
 
 import fnmatch
 import json
+import math
 import os
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from tessera.sources.files import placed
 
@@ -107,12 +115,21 @@ def _files(path: str) -> list[str]:
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
+        self.wanted = {k: json.loads(options[k]) if k in options else None for k in ("files", "names")}
+
+    def _wanted(self, option: str, value: str) -> bool:
+        globs = self.wanted[option]
+        return globs is None or any(fnmatch.fnmatchcase(value, g) for g in globs)
 
     def partitions(self) -> list[InputPartition]:
         out = []
         for path in _files(self.path):
+            if not self._wanted("files", path):
+                continue
             entries, begin = read_header(path)
             for name, entry in entries.items():
+                if not self._wanted("names", name):
+                    continue
                 a, b = entry["data_offsets"]
                 n = (b - a) // _type(name, entry).itemsize
                 out += [_Range(path, name, entry, begin, i, min(i + TASK, n)) for i in range(0, max(n, 1), TASK)]
@@ -128,6 +145,88 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays(columns, names=["path", "name", "dtype", "shape", "start", "values"])
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    file: str | None
+
+
+class _Writer(DataSourceArrowWriter):
+    """A task's tensors as one file. Its bytes are written as they come, then copied behind the header."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite, self.own = options["path"].rstrip("/"), overwrite, f"_tensors-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        system, target = placed(self.path)
+        file, folder = f"tensors-{uuid.uuid4().hex}.safetensors", f"{target}/{self.own}"
+        system.create_dir(folder, recursive=True)
+        header: dict[str, dict] = {}
+        at, open_, left = 0, None, 0
+        with system.open_output_stream(f"{folder}/{file}.bytes") as out:
+            for batch in iterator:
+                for name, dtype, shape, start, values in zip(*(batch.column(c) for c in ("name", "dtype", "shape", "start", "values")), strict=True):
+                    name, start, kind = name.as_py(), start.as_py(), np.dtype(DTYPES.get(dtype.as_py()) or _type(name.as_py(), {"dtype": dtype.as_py()}))
+                    data = values.values.to_numpy(zero_copy_only=False).astype(kind).tobytes()
+                    if name != open_:
+                        if left or name in header:
+                            raise TensorError(f"values of {open_ if left else name} are missing, or not in order in one task")
+                        size = math.prod(shape.as_py()) * kind.itemsize
+                        header[name], open_, left = {"dtype": dtype.as_py(), "shape": shape.as_py(), "data_offsets": [at, at + size]}, name, size
+                    begin, end = header[name]["data_offsets"]
+                    if start * kind.itemsize != end - begin - left or len(data) > left:
+                        raise TensorError(f"values of {name} are missing, or not in order in one task")
+                    out.write(data)
+                    at, left = at + len(data), left - len(data)
+        if left:
+            raise TensorError(f"values of {open_} are missing, or not in order in one task")
+        if not header:
+            return _Written(None)
+        text = json.dumps(header).encode()
+        with system.open_output_stream(f"{folder}/{file}") as out, system.open_input_stream(f"{folder}/{file}.bytes") as data:
+            out.write(len(text).to_bytes(8, "little") + text)
+            while some := data.read(8 << 20):
+                out.write(some)
+        return _Written(file)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, target = placed(self.path)
+        system.create_dir(target, recursive=True)
+        old = _files(self.path) if self.overwrite else []
+        for m in messages:
+            if m is not None and m.file is not None:
+                system.move(f"{target}/{self.own}/{m.file}", f"{target}/{m.file}")
+        for path in old:
+            system.delete_file(placed(path)[1])
+        self._clear()
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        from pyarrow import fs
+
+        system, target = placed(self.path)
+        if system.get_file_info(f"{target}/{self.own}").type == fs.FileType.Directory:
+            system.delete_dir(f"{target}/{self.own}")
+
+
+def read(spark: SparkSession, path: str, names: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
+    """Values of the tensors whose names, and files whose paths, fit any of some globs."""
+    reader = spark.read.format("safetensors")
+    for option, globs in (("names", names), ("files", paths)):
+        reader = reader if globs is None else reader.option(option, json.dumps(globs))
+    return reader.load(path)
+
+
+def write(rows: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> None:
+    """Files of rows (name, dtype, shape, start, values) in a folder. A tensor is one task's, which sees its rows in order and holds one at a time."""
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"no mode {mode!r}")
+    rows = rows.select("name", "dtype", "shape", "start", "values")
+    dealt = rows.repartition("name") if partitions is None else rows.repartition(partitions, "name")
+    dealt.sortWithinPartitions("name", "start").write.format("safetensors").mode(mode).save(path)
+
+
 class SafetensorsSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -139,6 +238,9 @@ class SafetensorsSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(self.options, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SafetensorsSource)

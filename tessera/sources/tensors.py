@@ -135,8 +135,10 @@ class _Reader(DataSourceReader):
                 out += [_Range(path, name, entry, begin, i, min(i + TASK, n)) for i in range(0, max(n, 1), TASK)]
         return out
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
         p = partition
+        if p is None:  # nothing to read is one part of Spark's
+            return
         for i in range(p.start, max(p.stop, p.start + 1), ROW):
             x = read_values(p.path, p.name, p.entry, p.begin, i, min(i + ROW, p.stop)).astype(np.float64)
             values = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))

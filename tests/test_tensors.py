@@ -26,7 +26,7 @@ def test_globs_choose_ranges(spark, folder):
     assert read(spark, folder).rdd.getNumPartitions() == 10
     for options, n in (({"names": ["a.1"]}, 1), ({"names": ["a.1", "b.2", "c"]}, 2), ({"names": ["a.*"]}, 5), ({"names": ["*.3"]}, 2), ({"paths": ["*b.safetensors"], "names": ["?.[34]"]}, 2), ({"names": []}, 0)):
         found = tensors.read(spark, folder, **options)
-        assert (found.rdd.getNumPartitions(), found.count()) == (n, n), options
+        assert (found.rdd.getNumPartitions(), found.count()) == (max(n, 1), n), options
     # another file is not even opened
     with open(f"{folder}/c.safetensors", "wb") as f:
         f.write(b"no header")

@@ -124,6 +124,21 @@ def split_regex(c: Column, pattern: str) -> Column:
     return t.between(c, pattern)
 
 
+def split_captures(c: Column, pattern: str) -> Column:
+    """Non-empty pieces between matches, and of each match its last group that took part, or all of it. A text without a match is one piece. A group that
+    took part with nothing counts as one that did not. Patterns that match nothing are rejected."""
+    import regex
+
+    compiled = regex.compile(pattern)
+    if compiled.match("") is not None:
+        raise ValueError("the pattern matches the empty string")
+    groups = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in range(compiled.groups, -1, -1)]
+    gaps = F.split(c, pattern, -1)
+    kept = F.transform(groups[-1], lambda _, i: F.coalesce(*(F.nullif(F.get(g, i), F.lit("")) for g in groups)))
+    both = F.flatten(F.zip_with(gaps, kept, lambda gap, match: F.array(gap, match)))
+    return F.when(F.size(kept) == 0, F.array(c)).otherwise(F.filter(both, lambda x: x != ""))
+
+
 def split_behaviour(c: Column, separator: str, behaviour: str) -> Column:
     """removed, isolated, merged_with_previous or merged_with_next."""
     e = t.escape(separator)

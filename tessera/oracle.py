@@ -366,6 +366,11 @@ UNION ALL SELECT event_id, 'k' AS key, coalesce(CAST(json_extract(CAST(props AS
     "file_local_path": "SELECT doc_id, '/models/' || CASE doc_id % 3 WHEN 0 THEN 'models' WHEN 1 THEN 'datasets' ELSE 'spaces' END || '/' || concat_ws('/', source, lang) AS path FROM documents",
     "file_resolve_url": "SELECT doc_id, 'https://example.com/' || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'datasets/' ELSE 'spaces/' END || concat_ws('/', source, lang) || '/resolve/refs%2Fpr%2F' || doc_id || '/config.json' AS url FROM documents",
     "file_clean_etag": "SELECT doc_id, sha256(text) AS etag FROM documents",
+    "split_captures": """WITH x AS (SELECT page_id, regexp_split_to_array(url, '(:)//|[/?]([a-z]+)[=/]|[#&]') AS gaps, regexp_extract_all(url, '(:)//|[/?]([a-z]+)[=/]|[#&]', 0) AS whole,
+  regexp_extract_all(url, '(:)//|[/?]([a-z]+)[=/]|[#&]', 1) AS one, regexp_extract_all(url, '(:)//|[/?]([a-z]+)[=/]|[#&]', 2) AS two FROM pages),
+y AS (SELECT page_id, unnest(list_filter(flatten(list_transform(range(1, len(gaps) + 1), lambda i: [gaps[i], CASE WHEN two[i] <> '' THEN two[i] WHEN one[i] <> '' THEN one[i] ELSE coalesce(whole[i], '') END])), lambda p: p <> '')) AS piece,
+  unnest(range(len(list_filter(flatten(list_transform(range(1, len(gaps) + 1), lambda i: [gaps[i], coalesce(whole[i], '')])), lambda p: p <> '')))) AS pos FROM x)
+SELECT page_id, pos, piece FROM y""",
     "split_ranges": """SELECT page_id, b AS start, b + length(regexp_extract(substr(url, b + 1), '^/+')) AS "end"
 FROM (SELECT page_id, url, unnest(list_filter(range(0, length(url)), lambda i: substr(url, i + 1, 1) = '/' AND (i = 0 OR substr(url, i, 1) <> '/'))) AS b FROM pages)""",
 }

@@ -62,6 +62,9 @@ for _name in ("removed", "isolated", "merged_with_previous", "merged_with_next")
     QUERIES[f"split_{_name}"] = lambda spark, d, b=_name: _pieces(_read(spark, d, "pages"), "page_id", pretokenize.split_behaviour(F.col("url"), "/", b))
 
 
+QUERIES["split_captures"] = lambda spark, d: _pieces(_read(spark, d, "pages"), "page_id", pretokenize.split_captures(F.col("url"), "(:)//|[/?]([a-z]+)[=/]|[#&]"))
+
+
 # Normalizers: (doc_id, text)
 
 _NORM = {

@@ -322,3 +322,16 @@ def test_remembered_pieces_are_bounded():
     assert kept.many(["ab", long, "ab"]) == [("ab",), ("ab",) * 500, ("ab",)] and list(kept.kept) == ["ab"]
     kept.size = subword.REMEMBERED
     assert kept.many(["ba"]) == [("b", "a")] and list(kept.kept) == ["ba"]
+
+
+@pytest.mark.parametrize(
+    ("text", "pattern", "pieces"),
+    [
+        ("a1b22c", r"(\d)+", ["a", "1", "b", "2", "c"]), ("a-b+c", "(-)|(\\+)", ["a", "-", "b", "+", "c"]), ("<x>y</x>", "<(/)?([a-z])>", ["x", "y", "x"]), ("  a ", r"\s+", ["  ", "a", " "]), ("abc", "x", ["abc"]), ("", "x", [""]),
+        ("xaxb", "x(a)?", ["a", "x", "b"]),
+    ],
+)
+def test_split_captures(spark, text, pattern, pieces):
+    assert one(spark, pretokenize.split_captures(F.col("a"), pattern), text) == pieces
+    with pytest.raises(ValueError):
+        pretokenize.split_captures(F.col("a"), "x*")

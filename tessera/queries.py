@@ -480,7 +480,7 @@ def _settings(spark: SparkSession, d: str) -> DataFrame:
     value = F.element_at(F.array(*kinds), (key % 11 + 1).cast("int"))
     other = F.element_at(F.array(*kinds), (F.floor(key / 11) % 11 + 1).cast("int"))
     text = F.concat(F.lit('\ufeff{"orderStatus": '), quoted("o_orderstatus"), F.lit(', "model_max": '), value, F.lit(', "modelMin": '), other, F.lit(', "list": ['), value, F.lit(", "), other, F.lit(', 7, ], "none": null,}'))
-    return _read(spark, d, "orders").select("o_orderkey", variants.parse(text).alias("v"))
+    return _texts(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority").select("o_orderkey", variants.parse(text).alias("v"))
 
 
 @query

@@ -13,15 +13,23 @@ Tasks first fold streams and count distinct ones, so a host with a third of all
 in groups of 64 by (host, salt), in rounds, until each host has one. Wrappers of all hosts are joined to pages by broadcast only if they are
 small in bytes. Alignment takes memory linear in the streams, so very long pages are aligned like others.
 
-In a wrapper a slot's place is the chain of elements open there. A place's slots before its first optional or repeated
-group are slots of their own, those from there on are one. Pages are read into blocks (block-level tags end one), character
-references are decoded, white space in a block becomes one space; each block belongs to one slot. For each host and slot it is
-counted on how many different pages it occurs and with how many different texts. A slot on at least 5 of them, whose texts
-are each on half of its pages on average, is template.
+Each page is then matched with its host's wrapper. Both are trees of elements and slots; from the root down, an element's children are
+given to those of the same key in the wrapper's element (also inside optional elements, which the page may leave out), in order: first one that holds the same
+kinds of elements, ahead or else before, then any one of that key. Children in a repeated group may be taken again and again. So each block of text (block-level tags end one; character references are
+decoded, white space becomes one space) belongs to a slot of the wrapper, or to none if the wrapper has no such place.
 
-A block is main text if no element of its chain is a menu, header, footer, sidebar, notice, advert, form, reader comment or the
-like (by tag, role, or whole class and id names) and, if this page has an article or main element with text, one of these is open.
-Of these blocks those in template slots are left out, unless the page has no others: then it is one of many copies.
+For each host, slot and kind of element right around its texts it is summed over the host's different pages on how many it is, with how many different texts, with how many characters and how many of
+these in links. Hosts with at least 5 different pages take the roles of slots from these sums:
+
+* a slot in such an element, on 5 pages or more, whose texts are each on half of its pages on average, is template,
+* the region of the host is found by going down the wrapper from the root into the element that holds 60 % or more of the characters outside links, templates
+  and elements with names of asides, as long as there is one that has elements of its own,
+* a slot has votes: +1 in the region, -1 out of it, -1 if half of its characters are in links, and a page's block there +1 if its element is a heading, paragraph, item or cell, +2 in an
+  article or main element. The block is main if they are not negative and no element around it has the name of an aside.
+
+So names (of tags, whole class and id names and roles) are one feature among others; hosts with fewer pages, and places unknown to the wrapper, have names only. Of a page's
+main blocks, those in an article or main element are its text, if there are any, else all of them; templates are left out, unless nothing else
+remains: then the page is one of many copies. A page with no main block is of another kind than its host's pages: it is read by names only.
 
 An empty table gives no rows. A null html is an empty page, a null url has the empty host. A page without main text has the empty text. Repeated
 rows are pages of their own. Extra columns are not read.
@@ -29,6 +37,7 @@ rows are pages of their own. Extra columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as _html
 import itertools
@@ -49,6 +58,8 @@ from tessera.llm.host_reputation import parts
 GROUP = 64
 #: Different pages that a template slot is on, at least; part of them that one of its texts is on, on average.
 PAGES, SHARE = 5, 0.5
+#: Part of a host's text that an element holds, at least, to contain its region; part of a slot's characters that are links, to count as links.
+REGION, LINKS = 0.6, 0.5
 #: Hosts whose wrappers may be broadcast (about 1 KB each).
 HOSTS = 20_000
 
@@ -80,6 +91,8 @@ MAIN_TAGS = frozenset(("article", "main"))
 #: Elements that the name main makes main; elements that are around main text, whatever they are called.
 MAIN_BOXES = frozenset(("div", "section", "td", "center"))
 NEVER_ASIDE = frozenset(("html", "body", "main", "article"))
+#: Elements that hold running text, items or cells.
+PROSE_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dt dd td th figcaption".split())
 
 
 def _key(name: str, attributes: str) -> str:
@@ -91,7 +104,7 @@ def _key(name: str, attributes: str) -> str:
 
 
 def tokens(page: str) -> Iterator[tuple[str, str]]:
-    """(kind, value): "<" key, ">" name, "#" raw text, "-" an inline tag (its name)."""
+    """(kind, value): "<" key, ">" name, "#" raw text, "-" an inline tag (its name, after a slash if it ends)."""
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -100,7 +113,7 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
         if m[3]:
             name = m[3].lower()
             if name in INLINE:
-                yield "-", name
+                yield "-", m[2] + name
             elif m[2]:
                 yield ">", name
             else:
@@ -127,15 +140,45 @@ def leave(chain: list[str], name: str) -> None:
             return
 
 
-_REPEAT = re.compile(r"((?:<[^<>]*>|#|\([^()]*\)[+?]){1,12}?)\1+")
+_ITEM = re.compile(r"<[^<>]*>|#|\([^()]*\)[+?]")
 _AGAIN = re.compile(r"(\(([^()]*)\)\+)\2")
+#: Items that a turn of a repeated group has, at most, when it is found.
+TURN = 12
+
+
+def _whole(turn: list[str]) -> bool:
+    """Whether all elements that begin in a turn end in it, and no others (but for those that have no end tag in streams)."""
+    names: list[str] = []
+    for item in turn:
+        if item[:2] == "</":
+            if not names or names.pop() != item[2:-1]:
+                return False
+        elif item[0] == "<":
+            name = item[1:-1].partition(".")[0]
+            if name not in LOOSE and name not in VOID:
+                names.append(name)
+    return not names
 
 
 def fold(stream: str) -> str:
-    """Runs of equal neighbours become repeated groups (one level, the innermost runs first)."""
+    """Runs of equal neighbours become repeated groups (one level, the innermost runs first); a turn holds whole elements."""
     while True:
-        new = _REPEAT.sub(lambda m: m[1] if m[1][0] == "(" and m[1].endswith(")+") and m[1].count("(") == 1 else f"({m[1]})+" if "(" not in m[1] else m[0], stream)
-        new = _AGAIN.sub(r"\1", new)
+        items, out, i = _ITEM.findall(stream), [], 0
+        while i < len(items):
+            for k in range(1, min(TURN, (len(items) - i) // 2) + 1):
+                if items[i] == items[i + k] and items[i : i + k] == items[i + k : i + 2 * k]:
+                    turn, grouped = items[i : i + k], any(x[0] == "(" for x in items[i : i + k])
+                    if (turn[0].endswith(")+") and k == 1) if grouped else _whole(turn):
+                        end = i + 2 * k
+                        while items[end : end + k] == turn:
+                            end += k
+                        out.append(turn[0] if grouped else f"({''.join(turn)})+")
+                        i = end
+                        break
+            else:
+                out.append(items[i])
+                i += 1
+        new = _AGAIN.sub(r"\1", "".join(out))
         if new == stream:
             return stream
         stream = new
@@ -155,9 +198,6 @@ def stream(page: str) -> str:
     return fold("".join(out))
 
 
-_ITEM = re.compile(r"<[^<>]*>|#|\([^()]*\)[+?]")
-
-
 def _bare(item: str) -> str:
     return item[1:-2] if item[0] == "(" else item
 
@@ -286,78 +326,206 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-class Reader:
-    """Reads pages of a host by its wrapper and its template slots."""
-
-    def __init__(self, wrapper: str, template: Iterable[int] = ()):
-        self.template = frozenset(template)
-        self.fixed: Counter[tuple[str, ...]] = Counter()
-        self.roles: dict[tuple[str, ...], tuple[bool, bool]] = {}
-        self.slots: dict[tuple[tuple[str, ...], int], int] = {}
-        chain: list[str] = []
-        ended = set()
-        for item in _ITEM.findall(wrapper):
-            for part in re.findall(r"<[^<>]*>|#", item):
-                if part == "#":
-                    place = tuple(chain)
-                    if item[0] == "(":
-                        ended.add(place)
-                    elif place not in ended:
-                        self.fixed[place] += 1
-                elif part[1] == "/":
-                    leave(chain, part[2:-1])
-                else:
-                    enter(chain, part[1:-1])
-
-    def _role(self, place: tuple[str, ...]) -> tuple[bool, bool]:
-        """Whether a place is not aside, and whether it is in a main element."""
-        if place not in self.roles:
-            self.roles[place] = not any(map(_is_aside, place)), any(map(_is_main, place))
-        return self.roles[place]
-
-    def _slot(self, place: tuple[str, ...], k: int) -> int:
-        """The slot of a page's k-th block in a place."""
-        key = place, min(k, self.fixed[place])
-        if key not in self.slots:
-            self.slots[key] = _hash("\n".join([*place, str(key[1])]))
-        return self.slots[key]
-
-    def blocks(self, page: str) -> Iterator[tuple[int, bool, str]]:
-        """(slot, in a main element, text) of all blocks that are not aside."""
-        held: list[str] = []
-        chain: list[str] = []
-        seen: Counter[tuple[str, ...]] = Counter()
-        place = ()
-        body, main = self._role(place)
-
-        for kind, value in itertools.chain(tokens(page), [(">", "")]):
-            if kind == "#":
-                if body:
-                    held.append(value)
-            elif kind == "-":
-                if value == "br" and body:
-                    held.append(" ")
+class Node:
+    """An element, or a block of text (its key is #), of a page or a wrapper."""
+
+    __slots__ = ("key", "within", "children", "aside", "main", "text", "linked", "slot", "at", "again", "optional", "shape", "places")
+
+    def __init__(self, key: str, parent: Node | None = None):
+        self.key = key
+        self.within = parent.key if parent is not None else ""
+        self.children: list[Node] = []
+        self.text, self.linked, self.slot, self.shape = "", 0, -1, frozenset()
+        self.aside = parent is not None and (parent.aside or key != "#" and _is_aside(key))
+        self.main = parent is not None and (parent.main or key != "#" and _is_main(key))
+        if parent is not None:
+            parent.children.append(self)
+
+
+class Tree:
+    """Elements and texts as they come; nodes are in the order of their starts."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("")]
+        self.open = [self.nodes[0]]
+        self.chain: list[str] = []
+
+    def add(self, key: str) -> Node:
+        self.nodes.append(Node(key, self.open[-1]))
+        return self.nodes[-1]
+
+    def start(self, key: str) -> Node | None:
+        """The new element; none for those without content."""
+        enter(self.chain, key)
+        holds = key.partition(".")[0] not in VOID
+        del self.open[len(self.chain) + 1 - holds :]
+        if not holds:
+            return None
+        self.open.append(self.add(key))
+        return self.open[-1]
+
+    def end(self, name: str) -> None:
+        leave(self.chain, name)
+        del self.open[len(self.chain) + 1 :]
+
+    def shaped(self) -> Tree:
+        """Gives each node its shape: the paths of keys below it, two levels deep. Equal shapes are one object."""
+        known: dict[frozenset[str], frozenset[str]] = {}
+        for node in reversed(self.nodes):
+            if node.children:
+                shape = frozenset([c.key for c in node.children] + [f"{c.key}>{d.key}" for c in node.children for d in c.children])
+                node.shape = known.setdefault(shape, shape)
+        return self
+
+
+def page_tree(page: str) -> Tree:
+    tree = Tree()
+    held: list[str] = []
+    linked = 0
+    in_link = False
+    for kind, value in itertools.chain(tokens(page), [(">", "")]):
+        if kind == "#":
+            held.append(value)
+            linked += len(value) if in_link else 0
+        elif kind == "-":
+            if value in ("br", "/br"):
+                held.append(" ")
+            elif value in ("a", "/a"):
+                in_link = value == "a"
+        else:
+            raw = "".join(held)
+            if raw and not raw.isspace():
+                node = tree.add("#")
+                node.text = " ".join(_html.unescape(raw).split())
+                node.linked = min(linked, len(node.text))
+            held.clear()
+            linked = 0
+            if kind == "<":
+                tree.start(value)
             else:
-                if held:
-                    raw = "".join(held)
-                    held.clear()
-                    if not raw.isspace():
-                        block = " ".join(_html.unescape(raw).split())
-                        if block:
-                            yield self._slot(place, seen[place]), main, block
-                        seen[place] += 1
-                if kind == "<":
-                    enter(chain, value)
-                else:
-                    leave(chain, value)
-                place = tuple(chain)
-                body, main = self._role(place)
+                tree.end(value)
+                in_link = False
+    return tree.shaped()
+
+
+def wrapper_tree(wrapper: str) -> Tree:
+    """A wrapper's slots are numbered in their order. A node knows from which node on its next sibling is looked for (again): behind all it holds, or
+    from the start of its repeated group."""
+    tree = Tree()
+    n = 0
+    for item in _ITEM.findall(wrapper):
+        first: dict[int, int] = {}
+        for part in re.findall(r"<[^<>]*>|#", item):
+            if part[:2] == "</":
+                tree.end(part[2:-1])
+                continue
+            node = tree.add("#") if part == "#" else tree.start(part[1:-1])
+            if node is not None:
+                node.at = len(tree.nodes) - 1
+                node.optional = item.endswith(")?")
+                node.again = first.setdefault(id(tree.open[-1 if part == "#" else -2]), node.at) if item.endswith(")+") else None
+                if part == "#":
+                    node.slot = n
+                    n += 1
+    for node in reversed(tree.shaped().nodes[1:]):
+        node.places = None
+        if node.again is None:
+            last = node
+            while last.children:
+                last = last.children[-1]
+            node.again = last.at + 1
+    tree.nodes[0].places = None
+    return tree
+
+
+def _places(node: Node) -> dict:
+    """Where keys, and keys with shapes, are among a wrapper's node's children, and among those of optional ones: a page that leaves these out may have what they hold."""
+    if node.places is None:
+        node.places = {}
+        todo = node.children[::-1]
+        while todo:
+            child = todo.pop()
+            node.places.setdefault(child.key, []).append(child)
+            node.places.setdefault((child.key, child.shape), []).append(child)
+            if child.optional:
+                todo += child.children[::-1]
+    return node.places
+
+
+def match(wrapper: Tree, page: Tree) -> None:
+    """Gives each text of the page its slot in the wrapper, -1 if there is none."""
+    todo = [(wrapper.nodes[0], page.nodes[0])]
+    while todo:
+        w, p = todo.pop()
+        at = 0
+        for child in p.children:
+            for key in ((child.key, child.shape), child.key):
+                if places := _places(w).get(key):
+                    k = bisect.bisect_left(places, at, key=lambda node: node.at)
+                    found = places[k if k < len(places) else -1]
+                    at = found.again
+                    child.slot = found.slot
+                    todo.append((found, child))
+                    break
+
+
+class Reader:
+    """Reads pages of a host by its wrapper and the sums of its slots: (slot, hash of the element right around it in pages, characters, those in links, whether it is template)."""
+
+    def __init__(self, wrapper: str, sums: Iterable[tuple[int, int, int, int, bool]] | None = None):
+        self.wrapper = wrapper_tree(wrapper)
+        self.template: frozenset[tuple[int, int]] = frozenset()
+        #: votes of all slots, without those for elements of a page
+        self.votes: dict[int, int] = {}
+        self.hashes: dict[str, int] = {}
+        if sums:
+            self._decide(list(sums))
+
+    def _decide(self, sums: list[tuple[int, int, int, int, bool]]) -> None:
+        self.template = frozenset((slot, element) for slot, element, _, _, fixed in sums if fixed)
+        chars, linked, own = Counter(), Counter(), Counter()
+        for slot, _, c, k, fixed in sums:
+            chars[slot] += c
+            linked[slot] += k
+            own[slot] += 0 if fixed else c - k
+        weight: dict[int, int] = {}
+        for node in reversed(self.wrapper.nodes):
+            weight[id(node)] = (0 if node.aside or node.key != "#" else own[node.slot]) + sum(weight[id(c)] for c in node.children)
+        region = self.wrapper.nodes[0]
+        while weight[id(region)]:
+            best = max(region.children, key=lambda c: weight[id(c)])
+            if weight[id(best)] < REGION * weight[id(region)] or all(c.key == "#" for c in best.children):
+                break
+            region = best
+        inside = set()
+        todo = [region]
+        while todo:
+            node = todo.pop()
+            inside.add(node.slot)
+            todo += node.children
+        self.votes = {slot: (1 if slot in inside else -1) - (linked[slot] >= LINKS * chars[slot]) for slot in chars}
+
+    def place(self, block: Node) -> tuple[int, int]:
+        """A block's slot, and the hash of the element right around it."""
+        if block.within not in self.hashes:
+            self.hashes[block.within] = _hash(block.within)
+        return block.slot, self.hashes[block.within]
+
+    def blocks(self, page: str) -> list[Node]:
+        """The page's blocks of text in their order, with their slots."""
+        tree = page_tree(page)
+        match(self.wrapper, tree)
+        return [n for n in tree.nodes if n.key == "#" and n.text]
+
+    def _is_main(self, block: Node) -> bool:
+        return self.votes.get(block.slot, 0) + (block.within.partition(".")[0] in PROSE_TAGS) + 2 * block.main >= 0
 
     def text(self, page: str) -> str:
-        found = list(self.blocks(page))
-        found = [b for b in found if b[1]] or found
-        found = [b for b in found if b[0] not in self.template] or found
-        return "\n".join(b[2] for b in found)
+        named = [b for b in self.blocks(page) if not b.aside]
+        own = [b for b in named if self.place(b) not in self.template]
+        found = [b for b in own if self._is_main(b)] or own or [b for b in named if self._is_main(b)] or named
+        found = [b for b in found if b.main] or found
+        return "\n".join(b.text for b in found)
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,36 +556,49 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def _readers(batch: pa.RecordBatch, readers: dict[str, Reader]) -> Iterator[tuple[str, Reader]]:
-    """Page and reader of rows (html, host, wrapper, and maybe template)."""
+    """Page and reader of rows (html, host, wrapper, and maybe sums of its slots)."""
     columns = [batch.column(c).to_pylist() for c in batch.schema.names]
-    for page, host, wrapper, *template in zip(*columns, strict=True):
+    for page, host, wrapper, *sums in zip(*columns, strict=True):
         if host not in readers:
             if len(readers) > 1000:
                 readers.clear()
-            readers[host] = Reader(wrapper or "", template[0] or () if template else ())
+            readers[host] = Reader(wrapper or "", [tuple(s.values()) for s in sums[0] or ()] if sums else None)
         yield page or "", readers[host]
 
 
+_SLOTS = pa.list_(pa.struct([("slot", pa.int32()), ("element", pa.int64()), ("value", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())]))
+
+
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     readers: dict[str, Reader] = {}
     for batch in batches:
         pages, found = [], []
         for page, reader in _readers(batch, readers):
             pages.append(_hash(page))
-            found.append([{"slot": s, "value": v} for s, v in dict.fromkeys((s, _hash(t)) for s, _, t in reader.blocks(page))])
-        kind = pa.list_(pa.struct([("slot", pa.int64()), ("value", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(pages, pa.int64()), pa.array(found, kind)], ["host", "page", "slots"])
-
-
-def templates(rows: DataFrame) -> DataFrame:
-    """(host, template: slots) of rows (html, host, wrapper). Copies of a page count as one."""
-    pages = rows.select("html", "host", "wrapper").mapInArrow(_slots, "host string, page long, slots array<struct<slot: long, value: long>>").dropDuplicates(["host", "page"])
-    texts = pages.select("host", "page", F.explode("slots").alias("s")).select("host", "page", "s.*")
-    own = texts.groupBy("host", "slot", "value").agg(F.count("*").alias("n"))
-    uses = own.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.count("*").alias("n_texts"))
-    on = pages.select("host", F.explode(F.array_distinct("slots.slot")).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("n_pages"))
-    found = uses.join(on, ["host", "slot"]).where((F.col("n_pages") >= PAGES) & (F.col("n") >= SHARE * F.col("n_texts") * F.col("n_pages")))
-    return found.groupBy("host").agg(F.collect_list("slot").alias("template"))
+            sums: dict[tuple[int, int, int], list[int]] = {}
+            for b in reader.blocks(page):
+                if b.slot >= 0:
+                    own = sums.setdefault((*reader.place(b), _hash(b.text)), [0, 0])
+                    own[0] += len(b.text)
+                    own[1] += b.linked
+            found.append([{"slot": s, "element": e, "value": v, "chars": c, "linked": k} for (s, e, v), (c, k) in sums.items()])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(pages, pa.int64()), pa.array(found, _SLOTS)], ["host", "page", "slots"])
+
+
+def slot_sums(rows: DataFrame) -> DataFrame:
+    """(host, sums: array of slot, element, chars, linked, fixed) of rows (html, host, wrapper), for hosts with enough different pages."""
+    schema = "host string, page long, slots array<struct<slot: int, element: long, value: long, chars: long, linked: long>>"
+    pages = rows.select("html", "host", "wrapper").mapInArrow(_slots, schema).dropDuplicates(["host", "page"])
+    pages = shared.cut(pages)  # pages are read once for the three counts below
+    key = ["host", "slot", "element"]
+    texts = pages.select("host", F.explode("slots").alias("s")).select("host", "s.*")
+    own = texts.groupBy(*key, "value").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    uses = own.groupBy(*key).agg(F.sum("n").alias("n"), F.count("*").alias("n_texts"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    places = F.array_distinct(F.transform("slots", lambda s: F.struct(s["slot"].alias("slot"), s["element"].alias("element"))))
+    on = pages.select("host", F.explode(places).alias("s")).select("host", "s.*").groupBy(*key).agg(F.count("*").alias("n_pages"))
+    fixed = (F.col("n_pages") >= PAGES) & (F.col("n") >= SHARE * F.col("n_texts") * F.col("n_pages"))
+    sums = uses.join(on, key).groupBy("host").agg(F.collect_list(F.struct("slot", "element", "chars", "linked", fixed.alias("fixed"))).alias("sums"))
+    return sums.join(pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES), "host").select("host", "sums")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -426,14 +607,14 @@ def extract(pages: DataFrame) -> DataFrame:
     size = F.octet_length("wrapper")
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     found = shared.cut(wrappers(pages).select("host", "wrapper"))
-    known = found.join(templates(rows.join(shared.small(found, HOSTS, size), "host", "left")), "host", "left")
-    rows = rows.join(shared.small(shared.cut(known), HOSTS, size + 8 * F.coalesce(F.size("template"), F.lit(0))), "host", "left").select("page_id", "url", "html", "host", "wrapper", "template")
+    known = found.join(slot_sums(rows.join(shared.small(found, HOSTS, size), "host", "left")), "host", "left")
+    rows = rows.join(shared.small(shared.cut(known), HOSTS, size + 40 * F.coalesce(F.size("sums"), F.lit(0))), "host", "left").select("page_id", "url", "html", "host", "wrapper", "sums")
     schema = pages.select("page_id", "url").schema.add("text", "string")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers: dict[str, Reader] = {}
         for batch in batches:
-            out = [reader.text(page) for page, reader in _readers(batch.select(["html", "host", "wrapper", "template"]), readers)]
+            out = [reader.text(page) for page, reader in _readers(batch.select(["html", "host", "wrapper", "sums"]), readers)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     return rows.mapInArrow(read, schema).withColumn("n_chars", F.char_length("text").cast("long"))

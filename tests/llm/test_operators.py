@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -332,6 +333,78 @@ def test_wrappers_do_not_need_telling_names(spark):
     assert all(found[200 + i] == "\n".join(f"a{i}{k}" for k in range(7)) for i in range(128))
 
 
+class PlainArticle(HTMLParser):
+    """The blocks of h1 and p in article, by the standard library's parser alone."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("h1", "p", "article"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("h1", "p"):
+            self.blocks.append("")
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+    @property
+    def text(self):
+        return "\n".join(filter(None, (" ".join(b.split()) for b in self.blocks)))
+
+
+def without_names(page):
+    """The page with div for all names of elements that make blocks, and all their ends written out."""
+    out, chain, at = [], [], 0
+    for m in wrappers._TOKEN.finditer(page):
+        out.append(page[at : m.start()])
+        at = m.end()
+        name = (m[3] or "").lower()
+        if name in wrappers.INLINE or name in wrappers.VOID:
+            out.append(m[0])
+        elif m[2]:
+            before = len(chain)
+            wrappers.leave(chain, name)
+            out.append("</div>" * (before - len(chain)))
+        elif name:
+            before = len(chain)
+            wrappers.enter(chain, name)
+            out.append("</div>" * (before + 1 - len(chain)) + f"<div{m[4]}>")
+    return "".join([*out, page[at:]])
+
+
+def test_wrappers_are_a_plain_parser_with_names_or_without(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html").toPandas()
+    expected = {i: PlainArticle(h or "").text for i, h in zip(pages["page_id"], pages["html"], strict=True)}
+    found = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(pages)).collect()}
+    assert found == expected and sum(map(bool, expected.values())) > 40
+    one_host = pages.assign(url="http://h/", html=[without_names(h or "") for h in pages["html"]])
+    found = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(one_host)).collect()}
+    assert found == expected
+
+
+def test_wrappers_decide_slots_by_their_sums(spark):
+    def page(i):
+        links = "".join(f"<div><a href='/{i}{k}'>place {i} {k} and more of it</a></div>" for k in range(i % 4 + 1))
+        body = "".join(f"<div>Sentence {i} {k} of the text, which is longer than what is around it.</div>" for k in range(i % 3 + 2))
+        return f"<div><div>{links}</div><div class='x'>{body}</div><div>Written by author {i}</div></div>"
+
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(30)] + [(40, "http://h/40", "<section><h2>another kind</h2><p>of page</p></section>"), (41, "http://h/41", "<nav>only a menu</nav>")]
+    found = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == "\n".join(f"Sentence {i} {k} of the text, which is longer than what is around it." for k in range(i % 3 + 2)) for i in range(30))
+    assert found[40] == "another kind\nof page" and found[41] == ""
+
+
 def recall(spark, x, **how):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     found = neighbours.search(df, lambda i: i % 100 == 0, **how).collect()

@@ -170,6 +170,21 @@ def test_long_pages_are_aligned():
     assert wrapper
 
 
+def test_blocks_belong_to_slots():
+    wrapper = "<ul>(<li>#)+</ul><div>#</div><div>(<h2>#</h2><p>#)+</div>(<p>#)?"
+    reader = wrappers.Reader(wrapper)
+    found = [(b.slot, b.text) for b in reader.blocks("<ul><li>a<li>b</ul><div>c</div><div><h2>d</h2><p>e<h2>f</h2><p>g</div><p>h<form>i</form>")]
+    assert found == [(0, "a"), (0, "b"), (1, "c"), (2, "d"), (3, "e"), (2, "f"), (3, "g"), (4, "h"), (-1, "i")]
+    found = [(b.slot, b.text) for b in reader.blocks("<div><h2>d</h2><p>e</div>")]
+    assert found == [(2, "d"), (3, "e")]  # what a page leaves out moves nothing
+    assert reader.blocks("") == [] and [b.slot for b in wrappers.Reader("").blocks("x<p>y")] == [-1, -1]
+
+
+def test_turns_hold_whole_elements():
+    assert wrappers.fold("<div><div><div>#</div><div>#</div></div></div>") == "<div><div>(<div>#</div>)+</div></div>"
+    assert wrappers.fold("<p>#<p>#<p>#") == "(<p>#)+" and wrappers.fold("<div><div></div></div>") == "<div><div></div></div>"
+
+
 def test_names_of_several_parts():
     assert [wrappers._names_aside(x) for x in ("cookie-notice", "with-sidebar", "sidebar", "site_nav", "entry-header", "menu-button-text")] == [True, False, True, True, False, False]
 

@@ -16,7 +16,8 @@ and blocks of queries, so no task holds a whole part. Queries are a stated set (
 
 Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of one width are neighbours of each other only, and
 each width has an index of its own: a router where it is one of the WIDTHS commonest, else one part. Null ids take no part. A query's own id is no candidate of it, also if rows repeat it; repeated rows of one id and one vector count once.
-Fewer candidates than k: all that the searched parts hold. Empty tables give no rows. Extra columns are not read.
+Components so large or small that their squares overflow or vanish are scaled before; a distance beyond all doubles is infinite.
+A query whose parts hold fewer than k candidates is compared with all parts; with fewer candidates in all, it has these. Empty tables give no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ K, FIT_ROWS, DEGREE, PART_ROWS, PARTS, RECALL = 10, 6000, 10, 500, (4, 64), 0.95
 ROWS, QUERIES = 8192, 1024
 #: Rows of a part from which it is cut again; widths that get a router.
 SPLIT, WIDTHS = 32_768, 8
+#: Components up to which squares and their sums neither overflow nor vanish; routers take larger ones as this one.
+LARGE, TINY = 1e100, 1e-100
 
 
 @dataclass
@@ -49,7 +52,7 @@ class Router:
 
     def order(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n most probable parts of each row, best first."""
-        z = x @ self.weights + self.bias
+        z = np.clip(x, -LARGE, LARGE) @ self.weights + self.bias
         return np.argsort(-z, axis=1, kind="stable")[:, :n]
 
 
@@ -123,7 +126,7 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, slack: float =
 
 def fit(x: np.ndarray, parts: int, k: int = K, recall: float = RECALL, epochs: int = 60, seed: int = 5) -> Router:
     """Learns parts of the rows of x, and how many of them to search."""
-    width = x.shape[1]
+    x, width = np.clip(x, -LARGE, LARGE), x.shape[1]
     parts = max(1, min(parts, len(x) // (4 * k)))
     if parts < 2:
         return Router(np.zeros((width, 1)), np.zeros(1), 1)
@@ -162,8 +165,30 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda c: c != 0))
 
 
+def exact_distances(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of rows from one vector. Differences whose squares would overflow or vanish are scaled by a power of two first."""
+    with np.errstate(over="ignore"):
+        d = np.abs(rows - q)
+    top = d.max(1)
+    odd = np.isfinite(top) & ((top > LARGE) | (top < TINY)) & (top > 0)
+    unit = np.where(odd, np.exp2(np.floor(np.log2(np.where(odd, top, 1)))), 1)
+    with np.errstate(over="ignore"):
+        return np.sqrt(((d / unit[:, None]) ** 2).sum(1)) * unit
+
+
 def _near(queries: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[int, int, float]]:
-    """(query, id, distance) of each query's k nearest of these rows; a row stands for its ids."""
+    """(query, id, distance) of each query's k nearest of these rows; a row stands for its ids. Rows and queries with components beyond LARGE
+    are compared exactly only."""
+    large = np.abs(rows).max(1) > LARGE
+    if large.any() or (np.abs(q) > LARGE).any():
+        usual, out = np.abs(q).max(1) <= LARGE, []
+        if usual.any() and not large.all():
+            out += _near(queries[usual], q[usual], rows[~large], [r for r, x in zip(ids, large.tolist(), strict=True) if not x], k)
+        for i in range(len(q)):
+            some, own = np.flatnonzero(large) if usual[i] else np.arange(len(rows)), int(queries[i])
+            found = sorted((float(s), v) for s, r in zip(exact_distances(rows[some], q[i]), some.tolist(), strict=True) for v in ids[r] if v != own)
+            out += [(own, v, s) for s, v in found[:k]]
+        return out  # at most 2 k of a query; search keeps k
     # rounding of the products grows with the norms: rows near the block's middle keep it small, and it is allowed for
     middle = rows.mean(0)
     a, b = q - middle, rows - middle
@@ -175,7 +200,7 @@ def _near(queries: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: list[list[i
         n = min(len(rows), k + 1)
         bound = np.partition(d, n - 1)[n - 1]
         some = np.flatnonzero(d <= bound * (1 + 1e-9) + 2 * slack[i])
-        exact = np.sqrt(((rows[some] - q[i]) ** 2).sum(1))
+        exact = exact_distances(rows[some], q[i])
         own = int(queries[i])
         found = sorted((float(s), v) for s, r in zip(exact, some.tolist(), strict=True) for v in ids[r] if v != own)
         out += [(own, v, s) for s, v in found[:k]]
@@ -268,8 +293,22 @@ def search(vectors: DataFrame, is_query, k: int = K, fit_rows: int = FIT_ROWS, s
     index = shared.cut(index.select("v", "ids", F.col("places")[0].alias("place")))
     sizes = index.groupBy("place").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
     sizes = shared.small(shared.cut(sizes))
-    asked = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "v"])
-    asked = asked.mapInPandas(_placed(routers, True, ["vec_id", "v"]), f"vec_id long, v array<double>, places array<{_PLACE}>").withColumn("place", F.explode("places")).drop("places")
+    queries = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "v"])
+    asked = queries.mapInPandas(_placed(routers, True, ["vec_id", "v"]), f"vec_id long, v array<double>, places array<{_PLACE}>")
+    found = shared.cut(_ranked(asked.withColumn("place", F.explode("places")).drop("places"), index, sizes, k))
+    # a query whose parts hold fewer than k candidates is compared with all parts of its width
+    enough = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = shared.cut(queries.join(enough, "vec_id", "left_anti"))
+    if short.isEmpty():
+        return found
+    # columns of their own, as sizes is joined once more
+    every = sizes.select(F.col("place.width").alias("width"), F.struct("place.*").alias("place"))
+    every = _ranked(short.withColumn("width", F.size("v")).join(every, "width").drop("width"), index, sizes, k)
+    return found.join(enough.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(every)
+
+
+def _ranked(asked: DataFrame, index: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of queries (vec_id, v, place), each once for each part to search."""
     asked = shared.cut(asked.join(sizes, "place"))
     query_blocks = shared.small(shared.cut(asked.groupBy("place").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("query_blocks"))))
     left = (

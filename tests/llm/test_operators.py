@@ -420,6 +420,23 @@ def test_neighbours_far_from_the_origin(spark):
     assert recall(spark, x, fit_rows=20) == 1.0  # one part: all of it is compared
 
 
+def test_neighbours_whose_squares_overflow_or_vanish(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 4))
+    x[7], x[8], x[100], x[109] = 1e200, -1e200, [3e200, 0, 0, 0], 1e-170
+    x[200] = [3e-170, 1e-170, 1e-170, 1e-170]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(df).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert sorted(found) == [0, 100, 200, 300] and all(len(v) == 10 for v in found.values())
+    for q in (0, 300):
+        d = np.sqrt(((np.delete(x, [7, 8, 100], axis=0) - x[q]) ** 2).sum(1))
+        assert np.isclose(found[q][0][1], np.sort(d)[1]) and not {7, 8, 100} & {v for v, _ in found[q]}
+    assert np.isclose(found[100][0][1] / 1e200, np.sqrt(4 + 3)) and found[100][0][0] == 7
+    assert found[200][0][0] == 109 and np.isclose(found[200][0][1] / 1e-170, 2)
+
+
 def test_parts_are_cut_again(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 4)) + 6 * rng.normal(size=(20, 4))[rng.integers(20, size=3000)]

@@ -24,7 +24,6 @@ the same doc_id are in the order of their texts. An empty table gives an empty i
 from __future__ import annotations
 
 import os
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -45,7 +44,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 #: Bytes of ids in a frame, before compression (a longer document has a frame of its own).
 FRAME_BYTES = 1 << 18
-#: Chunks a worker remembers (twice: of this generation and of the one before), about 150 bytes each; bytes of texts encoded at once.
+#: Chunks a worker remembers between batches, about 60 bytes each; bytes of texts encoded at once.
 CHUNKS, TEXT_BYTES = 500_000, 8 << 20
 
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -117,8 +116,20 @@ def _open(path: str):
     return fs.open_input_file(inner)
 
 
+#: White space (and \x1c to \x1f, where texts are cut with more care than needed), for Arrow's expressions.
+_SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: A line break between two other characters; a space before further white space or at the end.
+_BREAK, _INNER = f"([^{_SPACE}])\n([^{_SPACE}])", f" (?:[{_SPACE}]|$)"
 #: Letters and the ASCII marks after them, but for apostrophes, which may begin a contraction.
-_TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+_HEAD, _TAIL = r"^(\n?\p{L}+)[!-&(-/:-@\[-`{-~]+$", r"^\n?\p{L}+"
+
+
+def _gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """pool[b : b + s] of each b and s, in one array."""
+    ends = np.cumsum(size)
+    at = np.repeat(begin - ends + size, size)
+    at += np.arange(len(at))
+    return pool[at]
 
 
 class Encoder:
@@ -136,83 +147,103 @@ class Encoder:
             self.size[i] = len(token)
         self.first = Chunks(self.one, "", 20_000)
         self.tails = Chunks(self.one, "", 1000)
-        # ids of chunks: of this generation, and of the one before, from which chunks that occur again come back
-        self.rest: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # chunks, where their ids lie in the pool, and the batch that last used each
+        self.known, self.pool = pa.array([], pa.string()), np.array([], dtype="<u4")
+        self.begin, self.length, self.used = (np.array([], dtype=np.int64) for _ in range(3))
+        self.batch = 0
 
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, new: list[str]) -> list[bytes]:
-        """Encodes chunks in one go: no token crosses the place where a chunk begins, so their ids are cut apart by size."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def learn(self, new: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks behind this white space, and their numbers, encoded in one go: no token crosses the place where a
+        chunk begins, so their ids are cut apart by size."""
+        ids = np.array(self.tokenizer.encode_batch_fast([space + space.join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
         sizes = np.array(list(map(len, map(str.encode, new)))) + 1
-        ends = ((np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(sizes)) + 1) * 4).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
-
-    def known(self, parts: list[str]) -> list[bytes]:
-        """Ids of distinct chunks. The tokenizer splits between letters and punctuation marks, so letters with marks behind them are
-        looked up without these."""
-        rest, tails = self.rest, self.tails
-        cut = [(x, "") if x.isalpha() else m.groups() if (m := _TAIL(x)) else (x, "") for x in parts]
-        new = {x for x, _ in cut if x not in rest}
-        if len(rest) + len(new) > CHUNKS:
-            self.old, self.rest = rest, (rest := {})
-            new = {x for x, _ in cut}
-        old = self.old
-        rest.update([(x, old[x]) for x in new if x in old])
-        new = [x for x in new if x not in rest]
-        for a in range(0, len(new), 256):
-            some = new[a : a + 256]
-            rest.update(zip(some, self.learn(some), strict=True))
-        out = [rest[x] + tails[y] if y else rest[x] for x, y in cut]
-        for x in new:
-            if len(x) >= 200:
-                del rest[x]
-        return out
-
-    def whole(self, text: str) -> bytes:
-        """Ids of a text that has a chunk with further white space."""
-        first, *parts = chunks(text)
-        plain = list({p for p in parts if " " not in p})
-        ids = dict(zip(plain, self.known(plain), strict=True))
-        return self.first[first] + b"".join([ids[p] if p in ids else self.one(" " + p) for p in parts])
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text (null: empty): what encode(text, add_special_tokens=False) gives.
-
-        Arrow splits texts at spaces and numbers distinct parts, so only these are looked up one by one."""
-        texts = texts.fill_null("")
-        if not len(texts):
+        return ids, np.diff(np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(sizes)) + 1, prepend=0)
+
+    def forget(self) -> None:
+        """Drops the half of the chunks that were not used for longest, and long ones."""
+        middle = np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        keep = self.used >= middle
+        if keep.sum() > CHUNKS:
+            keep = self.used > middle
+        keep &= pc.binary_length(self.known).to_numpy() < 200
+        self.pool = _gather(self.pool, self.begin[keep], self.length[keep])
+        self.known, self.length, self.used = self.known.filter(pa.array(keep)), self.length[keep], self.used[keep]
+        self.begin = np.cumsum(self.length) - self.length
+
+    def slots(self, parts: pa.Array) -> np.ndarray:
+        """Places of distinct chunks among the known ones; new ones are encoded."""
+        if len(self.known) > CHUNKS or self.known.nbytes > 64 * CHUNKS:
+            self.forget()
+        self.batch += 1
+        found = pc.index_in(parts, value_set=self.known)
+        new = parts.filter(found.is_null())
+        lines = pc.starts_with(new, "\n")
+        spaced, broken = new.filter(pc.invert(lines)).to_pylist(), [x[1:] for x in new.filter(lines).to_pylist()]
+        some = [self.learn(x[a : a + 256], space) for x, space in ((spaced, " "), (broken, "\n")) for a in range(0, len(x), 256)]
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        if some:
+            missing, lined = at < 0, lines.to_numpy(zero_copy_only=False)
+            at[missing] = len(self.known) + np.where(lined, len(spaced) + np.cumsum(lined), np.cumsum(~lined)) - 1
+            self.known = pa.concat_arrays([self.known, new.filter(pc.invert(lines)), new.filter(lines)])
+            self.pool = np.concatenate([self.pool, *(ids for ids, _ in some)])
+            self.length = np.concatenate([self.length, *(n for _, n in some)])
+            self.begin = np.cumsum(self.length) - self.length
+            self.used = np.concatenate([self.used, np.zeros(len(new), dtype=np.int64)])
+        self.used[at] = self.batch
+        return at
+
+    def chunks(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, and their numbers. The tokenizer splits between letters and punctuation marks, so letters with
+        marks behind them are looked up without these."""
+        heads = pc.replace_substring_regex(parts, _HEAD, r"\1")
+        cut = pc.not_equal(pc.binary_length(heads), pc.binary_length(parts))
+        tails = pc.replace_substring_regex(parts.filter(cut), _TAIL, "").dictionary_encode()
+        heads = heads.dictionary_encode()
+        at = self.slots(heads.dictionary)[heads.indices.to_numpy()]
+        marks = [self.tails[x] for x in tails.dictionary.to_pylist()]
+        n_marks = np.fromiter(map(len, marks), dtype=np.int64, count=len(marks)) // 4
+        # chunk, marks, chunk, marks, ...
+        begin, size = np.zeros((2, len(parts), 2), dtype=np.int64)
+        begin[:, 0], size[:, 0] = self.begin[at], self.length[at]
+        where, which = np.flatnonzero(cut.to_numpy(zero_copy_only=False)), tails.indices.to_numpy()
+        begin[where, 1], size[where, 1] = (len(self.pool) + np.cumsum(n_marks) - n_marks)[which], n_marks[which]
+        pool = np.concatenate([self.pool, np.frombuffer(b"".join(marks), dtype="<u4")])
+        return _gather(pool, begin.ravel(), size.ravel()), size.sum(axis=1)
+
+    def join(self, split: pa.ListArray) -> list[bytes]:
+        """Ids of texts that are given as chunks: the first begins the text, others come behind a space, or begin with a line break."""
+        if not len(split):
             return []
-        split = pc.split_pattern(texts, " ")
         offsets = split.offsets.to_numpy()
         offsets, coded = offsets - offsets[0], split.flatten().dictionary_encode()
-        place, parts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        # a part that begins with white space belongs to the one before
-        glued = np.fromiter((not x or x[0].isspace() for x in parts), dtype=bool, count=len(parts))
-        first = offsets[:-1]
-        odd = glued[place]
-        odd[first] = False
-        odd = np.add.reduceat(odd, first) > 0
-        ids = np.empty(len(parts), dtype=object)
-        ids[glued] = b""
-        ids[~glued] = np.array([*self.known([x for x, g in zip(parts, glued.tolist(), strict=True) if not g]), None], dtype=object)[:-1]
-        pool = np.frombuffer(b"".join(ids), dtype="<u4")
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        begin = np.cumsum(size) - size
+        del split  # as large as the texts
+        place, first = coded.indices.to_numpy(), offsets[:-1]
+        behind = np.zeros(len(coded.dictionary), dtype=bool)
+        behind[np.delete(place, first)] = True
+        ids, found = self.chunks(coded.dictionary.filter(pa.array(behind)))
+        size = np.zeros(len(behind), dtype=np.int64)
+        size[behind] = found
         n = size[place]
         n[first] = 0
-        ends = np.cumsum(n)
-        tokens = pool[np.repeat(begin[place] - ends + n, n) + np.arange(int(ends[-1]))].tobytes()
-        after = ends[offsets[1:] - 1] * 4
-        before = [0, *after[:-1].tolist()]
-        heads = [self.first[parts[i]] for i in place[first].tolist()]
-        out = [h + tokens[a:b] for h, a, b in zip(heads, before, after.tolist(), strict=True)]
-        for i in np.flatnonzero(odd).tolist():
-            out[i] = self.whole(texts[i].as_py())
-        return out
+        tokens = _gather(ids, (np.cumsum(size) - size)[place], n).tobytes()
+        after = np.cumsum(n)[offsets[1:] - 1] * 4
+        begins = coded.dictionary.take(pa.array(place[first])).to_pylist()
+        return [self.first[x] + tokens[a:b] for x, a, b in zip(begins, [0, *after[:-1].tolist()], after.tolist(), strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null: empty): what encode(text, add_special_tokens=False) gives.
+
+        Arrow splits texts at spaces and single line breaks, where tokens begin, numbers distinct parts and finds the known ones.
+        Texts with further white space behind a space are split one by one."""
+        texts = texts.cast(pa.string()).fill_null("")
+        odd = pc.match_substring_regex(texts, _INNER)
+        some = texts.filter(pc.invert(odd)) if pc.any(odd).as_py() else texts
+        plain = iter(self.join(pc.split_pattern(pc.replace_substring_regex(some, _BREAK, "\\1 \n\\2"), " ")))
+        rest = iter(self.join(pa.array(list(map(chunks, texts.filter(odd).to_pylist())), pa.list_(pa.string()))))
+        return [next(rest if x else plain) for x in odd.to_pylist()]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -73,6 +73,30 @@ def test_tokenizer_by_chunks(monkeypatch):
     assert found == [made.one(x) for x in texts]
 
 
+def test_chunks_are_encoded_once(monkeypatch):
+    """op7_token_files: a word is encoded once for all words that a line break or further spaces put beside it, not once for each pair."""
+    words_ = [a + b for a in "kmnprt" for b in ("abel", "iron", "ém", "ost", "ul")]
+    lines = [f"so {a}.\n{b}\n{a} x" for a in words_ for b in words_]
+    spaces = [f"so {a}  {b} x" for a in words_ for b in words_]
+    made = token_files.Encoder(open(token_files.TOKENIZER).read())
+    expected = [made.one(x) for x in lines + spaces]
+    encoded, singly = [], []
+    learn, one = token_files.Encoder.learn, made.tokenizer.encode
+    monkeypatch.setattr(token_files.Encoder, "learn", lambda self, new, *space: encoded.extend(new) or learn(self, new, *space))
+    monkeypatch.setattr(token_files.Encoder, "one", lambda self, x: singly.append(x) or np.array(one(x, add_special_tokens=False).ids, "<u4").tobytes())
+    made.first.encode = made.tails.encode = made.one
+    found = [x for texts in (lines, spaces) for a in range(0, len(texts), 100) for x in made.encode(pa.array(texts[a : a + 100]))]
+    assert found == expected
+    assert len(encoded) <= 4 * len(words_) and len(singly) <= 4 * len(words_)
+
+
+def test_chunks_of_every_character():
+    """Arrow's letters and white space fit the tokenizer's, wherever texts are cut by them; large strings too."""
+    made = token_files.Encoder(open(token_files.TOKENIZER).read())
+    texts = [f"a{c} b\n{c}c x{c}. {c}!\n{c}.\nx{c}\ny{c}\n{c}; q {c}{c}\nq" for c in map(chr, [*range(0x3100), *range(0xA640, 0xAC00), *range(0x1E900, 0x1E960)])]
+    assert made.encode(pa.array(texts, pa.large_string())) == [made.one(x) for x in texts]
+
+
 def test_token_file(tmp_path):
     path = f"file://{tmp_path}/a.zst"
     fs, inner = pa.fs.FileSystem.from_uri(path)
